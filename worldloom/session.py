@@ -6,6 +6,8 @@ which all executors share, so losing an executor only costs the tasks it was run
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +60,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def count_rows(df: DataFrame) -> int:
     """Rows of a materialized table; answered from parquet footers."""
     return df.agg(F.count(F.lit(1))).collect()[0][0]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    staged = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="worldloom-"), os.path.basename(here)), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(staged)
+    _shipped.add(sc.applicationId)
