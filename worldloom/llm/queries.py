@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldloom.llm import leak, mix, subject
+from worldloom.llm import leak, mix, quotes, subject
 from worldloom.session import materialize
 from worldloom.sources.tables import table
 
@@ -28,6 +28,14 @@ def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leak.without_leaks(table(spark, sf, "documents"), _leaks(spark, sf)).select("doc_id", "source", "text")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.newly_written(table(spark, sf, "mail_messages"))
+
+
+def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.new_text(table(spark, sf, "mail_messages"))
+
+
 def p9_mixed(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return mix.draw(docs, mix.plan_mix(mix.counted(docs), table(spark, sf, "mix_targets")))
@@ -55,6 +63,8 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_clean": p8_clean,
