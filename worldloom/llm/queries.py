@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldloom.llm import leak, mix, quotes, subject
+from worldloom.llm import leak, mix, pii, quotes, subject
 from worldloom.session import materialize
 from worldloom.sources.tables import table
 
@@ -28,6 +28,14 @@ def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leak.without_leaks(table(spark, sf, "documents"), _leaks(spark, sf)).select("doc_id", "source", "text")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "mail_messages"))
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(table(spark, sf, "mail_messages"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.newly_written(table(spark, sf, "mail_messages"))
 
@@ -63,6 +71,8 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p8_found": p8_found,

@@ -53,7 +53,8 @@ def thread_subject(subject: str | None) -> str:
 
 def roles(body: list[str | None]) -> list[str]:
     """Role of each line by its form: ``own, blank, quote, attribution, forward, signature, footer``."""
-    lines = [(x or "").rstrip() for x in body]
+    # White lines keep their first blanks: six of them are a quote mark.
+    lines = [(x or "").rstrip() or (x or "")[:6] for x in body]
     n = len(lines)
     out = ["own"] * n
     i = 0
@@ -125,7 +126,7 @@ def _block(lines: list[str], out: list[str], i: int, role: str) -> int:
 
 def _attribution(lines: list[str], i: int) -> int:
     """How many lines, from ``i``, are one attribution; 0 if none."""
-    for span in (1, 2, 3):
+    for span in (1, 2, 3, 4):
         if i + span > len(lines) or not all(x.strip() for x in lines[i : i + span]):
             return 0
         joined = " ".join(x.strip() for x in lines[i : i + span])
