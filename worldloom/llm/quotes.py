@@ -29,10 +29,10 @@ BLOCK_MAILS = 400
 QUOTE = re.compile(r"(?:>|\|(?= |$)|:(?= |$)|[A-Z]{2}>|[ \t]{6})")
 _STRIP = re.compile(r"^(?:(?:>|\|(?= |$)|:(?= |$)|[A-Z]{2}>) ?|[ \t]{6})+")
 #: Attribution lines, as one line.
-_DATED = re.compile(r"(?:On \w{3}, .{5,120} wrote:|At \d\d:\d\d [AP]M .{3,120} said:|Am \d\d\.\d\d\.\d{4} schrieb .{1,120}:|>{5,} .{1,120} wrote:|.{1,120} wrote on \d{4}-\d\d-\d\d:)")
-_PLAIN = re.compile(r"(?:.{1,100} writes:|Quoting .{1,110}:|.{1,100} (?:wrote|schrieb|said):)")
+_WHO = r"""(?:"?[A-ZÀ-Þ][\w'’.,+-]*(?: [A-ZÀ-Þ][\w'’.,-]*){0,3}"?(?: \(#-?\d+\))?(?: <[^<> ]+>)?|<?[\w.+-]+@[\w.-]+>?)"""
+_DATED = re.compile(rf"(?:On \w{{3}}, .{{5,120}} wrote:|At \d\d:\d\d [AP]M .{{3,120}} said:|Am \d\d\.\d\d\.\d{{4}} schrieb .{{1,120}}:|>{{5,}} .{{1,120}} wrote:|{_WHO} wrote on \d{{4}}-\d\d-\d\d:)")
+_PLAIN = re.compile(rf"(?:{_WHO} (?:writes|wrote|schrieb|said):|Quoting .{{1,110}}:)")
 _STARTS = re.compile(r"(?:On \w{3}, \d|At \d\d:\d\d [AP]M \d|Am \d\d\.\d\d\.\d{4} schrieb |>{5,} |Quoting )")
-_ENDS = re.compile(r".*(?:wrote:|said:|writes:|wrote on \d{4}-\d\d-\d\d:|>:)$|\(#\d+\):$|\d{4}-\d\d-\d\d:$|.*:$")
 #: Heads of forwarded mail.
 _FORWARD = re.compile(r"-{2,} ?(?:Original Message|Original message|Ursprüngliche Nachricht|Forwarded message|Forwarded Message|Weitergeleitete Nachricht|Begin forwarded message) ?-{2,}")
 _HEADER = re.compile(r"(?:From|Sent|Date|To|Cc|Subject|Von|Gesendet|Datum|An|Betreff): ?")
@@ -138,9 +138,7 @@ def _attribution(lines: list[str], i: int) -> int:
         quoted = bool(after) and bool(QUOTE.match(after))
         if _DATED.fullmatch(joined) and (span == 1 or _STARTS.match(lines[i]) or quoted):
             return span
-        if _PLAIN.fullmatch(joined) and quoted and (span == 1 or _STARTS.match(lines[i]) or len(lines[i + span - 1]) < 60):
-            return span
-        return 0
+        return span if _PLAIN.fullmatch(joined) and quoted else 0
     return 0
 
 

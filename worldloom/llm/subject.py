@@ -27,7 +27,7 @@ FURNITURE = (
     "commit ", "Author:", "AuthorDate:", "Commit:", "CommitDate:", "Date:", "From ", "From:", "changeset:", "user:", "date:", "branch:", "tag:", "parent:", "files:", "description:", "# ",
     "index ", "--- ", "+++ ", "@@", "GIT binary", "Binary files", "literal ", "delta ", "new file", "deleted file", "old mode", "new mode", "similarity", "rename ", "copy ", "Subproject", "\\ No newline", "Merge:",
 )
-_MESSAGE_FURNITURE = ("Merge ", "Bump ", "Release ", "Signed-off-by:", "Reviewed-by:", "Co-authored-by:", "Acked-by:", "Tested-by:", "Reported-by:", "Cc:", "Fixes #", "Closes #", "(cherry picked", "This reverts", "---", "git-svn-id:", "Change-Id:", "updated-dependencies:", "- dependency-name:", "update-type:", "chore(deps)", "[ci skip]", "# ")
+_MESSAGE_FURNITURE = ("Merge ", "Bump ", "Release ", "Signed-off-by:", "Reviewed-by:", "Co-authored-by:", "Acked-by:", "Tested-by:", "Reported-by:", "Cc:", "Fixes #", "Closes #", "(cherry picked", "This reverts", "---", "git-svn-id:", "Change-Id:", "updated-dependencies:", "- dependency-name:", "update-type:", "chore(deps)", "[ci skip]", "#")
 
 
 #: Parts of paths whose files are no subject matter.
@@ -108,12 +108,13 @@ def segments(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Term weights, SVD basis (terms x rank) and unit centroids (subjects x rank)."""
+    """Term weights, SVD basis (terms x rank), unit centroids (subjects x rank), and a typical term's embedded length."""
 
     subjects: list[str]
     weight: np.ndarray
     basis: np.ndarray
     centroids: np.ndarray
+    typical: float = 1.0
 
 
 def _csr(b: pa.RecordBatch, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,18 +200,29 @@ def _pass(seg: DataFrame, m: Model, least: float, near: float) -> tuple[np.ndarr
             x, norm = _embed(off, t, v, m)
             cos = x @ m.centroids.T
             best = cos.argmax(1)
-            ok = (norm >= least) & (cos[np.arange(len(best)), best] >= near)
+            ok = (norm >= least * m.typical) & (cos[np.arange(len(best)), best] >= near)
             np.add.at(acc, best[ok], x[ok])
-            size[:, 0] += np.bincount(best[ok], minlength=s)
-            of = np.repeat(np.where(ok, best, -1), np.diff(off))
-            seen += np.bincount(of[of >= 0] * TERMS + t[of >= 0], minlength=s * TERMS).reshape(s, TERMS)
+            # A message counts for the subjects of its document's files: words of any message then spread evenly.
+            doc, kind = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            no = np.cumsum(np.r_[0, (doc[1:] != doc[:-1]).astype(np.int64)])
+            files = np.zeros((int(no[-1]) + 1 if len(no) else 0, s), bool)
+            f = ok & (kind == 2)
+            files[no[f], best[f]] = True
+            told = np.zeros((len(best), s), bool)
+            told[ok, best[ok]] = True
+            msg = (kind == 0) & files.any(1)[no] if len(no) else np.zeros(0, bool)
+            told[msg] = files[no[msg]]
+            size[:, 0] += told.sum(0)
+            row = np.repeat(np.arange(len(best)), np.diff(off))
+            for j in range(s):
+                seen[j] += np.bincount(t[told[row, j]], minlength=TERMS)
         all_ = np.concatenate([seen, acc, size], axis=1)
         who, what = np.nonzero(all_)
         for i in range(0, len(who), 50_000):
             w, c = who[i : i + 50_000], what[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(all_[w, c])], names=["subject", "what", "total"])
 
-    rows = seg.filter("kind <> 1").select("terms", "tf").mapInArrow(run, "subject int, what int, total double").groupBy("subject", "what").agg(F.sum("total").alias("total")).toPandas()
+    rows = seg.filter("kind <> 1").select("doc_id", "kind", "terms", "tf").mapInArrow(run, "subject int, what int, total double").groupBy("subject", "what").agg(F.sum("total").alias("total")).toPandas()
     out = np.zeros((s, TERMS + k + 1))
     out[rows["subject"].to_numpy(int), rows["what"].to_numpy(int)] = rows["total"]
     return out[:, TERMS : TERMS + k], out[:, :TERMS].T, out[:, -1]
@@ -227,7 +239,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
-def fit(seg: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int = 10, power: int = 3, rounds: int = 2, least: float = 1.0, near: float = 0.75, seed: int = 7) -> Model:
+def fit(seg: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int = 16, power: int = 3, rounds: int = 2, least: float = 1.5, near: float = 0.75, seed: int = 7) -> Model:
     """Fit on all segments; ``labels(doc_id, subject)`` are the seeds, ``subjects(subject, about)`` the areas.
 
     The first round weighs terms by the labelled documents alone, later rounds by what the round before assigned
@@ -258,8 +270,15 @@ def fit(seg: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int = 10,
         # A subject's terms, embedded like a segment.
         share = per / np.maximum(sizes, 1)
         start = _unit((share / np.maximum(share.sum(1, keepdims=True), 1e-9) * np.sqrt(df)[:, None] * weight[:, None]).T @ q)
-        m = Model(names, weight, q, start)
-        sums, per_new, sizes_new = _pass(seg, m, least * (0.5 if r == 0 else 1), near)
+        # Within the SVD space, subjects are told apart in the subspace of their seeds: other directions, such as
+        # phrases of one subject, would only blur the cosines.
+        inner = np.linalg.qr(start.T.astype(np.float64))[0].astype(np.float32)
+        q, start = q @ inner, _unit(start @ inner)
+        # The length a term of subject matter has by itself, over all occurrences and weighted by term weight.
+        use = df * weight
+        typical = float((use * weight * np.sqrt((q * q).sum(1))).sum() / max(use.sum(), 1e-9))
+        m = Model(names, weight, q, start, typical)
+        sums, per_new, sizes_new = _pass(seg, m, least, near)
         m.centroids = _unit(0.3 * start + _unit(sums))
         per, sizes = per_new + 1e-3 * per, sizes_new + 1e-3 * sizes
     return m
@@ -279,15 +298,15 @@ def scores(seg: DataFrame, m: Model) -> DataFrame:
     return seg.select("doc_id", "kind", "terms", "tf").mapInArrow(run, "doc_id bigint, kind tinyint, norm float, cos array<float>")
 
 
-def assign(seg: DataFrame, m: Model, least: float = 1.0, near: float = 0.72, near_line: float = 0.8) -> DataFrame:
+def assign(seg: DataFrame, m: Model, least: float = 0.7, near: float = 0.72, near_line: float = 0.8) -> DataFrame:
     """``doc_id, subject``: every subject near enough to any segment of the document; none where nothing is near.
 
-    ``least`` is the weight of subject matter a segment needs, ``near`` the cosine for messages and files,
+    ``least`` is the subject matter a segment needs, in lengths of a typical term, ``near`` the cosine for messages and files,
     ``near_line`` that for single message lines, whose few words are easily ambiguous.  Empty and null texts have
     no subject.  Rows are distinct.
     """
     names = F.array(*[F.lit(s) for s in m.subjects])
-    s = scores(seg, m).filter(F.col("norm") >= least)
+    s = scores(seg, m).filter(F.col("norm") >= least * max(m.typical, 1e-9))
     bar = F.when(F.col("kind") == 1, F.lit(near_line)).otherwise(F.lit(near))
     hit = s.select("doc_id", bar.alias("bar"), F.posexplode("cos").alias("i", "c")).filter("c >= bar")
     return hit.select("doc_id", F.element_at(names, F.col("i") + 1).alias("subject")).distinct()
