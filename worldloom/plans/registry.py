@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldloom.plans import problems
+from worldloom.plans import problems, world
 
-_MODULES = [problems]
+_MODULES = [problems, world]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
