@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldloom.plans import problems, world
+from worldloom.plans import problems, relations, world
 
-_MODULES = [problems, world]
+_MODULES = [problems, world, relations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
