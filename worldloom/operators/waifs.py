@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worldloom.operators import nested
-from worldloom.operators.inspect import World, tag, value_nodes
+from worldloom.operators.inspect import World, scalar, tag, value_nodes
 from worldloom.session import materialize
 
 
@@ -32,7 +32,9 @@ def holders(w: World) -> DataFrame:
     """``holder_id, waif_index``: objects whose values lead to a waif, directly or through other waifs."""
     direct = value_nodes(w).filter("tag = 'waif'").select(F.col("holder_id").alias("o"), F.col("scalar").cast("bigint").alias("waif_index"))
     rows = w.waifs.select(F.lit("waif").alias("holder_kind"), F.col("waif_index").alias("holder_id"), F.lit(None).cast("string").alias("member"), F.col("props").alias("text"))
-    inner = nested.flatten_values(rows, "slots", linked=True).filter("tag = 'waif'").select(F.col("holder_id").alias("src"), F.col("scalar").cast("bigint").alias("dst"))
+    deep = nested.flatten_values(rows, "slots", linked=True).filter("tag = 'waif'").select(F.col("holder_id").alias("src"), F.col("scalar").cast("bigint").alias("dst"))
+    top = slots(w).filter(tag() == "waif").select(F.col("waif_index").alias("src"), scalar().cast("bigint").alias("dst"))
+    inner = deep.unionByName(top)
     return _closure(direct, inner.distinct())
 
 
