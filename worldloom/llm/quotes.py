@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from worldloom.session import materialize
 
-MIN_WORDS = 20
+MIN_WORDS = 25
 BLOCK_MAILS = 400
 
 #: Marks that clients put before quoted lines, nested in any order.
@@ -82,7 +82,7 @@ def roles(body: list[str | None]) -> list[str]:
                 out[i : i + span] = ["attribution"] * span
                 i += span
                 continue
-        elif QUOTE.match(line):
+        if QUOTE.match(line):
             out[i] = "quote"
             i += 1
             continue
