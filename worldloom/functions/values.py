@@ -33,3 +33,21 @@ def code_hash(code: Column | str) -> Column:
     c = F.col(code) if isinstance(code, str) else code
     lines = F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))
     return F.when(c.isNull(), F.lit(None).cast("struct<a:bigint,b:bigint>")).otherwise(F.struct(F.xxhash64(F.size(c), lines).alias("a"), F.xxhash64(F.lit(97), F.size(c), lines).alias("b")))
+
+
+def double_of_bits(bits: Column | str) -> Column:
+    """The number behind 16 hex digits of a binary64, by arithmetic on its fields; NaN and infinities included."""
+    b = F.col(bits) if isinstance(bits, str) else bits
+    hi = F.conv(F.substring(b, 1, 8), 16, 10).cast("bigint")
+    lo = F.conv(F.substring(b, 9, 8), 16, 10).cast("bigint")
+    exp = F.shiftright(hi, 20).bitwiseAND(0x7FF)
+    frac = (hi.bitwiseAND(0xFFFFF) * F.lit(float(2**32)) + lo) / F.lit(float(2**52))
+    sign = F.when(F.shiftright(hi, 31).bitwiseAND(1) == 1, -1.0).otherwise(1.0)
+    special = F.when(frac == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    small = sign * frac * F.pow(F.lit(2.0), F.lit(-1022.0))
+    return F.when(exp == 0x7FF, special).when(exp == 0, small).otherwise(sign * (1 + frac) * F.pow(F.lit(2.0), (exp - 1023).cast("double")))
+
+
+def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-12) -> Column:
+    """Whether two numbers are close, as tolerant comparisons mean it; null where either is null."""
+    return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))

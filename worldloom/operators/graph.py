@@ -118,3 +118,26 @@ def ranked_targets(e: DataFrame, n: int = 3) -> DataFrame:
     c = e.groupBy("kind", "dst").agg(F.count("*").alias("n"))
     by = W.partitionBy("kind").orderBy(F.desc("n"), "dst")
     return c.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= n).drop("r")
+
+
+def effective_edges(w: World) -> DataFrame:
+    """Property edges objects inherit through cleared properties: ``src, dst, kind, evidence, value_from``."""
+    from worldloom.operators.inherit import effective_values
+
+    got = effective_values(w).filter("value_json IS NOT NULL").select("oid", "name", "value_from", "value_json")
+    origin = got.select("oid", "name", "value_from")
+    as_own = World(w.objects, got.select("oid", "name", F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("owner"), F.lit(0).alias("perms"), "value_json"), w.verbs, w.waifs)
+    r = references(as_own).select(F.col("holder_id").alias("src"), F.col("target").alias("dst"), "member", "path")
+    return r.join(origin, (F.col("src") == F.col("oid")) & (F.col("member") == F.col("name"))).select("src", "dst", F.lit("inherited").alias("kind"), F.concat_ws(":", "member", "path").alias("evidence"), "value_from")
+
+
+def with_overlay(w: World, e: DataFrame, overlay: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """Edges with external ones added: ``overlay(src, dst, kind, evidence)`` of known kinds between existing objects.
+
+    Unknown kinds and ends outside the dump are errors of the overlay, not edges.
+    """
+    ids = w.objects.select("id")
+    ok = overlay.filter(F.col("kind").isin(*known)).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    if ok.count() != overlay.count():
+        raise ValueError("the overlay has unknown kinds or ends outside the dump")
+    return e.unionByName(overlay.select(*e.columns))

@@ -47,3 +47,44 @@ def presence(properties: DataFrame, dumps: list[int], target: int) -> DataFrame:
     ids = F.array(*[F.lit(x) for x in dumps])
     ev = F.array_compact(F.array(F.when(came, F.struct(F.col("i").alias("i"), F.lit("appeared").alias("t"))), F.when(went, F.struct((F.col("i") + 1).alias("i"), F.lit("disappeared").alias("t")))))
     return s.select("oid", "name", F.explode(ev).alias("e")).select("oid", "name", F.element_at(ids, F.col("e.i") + 1).alias("snapshot_id"), F.col("e.t").alias("transition"))
+
+
+def build(spark, sf_dir: str, path: str) -> list[tuple[int, int]]:
+    """Write the object and verb events of every pair of consecutive live dumps below ``path``, one folder per pair.
+
+    Pairs already written are left as they are, so a stopped build goes on where it was.  Returns the pairs written.
+    """
+    import os
+
+    from worldloom.operators.compare import object_events, verb_pairs
+    from worldloom.operators.inspect import open_world
+    from worldloom.sources.tables import live_dumps, table
+
+    dumps = live_dumps(table(spark, sf_dir, "moo_dumps"))
+    wrote = []
+    for i in range(1, len(dumps)):
+        folder = f"{path}/pair={i}"
+        if os.path.exists(f"{folder}/_SUCCESS"):
+            continue
+        a, b = open_world(spark, sf_dir, len(dumps) - i), open_world(spark, sf_dir, len(dumps) - 1 - i)
+        o = object_events(a, b).select(F.lit("object").alias("kind"), "oid", F.col("field").alias("name"), "change")
+        v = verb_pairs(a, b).select(F.lit("verb").alias("kind"), "oid", "name", "change")
+        o.unionByName(v).withColumns({"old_id": F.lit(dumps[i - 1]), "new_id": F.lit(dumps[i])}).write.mode("overwrite").parquet(folder)
+        wrote.append((dumps[i - 1], dumps[i]))
+    return wrote
+
+
+def events(spark, path: str, kind: str | None = None, oid: int | None = None) -> DataFrame:
+    """Events of a built history in order of pairs; filters reach the scan."""
+    e = spark.read.parquet(path)
+    if kind:
+        e = e.filter(F.col("kind") == kind)
+    return e.filter(F.col("oid") == oid) if oid is not None else e
+
+
+def continuous(spark, path: str) -> bool:
+    """Whether every pair's older dump is the pair's before it: one row per pair is compared."""
+    p = spark.read.parquet(path).groupBy("pair").agg(F.min("old_id").alias("old_id"), F.max("new_id").alias("new_id"), (F.count_distinct("old_id", "new_id") == 1).alias("one"))
+    by = W.orderBy("pair")
+    bad = p.withColumn("before", F.lag("new_id").over(by)).filter("NOT one OR (before IS NOT NULL AND before <> old_id)")
+    return bad.isEmpty()

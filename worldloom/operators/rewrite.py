@@ -68,3 +68,55 @@ def reassigned(w: World, from_owner: int, to: int) -> DataFrame:
         c = d.agg(F.count_if(F.col("owner") == from_owner).alias("n")).select(F.lit(k).alias("kind"), "n", F.lit(to).cast("bigint").alias("new_owner"))
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def renumbered_code(w: World, ids: DataFrame, base: int) -> DataFrame:
+    """``oid, name, code`` with every ``#N`` outside strings rewritten by ``ids(id, new_id)``; unknown ones become ``base - N``.
+
+    A verb gets only the map of the numbers it names, so the Python step sees one small map per program.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from worldloom.functions import moo
+    from worldloom.operators.inspect import code_lines
+
+    pattern = r'"(?:\\.|[^"\\])*(?:"|\\?$)|(?<![\w#$-])#(\d+)(?!\d)'
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        number = re.compile(pattern)
+        for b in batches:
+            codes = []
+            for code, pairs in zip(b["code"], b["pairs"]):
+                known = {} if pairs is None else {p["id"]: p["new_id"] for p in pairs}
+
+                def one(m: re.Match, known: dict = known) -> str:
+                    return m.group() if m.group(1) is None else f"#{known.get(int(m.group(1)), base - int(m.group(1)))}"
+
+                codes.append([None if x is None else number.sub(one, x) for x in code])
+            yield pd.DataFrame({"oid": b["oid"], "name": b["name"], "code": codes})
+
+    seen = code_lines(w).select("oid", F.col("verb").alias("name"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n")).select("oid", "name", F.col("n").cast("bigint").alias("id")).distinct()
+    pairs = seen.join(ids.select("id", "new_id"), "id").groupBy("oid", "name").agg(F.collect_list(F.struct("id", "new_id")).alias("pairs"))
+    v = w.verbs.filter("code IS NOT NULL").select("oid", "name", "code").join(pairs, ["oid", "name"], "left")
+    return v.mapInPandas(run, "oid bigint, name string, code array<string>")
+
+
+def without_dead(w: World, gone: DataFrame, field: str = "contents") -> DataFrame:
+    """``id, {field}``: lists without removed numbers, order kept; null lists stay null."""
+    links = w.objects.select("id", F.posexplode_outer(field).alias("i", "n"))
+    lost = gone.select(F.col("id").alias("n"), F.lit(1).alias("lost"))
+    kept = links.join(lost, "n", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("lost").isNull() & F.col("i").isNotNull(), F.struct("i", "n")))).alias("x"))
+    return w.objects.select("id", F.col(field).isNull().alias("__null")).join(kept, "id", "left").select("id", F.when(~F.col("__null"), F.col("x.n")).alias(field))
+
+
+def emptied(w: World, oid: int, name: str) -> DataFrame:
+    """Properties with the value of one property emptied: strings, lists and maps become empty, other values zero."""
+    from worldloom.operators.inspect import tag
+
+    empty = F.when(tag() == "string", '{"type":"string","value":""}').when(tag() == "list", '{"items":[],"type":"list"}').when(tag() == "map", '{"entries":[],"type":"map"}').otherwise('{"type":"int","value":"0"}')
+    hit = (F.col("oid") == oid) & (F.lower("name") == name.lower()) & F.coalesce(tag() != "clear", F.lit(False))
+    return w.properties.withColumn("value_json", F.when(hit, empty).otherwise(F.col("value_json")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worldloom.plans import others, problems, relations, world
+from worldloom.plans import others, problems, relations, rewrites, world
 
-_MODULES = [problems, world, relations, others]
+_MODULES = [problems, world, relations, others, rewrites]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
