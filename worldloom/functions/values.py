@@ -16,10 +16,18 @@ def canonical(value_json: Column | str) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(v)), F.concat(F.lit("!"), v))
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it: a lambda's variable is bound, not inlined."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _two_hashes(*parts: Column) -> Column:
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(97), *parts).alias("b"))
+
+
 def value_hash(value_json: Column | str) -> Column:
     """Two independent 64-bit hashes of the canonical spelling; null stays distinguishable from every value."""
-    c = canonical(value_json)
-    return F.when(c.isNull(), F.lit(None).cast("struct<a:bigint,b:bigint>")).otherwise(F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(97), c).alias("b")))
+    return once(canonical(value_json), lambda c: F.when(c.isNotNull(), _two_hashes(c)))
 
 
 def code_text(code: Column | str) -> Column:
@@ -31,8 +39,8 @@ def code_text(code: Column | str) -> Column:
 def code_hash(code: Column | str) -> Column:
     """As ``value_hash``, of a program's lines; no program (null) stays null."""
     c = F.col(code) if isinstance(code, str) else code
-    lines = F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))
-    return F.when(c.isNull(), F.lit(None).cast("struct<a:bigint,b:bigint>")).otherwise(F.struct(F.xxhash64(F.size(c), lines).alias("a"), F.xxhash64(F.lit(97), F.size(c), lines).alias("b")))
+    marked = F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))
+    return once(marked, lambda lines: F.when(lines.isNotNull(), _two_hashes(F.size(lines), lines)))
 
 
 def double_of_bits(bits: Column | str) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worldloom.functions.values import once
 from worldloom.session import count_rows, materialize
 
 HASHES = 3
@@ -144,7 +145,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: list[str], fields: dict[st
     a difference to an expression whose values are compared null-safely (null equals null only).  Null key parts
     are ordinary key values.  Two empty sides give no rows.
     """
-    hashed = {f: F.xxhash64(F.lit(3), c.isNull(), c) for f, c in fields.items()}
+    hashed = {f: once(c, lambda x: F.xxhash64(F.lit(3), x.isNull(), x)) for f, c in fields.items()}
 
     def slim(df: DataFrame, sign: int) -> DataFrame:
         at = F.coalesce(F.col(order).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
