@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worldloom.functions.values import code_hash, value_hash
-from worldloom.sources.tables import MEMBER_KEY, latest
+from worldloom.sources.tables import latest
 
 
 def _dump_index(dumps: list[int]):
@@ -50,11 +50,19 @@ def snapshot_changes(records: DataFrame, key: list[str], hash_col: str, dumps: l
 def member_changes(properties: DataFrame, verbs: DataFrame, dumps: list[int]) -> DataFrame:
     """Changes of properties (typed value) and verbs (exact code) over consecutive dumps.
 
-    Columns ``kind, snapshot_id, oid, name, change_type``.  Only hashes of values and programs are shuffled.
+    Columns ``kind, snapshot_id, oid, name, change_type``.  Only hashes of values and programs are shuffled, and
+    only once: all deliveries of a record are brought together by kind, object and name, where both the newest
+    delivery per dump and the window over the dumps find them.
     """
-    p = latest(properties.filter(F.col("snapshot_id").isin(dumps)), MEMBER_KEY, {"h": value_hash("value_json")}).withColumn("kind", F.lit("property"))
-    v = latest(verbs.filter(F.col("snapshot_id").isin(dumps)), MEMBER_KEY, {"h": code_hash("code")}).withColumn("kind", F.lit("verb"))
-    out = snapshot_changes(p.unionByName(v), ["kind", "oid", "name"], "h", dumps)
+
+    def slim(df: DataFrame, kind: str, h) -> DataFrame:
+        at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+        return df.filter(F.col("snapshot_id").isin(dumps)).select(F.lit(kind).alias("kind"), "snapshot_id", "oid", "name", at.alias("at"), h.alias("h"))
+
+    key = ["kind", "oid", "name"]
+    every = slim(properties, "property", value_hash("value_json")).unionByName(slim(verbs, "verb", code_hash("code"))).repartition(*key)
+    newest = every.groupBy(*key, "snapshot_id").agg(F.max_by(F.struct("h"), "at").alias("r")).select(*key, "snapshot_id", F.col("r.h").alias("h"))
+    out = snapshot_changes(newest, key, "h", dumps)
     return out.select("kind", "snapshot_id", "oid", "name", "change_type")
 
 
