@@ -217,3 +217,17 @@ def test_streams(spark, tmp_path):
     time.sleep(0.5)
     q.stop()
     assert {(r.start.minute, r.n) for r in spark.table("act").collect()} == {(0, 2), (5, 1)}
+
+
+def test_bounds_tell_what_they_prove(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (1, 5)], "src bigint, dst bigint")
+    go = lambda *a, **k: (lambda r: ({(x.id, x.depth) for x in r[0].collect()}, r[1]))(graph.bounded(e, *a, **k))
+    assert go(1, 9, 99) == ({(1, 0), (2, 1), (5, 1), (3, 2), (4, 3)}, "complete")
+    assert go(1, 9, 99, target=4)[1] == "present" and go(5, 9, 99, target=1)[1] == "missing"
+    assert go(1, 1, 99, target=4)[1] == "unknown" and go(1, 9, 2, target=4) == ({(1, 0), (2, 1)}, "unknown")
+
+
+def test_verdicts(spark):
+    old = world(spark, (), (), [(1, "a", 5, ["x", "y"]), (1, "b", 5, ["z"]), (2, "a", 5, ["p", "q"]), (3, "a", 5, ["k"]), (3, "empty", 5, [])])
+    new = world(spark, (), (), [(1, "a", 5, ["x", " y "]), (1, "c", 5, ["z"]), (2, "a", 5, ["p", "q", "r"]), (3, "a", 5, ["m"])])
+    assert {tuple(r) for r in compare.verdicts(old, new).collect()} == {(1, 2, 2, 0, "same"), (2, 1, 0, 1, "likely"), (3, 1, 0, 0, "different")}

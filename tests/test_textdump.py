@@ -33,7 +33,7 @@ def new_dump(end="\n"):
         V("map", entries=[{"key": V("int", "1"), "value": waif}, {"key": V("obj", "1"), "value": V("string", "")}, {"key": V("string", "A"), "value": V("map", entries=[])}]),
     )
     return {
-        "version": 17, "line_end": end, "players": [2, 3], "pending": [V("int", "1")], "clocks": ["c 1"],
+        "version": 17, "server": "AnyMOO", "line_end": end, "players": [2, 3], "pending": [V("int", "1")], "clocks": ["c 1"],
         "queued": [{"head": [0, 1, 100, 7], "call": call(), "env": [{"name": "a", "value": V("int", "5")}], "code": ["x;", ""]}],
         "suspended": [{"start": 5, "id": 8, "value": V("string", "hi"), "vm": {"local": V("map", entries=[]), "head": [1, -1, 0, 50], "frames": [frame("move"), frame("call_function")]}}, {"start": 5, "id": 9, "value": None, "vm": {"local": LIST(), "head": [0, -1, 0, 50], "frames": [frame()]}}],
         "interrupted": [{"id": 4, "status": "interrupted reading", "vm": {"local": LIST(), "head": [0, -1, 0, 50], "frames": [frame("eval")]}}],
@@ -54,7 +54,7 @@ def old_dump(connections):
         return {k: n[k] for k in ("id", "recycled", "name", "flags", "owner", "verbs", "slots")} | {"blank": "", "location": -1, "first_content": -1, "neighbour": -1, "parent": parent, "first_child": -1, "sibling": -1}
 
     return {
-        "version": 4, "line_end": "\n", "n_objects": 3, "n_programs": 1, "dummy": "0", "players": [1], "objects": [obj(0, -1), {"id": 1, "recycled": True}, obj(2, 0)], "programs": [{"oid": 2, "verb_index": 0, "code": ["a"]}], "clocks": [], "queued": [],
+        "version": 4, "server": "AnyMOO", "line_end": "\n", "n_objects": 3, "n_programs": 1, "dummy": "0", "players": [1], "objects": [obj(0, -1), {"id": 1, "recycled": True}, obj(2, 0)], "programs": [{"oid": 2, "verb_index": 0, "code": ["a"]}], "clocks": [], "queued": [],
         "suspended": [{"start": 1, "id": 2, "value": None, "vm": {"local": None, "head": [0, -1, 0, 50], "frames": [frame(new=False)]}}], "connections": connections, "waifs": {},
     }
 

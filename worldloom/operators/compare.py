@@ -136,3 +136,20 @@ def value_events(old: World, new: World) -> DataFrame:
     j = p(old).withColumnRenamed("r", "a").join(p(new).withColumnRenamed("r", "b"), ["oid", "name"])
     d = j.filter(~F.col("a.v").eqNullSafe(F.col("b.v")))
     return d.select("oid", "name", F.when(F.col("a.t").eqNullSafe(F.col("b.t")), "changed").otherwise("type_mismatch").alias("change"), F.col("a.t").alias("tag_before"), F.col("b.t").alias("tag_after"))
+
+
+def verdicts(old: World, new: World, least: float = 0.5) -> DataFrame:
+    """Whether an object's programs are those of before: ``oid, n_verbs, n_exact, n_similar, verdict``.
+
+    Verbs without lines are left out.  ``same`` from 80 % exact matches, ``likely`` from 50 % exact or similar ones,
+    else ``different``; a verb that matches exactly does not count as similar.
+    """
+    digest = lambda w: w.verbs.select("oid", "name", normalized().alias("n")).filter(F.size("n") > 0).select("oid", "name", F.sha2(F.array_join("n", "\n"), 256).alias("d"))
+    old_d, new_d = digest(old), digest(new)
+    exact = old_d.join(new_d.select("oid", "d").distinct(), ["oid", "d"], "left_semi").select("oid", "name", F.lit(1).alias("exact"))
+    alike = similar_programs(old, new, least).select("oid", F.col("name_a").alias("name"), F.lit(1).alias("alike")).distinct()
+    j = old_d.select("oid", "name").join(exact, ["oid", "name"], "left").join(alike, ["oid", "name"], "left")
+    s = j.groupBy("oid").agg(F.count("*").alias("n_verbs"), F.count("exact").alias("n_exact"), F.count_if(F.col("exact").isNull() & (F.col("alike") == 1)).alias("n_similar"))
+    share = lambda n: F.col("n_verbs") * F.lit(n)
+    verdict = F.when(F.col("n_exact") >= share(0.8), "same").when(F.col("n_exact") + F.col("n_similar") >= share(0.5), "likely").otherwise("different")
+    return s.withColumn("verdict", verdict)

@@ -141,3 +141,38 @@ def with_overlay(w: World, e: DataFrame, overlay: DataFrame, known: tuple[str, .
     if ok.count() != overlay.count():
         raise ValueError("the overlay has unknown kinds or ends outside the dump")
     return e.unionByName(overlay.select(*e.columns))
+
+
+def bounded(e: DataFrame, root: int, max_depth: int, max_nodes: int, target: int | None = None) -> tuple[DataFrame, str]:
+    """``id, depth`` of at most ``max_nodes`` nodes around ``root``, and what that proves.
+
+    Nodes are taken level by level in order of their number.  The verdict is ``complete`` when nothing was cut off;
+    with a ``target``, ``present`` when it was reached, ``missing`` when the search was complete without it, else
+    ``unknown``.
+    """
+    links = materialize(e.select("src", "dst").distinct(), "bounded-links")
+    spark = e.sparkSession
+    seen = spark.createDataFrame([(root, 0)], "id bigint, depth int")
+    front, n, cut = seen, 1, False
+    for d in range(1, max_depth + 2):
+        step = front.join(links, front.id == links.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        if d > max_depth:
+            cut = cut or not step.isEmpty()
+            break
+        fresh = materialize(step.orderBy("id").limit(max_nodes - n + 1).withColumn("depth", F.lit(d)), f"bounded-{d}")
+        here = fresh.count()
+        if here == 0:
+            break
+        if n + here > max_nodes:
+            cut = True
+            fresh = materialize(fresh.orderBy("id").limit(max_nodes - n), f"bounded-cut-{d}")
+            here = max_nodes - n
+        n += here
+        seen, front = seen.unionByName(fresh), fresh
+        if here == 0:
+            break
+    if target is None:
+        return seen, "unknown" if cut else "complete"
+    if not seen.filter(F.col("id") == target).isEmpty():
+        return seen, "present"
+    return seen, "unknown" if cut else "missing"

@@ -285,3 +285,25 @@ def _(w):
     both = I.references(w).select(F.col("holder_id").alias("src"), F.col("target").alias("dst")).unionByName(text.select("src", F.col("n").cast("bigint").alias("dst")))
     inward = both.join(members.withColumnRenamed("id", "dst"), "dst", "left_semi").join(members.withColumnRenamed("id", "src"), "src", "left_anti")
     return inward.groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "match_verdicts",
+    f"""WITH {V}, {V1}, {ALIASES}, a1 AS (SELECT oid, verb, alias FROM (SELECT oid, name AS verb, unnest(string_split_regex(name, ' +')) AS alias FROM v1) WHERE alias <> ''),
+  m1 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v1), m2 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v),
+  c1 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m1) GROUP BY ALL), c2 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m2) GROUP BY ALL),
+  cand AS (SELECT DISTINCT a1.oid, a1.verb AS name_a, a.verb AS name_b FROM a1 JOIN a ON a1.oid = a.oid AND a1.alias = a.alias),
+  sim AS (SELECT DISTINCT oid, name_a FROM (SELECT cand.oid, name_a, name_b, sum(least(c1.c, c2.c))::DOUBLE / (c1.z + c2.z - sum(least(c1.c, c2.c))) AS s FROM cand JOIN c1 ON c1.oid = cand.oid AND c1.name = name_a JOIN c2 ON c2.oid = cand.oid AND c2.name = name_b AND c1.line = c2.line GROUP BY cand.oid, name_a, name_b, c1.z, c2.z) WHERE s >= 0.5),
+  j AS (SELECT oid, EXISTS (SELECT 1 FROM m2 WHERE m2.oid = m1.oid AND m2.n = m1.n) AS ex, EXISTS (SELECT 1 FROM sim WHERE sim.oid = m1.oid AND sim.name_a = m1.name) AS al FROM m1 WHERE len(n) > 0),
+  g AS (SELECT oid, count(*) AS n_verbs, count(*) FILTER (ex) AS n_exact, count(*) FILTER (al AND NOT ex) AS n_similar FROM j GROUP BY oid)
+SELECT *, CASE WHEN n_exact >= n_verbs * 0.8 THEN 'same' WHEN n_exact + n_similar >= n_verbs * 0.5 THEN 'likely' ELSE 'different' END AS verdict FROM g""",
+    pair=True,
+)
+def _(a, b):
+    return C.verdicts(a, b)
+
+
+@query("bounded_neighbourhood")
+def _(w):
+    """Up to 200 nodes within four steps of the root class along all edges (bounds are the feature)."""
+    return G.bounded(G.edges(w), 1, 4, 200)[0]

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: The format's type numbers, its version line, and built-ins that save a line of state.
 TYPE_NUMBERS = {0: "int", 1: "obj", 2: "string", 3: "error", 4: "list", 5: "clear", 6: "none", 7: "catch", 8: "finally", 9: "float", 10: "map", 12: "anon", 13: "waif", 14: "bool"}
 NUMBER_OF = {t: n for n, t in TYPE_NUMBERS.items()}
-VERSION_LINE = "** LambdaMOO Database, Format Version {} **"
+VERSION_LINE = re.compile(r"\*\* (\S+) Database, Format Version (\d+) \*\*")
 STATEFUL_BUILTINS = ("create", "recreate", "recycle", "move")
 CALL_FUNCTION = "bf_call_function data: fname = "
 MAX_WAIF_SLOT = 96
@@ -516,14 +516,14 @@ def parse(data: bytes) -> dict:
     """A dump as nested records; ``DumpError`` where it breaks the format."""
     text = data[:-1] if data.endswith(b"\n") else data
     s = Source(_lines(text))
-    m = re.fullmatch(re.escape(VERSION_LINE).replace(r"\{\}", r"(\d+)"), s.line())
+    m = VERSION_LINE.fullmatch(s.line())
     if not m:
         s.fail("invalid version line")
-    s.version = int(m.group(1))
+    s.version = int(m.group(2))
     layout = _layout(s.version)
     if layout is None:
         s.fail("unsupported version")
-    out: dict = {"version": s.version, "line_end": "\r\n" if b"\r\n" in data[:1000] else "\n"}
+    out: dict = {"version": s.version, "server": m.group(1), "line_end": "\r\n" if b"\r\n" in data[:1000] else "\n"}
     s.heads = out
     for name, codec in layout.items():
         out[name] = codec.read(s)
@@ -546,7 +546,7 @@ def pieces(dump: dict) -> list[tuple[str, bytes]]:
             out.append((name, (dump["line_end"].join(s.out) + dump["line_end"]).encode("latin-1")))
             s.out = []
 
-    s.line(VERSION_LINE.format(dump["version"]))
+    s.line(f"** {dump['server']} Database, Format Version {dump['version']} **")
     old = _layout(dump["version"]) is OLD_DUMP
     body = _OLD_BODY if old else _NG_BODY
     for name, codec in _layout(dump["version"]).items():
