@@ -149,3 +149,33 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert cli.main(["run", "nothing", sf]) == 2
     assert cli.main(["run", "players", sf, "--out", str(tmp_path / "o")]) == 0 and spark.read.parquet(str(tmp_path / "o")).count() > 0
     assert cli.main(["run", "players", sf, "--limit", "1"]) == 0
+
+
+def test_shown_values_and_resolution(spark):
+    from worldloom.operators import inherit
+
+    props = [(0, "Lib", J("obj", "1")), (1, "sub", J("obj", "2")), (2, "sub", CLEAR), (2, "lost", CLEAR), (0, "word", J("string", "x"))]
+    w = world(spark, tree((0, []), (1, []), (2, [1])), props)
+    assert {(r.oid, r.name): r.value_from for r in inherit.all_values(w).collect()}[2, "sub"] == 1
+    refs = spark.createDataFrame([(x,) for x in ("#2", "1", "$lib", "$LIB.sub", "$lib.sub.sub", "$word", "$none", "#77", "bad", "$lib.none")], "ref string")
+    assert {r.ref: r.id for r in inherit.resolve(w, refs).collect()} == {"#2": 2, "1": 1, "$lib": 1, "$LIB.sub": 2, "$lib.sub.sub": 2, "$word": None, "$none": None, "#77": None, "bad": None, "$lib.none": None}
+
+
+def test_string_mentions_and_choices(spark):
+    w = world(spark, [(1, "Amber", 0, 7, 5, [], [], []), (2, None, 0, None, -1, [9], [], [])], [(1, "p", J("string", "see #2, #22 and #2"))])
+    assert [tuple(r) for r in inspect.string_mentions(w).collect()] == [(2, 1, "p", 2)]
+    assert {r.id for r in inspect.chosen(w, [2], 7).collect()} == {1, 2} and {r.id for r in inspect.chosen(w, name_pattern="^Am").collect()} == {1}
+    assert {r.number: r.n_missing for r in inspect.missing_by(w, "number").collect()} == {5: 1, 7: 1, 9: 1}
+
+
+def test_dump_files(spark, tmp_path):
+    session.ship(spark)
+    (tmp_path / "d").mkdir()
+    data = textdump.render(new_dump())
+    (tmp_path / "d" / "a.db").write_bytes(data)
+    (tmp_path / "d" / "b.db").write_bytes(data[:-1])
+    assert {r.dump: (r.same, r.first_line) for r in textdump.round_trips(spark, str(tmp_path / "d")).collect()}["a.db"] == (True, None)
+    p = {r.dump: r.size for r in textdump.provenance(spark, str(tmp_path / "d")).collect()}
+    assert p == {"a.db": len(data), "b.db": len(data) - 1}
+    one = textdump.open_cached(spark, str(tmp_path / "d"), str(tmp_path / "c"))
+    assert one["object"].count() == 10 and textdump.open_cached(spark, str(tmp_path / "d"), str(tmp_path / "c"))["verb"].count() == 4

@@ -64,3 +64,31 @@ def holders(w: World, name: str) -> DataFrame:
     """Objects that hold a property of that name: how many, and how many with a value of their own."""
     p = w.properties.filter(F.lower("name") == name.lower())
     return p.agg(F.count("*").alias("n_objects"), F.count_if(F.coalesce(tag() != "clear", F.lit(True))).alias("n_own"))
+
+
+def all_values(w: World) -> DataFrame:
+    """Every property with the value it shows: ``oid, name, value_json, value_from``; unresolved ones keep ``clear``."""
+    own = w.properties.filter(F.coalesce(tag() != "clear", F.lit(True))).select("oid", "name", "value_json", F.col("oid").alias("value_from"))
+    got = effective_values(w).select("oid", "name", F.coalesce("value_json", F.lit('{"type":"clear"}')).alias("value_json"), "value_from")
+    return own.unionByName(got)
+
+
+def resolve(w: World, refs: DataFrame, max_steps: int = 16) -> DataFrame:
+    """``ref, id`` of references ``#N``, ``N``, ``$name`` and ``$a.b.c``; null where nothing is found.
+
+    A name is looked up on #0, each further part on the object found so far, by shown values, in any case.
+    """
+    from worldloom.operators.inspect import scalar
+
+    named = all_values(w).filter(tag() == "obj").select(F.col("oid").alias("at"), F.lower("name").alias("part"), scalar().cast("bigint").alias("to"))
+    named = materialize(named.groupBy("at", "part").agg(F.min("to").alias("to")), "named")
+    number = F.regexp_extract("ref", r"^#?(-?\d+)$", 1)
+    todo = refs.select("ref").distinct().select("ref", F.when(number != "", number.cast("bigint")).alias("id"), F.when(F.col("ref").rlike(r"^\$\w"), F.split(F.lower(F.substring("ref", 2, 10_000)), r"\.")).alias("parts"))
+    state = todo.select("ref", F.when(F.col("parts").isNull(), F.col("id")).otherwise(F.lit(0)).alias("at"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
+    steps = refs.agg(F.coalesce(F.max(F.size(F.split("ref", r"\."))), F.lit(0))).collect()[0][0]
+    for i in range(min(steps, max_steps)):
+        s = state.withColumn("part", F.get("parts", F.lit(i)))
+        j = s.join(named, ["at", "part"], "left")
+        state = materialize(j.select("ref", F.when(F.col("part").isNull(), F.col("at")).otherwise(F.col("to")).alias("at"), "parts"), f"resolve-{i}")
+    ids = w.objects.select(F.col("id").alias("at"), F.lit(1).alias("there"))
+    return state.join(ids, "at", "left").select("ref", F.when(F.col("there") == 1, F.col("at")).alias("id"))

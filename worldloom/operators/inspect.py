@@ -238,3 +238,26 @@ def players(w: World) -> DataFrame:
     p = w.objects.filter(moo.has_flag("flags", "player")).select("id", "name", "owner", "location")
     mark = lambda d, c: d.join(ids.select(F.col("id").alias(c), F.lit(1).alias(f"{c}_there")), c, "left")
     return mark(mark(p, "owner"), "location").select("id", "name", F.coalesce("owner_there", F.lit(0)).alias("owner_there"), F.coalesce("location_there", F.lit(0)).alias("location_there"))
+
+
+def string_mentions(w: World) -> DataFrame:
+    """``#N`` of existing objects in stored strings: ``target, holder_id, member, n``."""
+    s = value_nodes(w).filter("tag = 'string'").select("holder_id", "member", F.explode(F.regexp_extract_all("scalar", F.lit(r"#(\d{1,18})"), F.lit(1))).alias("n"))
+    hit = s.select(F.col("n").cast("bigint").alias("target"), "holder_id", "member").join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
+    return hit.groupBy("target", "holder_id", "member").agg(F.count("*").alias("n"))
+
+
+def missing_by(w: World, by: str = "holder") -> DataFrame:
+    """Slots whose number is no object, counted by ``holder`` or by ``number``."""
+    s = number_slots(w).filter("number >= 0").join(w.objects.select(F.col("id").alias("number")), "number", "left_anti")
+    return s.groupBy(by).agg(F.count("*").alias("n_missing"))
+
+
+def chosen(w: World, ids: list[int] = (), owned_by: int | None = None, name_pattern: str | None = None) -> DataFrame:
+    """``id`` of objects given by number, by owner, or by a pattern of their name."""
+    hit = F.col("id").isin(list(ids))
+    if owned_by is not None:
+        hit = hit | F.coalesce(F.col("owner") == owned_by, F.lit(False))
+    if name_pattern is not None:
+        hit = hit | F.coalesce(F.col("name").rlike(name_pattern), F.lit(False))
+    return w.objects.filter(hit).select("id")

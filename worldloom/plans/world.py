@@ -308,3 +308,21 @@ def _(w):
     size = F.coalesce(F.aggregate("code", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1), F.lit(0))
     by = Window.partitionBy("oid").orderBy("verb_index", "name")
     return w.verbs.select("oid", "verb_index", "name", size.alias("size")).withColumn("start", F.sum("size").over(by) - F.col("size")).drop("size")
+
+
+@query("string_mentions", f"WITH RECURSIVE {O}, {P}, {NODES} SELECT n::BIGINT AS target, holder_id, member, count(*) AS n FROM (SELECT holder_id, member, unnest(regexp_extract_all(scalar, '#([0-9]{{1,18}})', 1)) AS n FROM t WHERE tag = 'string') WHERE n::BIGINT IN (SELECT id FROM o) GROUP BY ALL")
+def _(w):
+    return I.string_mentions(w)
+
+
+@query("missing_by_number", f"""WITH RECURSIVE {O}, {P}, {V}, {NODES}, s AS (
+    SELECT owner AS n FROM o UNION ALL SELECT location FROM o UNION ALL SELECT unnest(parents) FROM o UNION ALL SELECT unnest(children) FROM o
+    UNION ALL SELECT unnest(contents) FROM o UNION ALL SELECT owner FROM p UNION ALL SELECT owner FROM v UNION ALL SELECT scalar::BIGINT FROM t WHERE tag = 'obj')
+SELECT n AS number, count(*) AS n_missing FROM s WHERE n >= 0 AND n NOT IN (SELECT id FROM o) GROUP BY n""")
+def _(w):
+    return I.missing_by(w, "number")
+
+
+@query("chosen_objects", f"WITH {O} SELECT id FROM o WHERE id IN (1, 2, 3) OR owner = 10 OR regexp_matches(name, '^Amber')")
+def _(w):
+    return I.chosen(w, [1, 2, 3], 10, "^Amber")

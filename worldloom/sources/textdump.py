@@ -723,3 +723,41 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     spark.dataSource.register(WorldDump)
     raw = spark.read.format("worlddump").load(path)
     return {t: raw.filter(F.col("section") == t).select("dump", F.from_json("payload", schema).alias("r")).select("dump", "r.*") for t, schema in TABLES.items()}
+
+
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """``dump, size, changed, sha256`` of dump files, hashed by the executors."""
+    b = spark.read.format("binaryFile").load(path)
+    return b.select(F.element_at(F.split("path", "/"), -1).alias("dump"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"), F.sha2("content", 256).alias("sha256"))
+
+
+def round_trips(spark: SparkSession, path: str) -> DataFrame:
+    """``dump, same, first_line``: whether each dump is written back byte by byte, and the first differing line if not."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for name, data in zip(b["dump"], b["content"]):
+                again = render(parse(bytes(data)))
+                pairs = enumerate(zip(bytes(data).split(b"\n"), again.split(b"\n")), 1)
+                out.append((name, again == bytes(data), None if again == bytes(data) else next((i for i, (x, y) in pairs if x != y), 0)))
+            yield pd.DataFrame(out, columns=["dump", "same", "first_line"])
+
+    b = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("dump"), "content")
+    return b.mapInPandas(run, "dump string, same boolean, first_line int")
+
+
+def open_cached(spark: SparkSession, path: str, cache: str) -> dict[str, DataFrame]:
+    """As ``load``, parsing once: tables are kept as parquet under a digest of the files' names, sizes and times.
+
+    A later query reads only the tables and columns it needs, without touching the dumps.
+    """
+    seen = sorted((os.path.basename(p), os.path.getsize(p), os.path.getmtime(p)) for p in glob.glob(os.path.join(path, "*")))
+    folder = os.path.join(cache, hashlib.sha256(json.dumps([seen, TABLES], sort_keys=True).encode()).hexdigest()[:24])
+    if not os.path.exists(os.path.join(folder, "COMPLETE")):
+        for t, df in load(spark, path).items():
+            df.write.mode("overwrite").parquet(f"{folder}/{t}")
+        open(os.path.join(folder, "COMPLETE"), "w").close()
+    return {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
