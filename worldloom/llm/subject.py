@@ -160,7 +160,7 @@ def _sum_blocks(seg: DataFrame, block: np.ndarray, weight: np.ndarray) -> np.nda
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int32)), *[pa.array(acc[h, j]) for j in range(k)]], names=["term", *cols])
 
     got = seg.filter("kind <> 1").select("terms", "tf").mapInArrow(run, "term int, " + ", ".join(f"{c} float" for c in cols))
-    rows = got.groupBy("term").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most TERMS rows
+    rows = got.groupBy("term").agg(*[F.sum(c).alias(c) for c in cols]).toArrow().to_pandas()  # at most TERMS rows
     out = np.zeros((TERMS, k))
     out[rows["term"]] = rows[cols].to_numpy()
     return out
@@ -169,7 +169,7 @@ def _sum_blocks(seg: DataFrame, block: np.ndarray, weight: np.ndarray) -> np.nda
 def _counts(df: DataFrame, by: str | None, labels: list[str]) -> np.ndarray:
     """Segments per term (and label): at most TERMS x labels numbers reach the driver."""
     t = df.select(F.explode("terms").alias("term"), *([by] if by else []))
-    rows = t.groupBy("term", *([by] if by else [])).count().toPandas()
+    rows = t.groupBy("term", *([by] if by else [])).count().toArrow().to_pandas()
     out = np.zeros((TERMS, len(labels) if by else 1))
     col = rows[by].map({s: i for i, s in enumerate(labels)}).to_numpy() if by else np.zeros(len(rows), int)
     out[rows["term"].to_numpy(int), col.astype(int)] = rows["count"]
@@ -222,7 +222,7 @@ def _pass(seg: DataFrame, m: Model, least: float, near: float) -> tuple[np.ndarr
             w, c = who[i : i + 50_000], what[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(all_[w, c])], names=["subject", "what", "total"])
 
-    rows = seg.filter("kind <> 1").select("doc_id", "kind", "terms", "tf").mapInArrow(run, "subject int, what int, total double").groupBy("subject", "what").agg(F.sum("total").alias("total")).toPandas()
+    rows = seg.filter("kind <> 1").select("doc_id", "kind", "terms", "tf").mapInArrow(run, "subject int, what int, total double").groupBy("subject", "what").agg(F.sum("total").alias("total")).toArrow().to_pandas()
     out = np.zeros((s, TERMS + k + 1))
     out[rows["subject"].to_numpy(int), rows["what"].to_numpy(int)] = rows["total"]
     return out[:, TERMS : TERMS + k], out[:, :TERMS].T, out[:, -1]
