@@ -179,3 +179,11 @@ def test_dump_files(spark, tmp_path):
     assert p == {"a.db": len(data), "b.db": len(data) - 1}
     one = textdump.open_cached(spark, str(tmp_path / "d"), str(tmp_path / "c"))
     assert one["object"].count() == 10 and textdump.open_cached(spark, str(tmp_path / "d"), str(tmp_path / "c"))["verb"].count() == 4
+
+
+def test_scratch_is_cleared(spark):
+    df = session.materialize(spark.range(5), "x")
+    path = df.inputFiles()[0]
+    assert session.count_rows(df) == 5 and session.clear_scratch(spark) >= 1
+    assert not os.path.exists(path.replace("file://", "").replace("file:", ""))
+    assert session.clear_scratch(spark) == 0

@@ -231,3 +231,11 @@ def test_verdicts(spark):
     old = world(spark, (), (), [(1, "a", 5, ["x", "y"]), (1, "b", 5, ["z"]), (2, "a", 5, ["p", "q"]), (3, "a", 5, ["k"]), (3, "empty", 5, [])])
     new = world(spark, (), (), [(1, "a", 5, ["x", " y "]), (1, "c", 5, ["z"]), (2, "a", 5, ["p", "q", "r"]), (3, "a", 5, ["m"])])
     assert {tuple(r) for r in compare.verdicts(old, new).collect()} == {(1, 2, 2, 0, "same"), (2, 1, 0, 1, "likely"), (3, 1, 0, 0, "different")}
+
+
+def test_numbers_too_large_for_any_column(spark):
+    big = "9" * 40
+    w = world(spark, tree((1, [])), [(1, "p", J("list", items=[json.loads(J("obj", big)), json.loads(J("obj", "1"))])), (0, "q", J("obj", big)), (1, "s", J("string", f"#{big} #1"))], [(1, "v", 5, [f"#{big} #1"])])
+    assert {r.target for r in inspect.references(w).collect()} == {None, 1} and {r.target for r in inspect.code_mentions(w).collect()} == {1}
+    for df in (graph.edges(w), inspect.slot_totals(w), inspect.dollar_names(w), inherit.resolve(w, spark.createDataFrame([(f"#{big}",)], "ref string")), rewrite.renumbered_code(w, rewrite.renumbering(w, w.objects.filter("id = 9").select("id")), -9)):
+        df.collect()

@@ -80,10 +80,10 @@ def resolve(w: World, refs: DataFrame, max_steps: int = 16) -> DataFrame:
     """
     from worldloom.operators.inspect import scalar
 
-    named = all_values(w).filter(tag() == "obj").select(F.col("oid").alias("at"), F.lower("name").alias("part"), scalar().cast("bigint").alias("to"))
+    named = all_values(w).filter(tag() == "obj").select(F.col("oid").alias("at"), F.lower("name").alias("part"), scalar().try_cast("bigint").alias("to"))
     named = materialize(named.groupBy("at", "part").agg(F.min("to").alias("to")), "named")
     number = F.regexp_extract("ref", r"^#?(-?\d+)$", 1)
-    todo = refs.select("ref").distinct().select("ref", F.when(number != "", number.cast("bigint")).alias("id"), F.when(F.col("ref").rlike(r"^\$\w"), F.split(F.lower(F.substring("ref", 2, 10_000)), r"\.")).alias("parts"))
+    todo = refs.select("ref").distinct().select("ref", F.when(number != "", number.try_cast("bigint")).alias("id"), F.when(F.col("ref").rlike(r"^\$\w"), F.split(F.lower(F.substring("ref", 2, 10_000)), r"\.")).alias("parts"))
     state = todo.select("ref", F.when(F.col("parts").isNull(), F.col("id")).otherwise(F.lit(0)).alias("at"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
     steps = refs.agg(F.coalesce(F.max(F.size(F.split("ref", r"\."))), F.lit(0))).collect()[0][0]
     for i in range(min(steps, max_steps)):

@@ -157,7 +157,7 @@ def value_nodes(w: World) -> DataFrame:
 
 def references(w: World, targets: DataFrame | None = None) -> DataFrame:
     """Object numbers in stored values: ``target, holder_id, member, path``; ``targets(id)`` narrows them."""
-    r = value_nodes(w).filter("tag = 'obj'").select(F.col("scalar").cast("bigint").alias("target"), "holder_id", "member", "path")
+    r = value_nodes(w).filter("tag = 'obj'").select(F.col("scalar").try_cast("bigint").alias("target"), "holder_id", "member", "path")
     return r.join(targets.select(F.col("id").alias("target")), "target", "left_semi") if targets is not None else r
 
 
@@ -165,7 +165,7 @@ def code_mentions(w: World, code_only: bool = False) -> DataFrame:
     """``#N`` in code, existing objects only: ``target, oid, verb, line_no`` once per line."""
     text = moo.masked("line") if code_only else F.col("line")
     hit = code_lines(w).select("oid", "verb", "line_no", F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
-    return hit.select(F.col("n").cast("bigint").alias("target"), "oid", "verb", "line_no").distinct().join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
+    return hit.select(F.col("n").try_cast("bigint").alias("target"), "oid", "verb", "line_no").distinct().join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
 
 
 def census(w: World, by: str) -> DataFrame:
@@ -221,7 +221,7 @@ def same_values(w: World) -> DataFrame:
 
 def dollar_names(w: World) -> DataFrame:
     """Objects named by #0: ``target, dollar_name``; the first such property wins."""
-    p = w.properties.filter((F.col("oid") == 0) & (tag() == "obj")).select(scalar().cast("bigint").alias("target"), "slot", "name")
+    p = w.properties.filter((F.col("oid") == 0) & (tag() == "obj")).select(scalar().try_cast("bigint").alias("target"), "slot", "name")
     return p.groupBy("target").agg(F.min(F.struct("slot", "name")).alias("s")).select("target", F.col("s.name").alias("dollar_name"))
 
 
@@ -243,7 +243,7 @@ def players(w: World) -> DataFrame:
 def string_mentions(w: World) -> DataFrame:
     """``#N`` of existing objects in stored strings: ``target, holder_id, member, n``."""
     s = value_nodes(w).filter("tag = 'string'").select("holder_id", "member", F.explode(F.regexp_extract_all("scalar", F.lit(r"#(\d{1,18})"), F.lit(1))).alias("n"))
-    hit = s.select(F.col("n").cast("bigint").alias("target"), "holder_id", "member").join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
+    hit = s.select(F.col("n").try_cast("bigint").alias("target"), "holder_id", "member").join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
     return hit.groupBy("target", "holder_id", "member").agg(F.count("*").alias("n"))
 
 

@@ -99,7 +99,7 @@ def renumbered_code(w: World, ids: DataFrame, base: int) -> DataFrame:
                 codes.append([None if x is None else number.sub(one, x) for x in code])
             yield pd.DataFrame({"oid": b["oid"], "name": b["name"], "code": codes})
 
-    seen = code_lines(w).select("oid", F.col("verb").alias("name"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n")).select("oid", "name", F.col("n").cast("bigint").alias("id")).distinct()
+    seen = code_lines(w).select("oid", F.col("verb").alias("name"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n")).select("oid", "name", F.col("n").try_cast("bigint").alias("id")).distinct()
     pairs = seen.join(ids.select("id", "new_id"), "id").groupBy("oid", "name").agg(F.collect_list(F.struct("id", "new_id")).alias("pairs"))
     v = w.verbs.filter("code IS NOT NULL").select("oid", "name", "code").join(pairs, ["oid", "name"], "left")
     return v.mapInPandas(run, "oid bigint, name string, code array<string>")

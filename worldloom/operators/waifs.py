@@ -14,7 +14,7 @@ def slots(w: World) -> DataFrame:
     """``waif_index, waif_class, slot, value_json`` of each set slot; unwhole props give nothing."""
     pairs = F.from_json("props", "array<array<string>>", {"mode": "PERMISSIVE"})
     whole = w.waifs.filter(F.try_parse_json("props").isNotNull())
-    return whole.select("waif_index", "waif_class", F.explode(pairs).alias("p")).select("waif_index", "waif_class", F.col("p")[0].cast("int").alias("slot"), F.col("p")[1].alias("value_json")).distinct()
+    return whole.select("waif_index", "waif_class", F.explode(pairs).alias("p")).select("waif_index", "waif_class", F.col("p")[0].try_cast("int").alias("slot"), F.col("p")[1].alias("value_json")).distinct()
 
 
 def slot_kinds(w: World) -> DataFrame:
@@ -30,10 +30,10 @@ def sparse_share(w: World) -> DataFrame:
 
 def holders(w: World) -> DataFrame:
     """``holder_id, waif_index``: objects whose values lead to a waif, directly or through other waifs."""
-    direct = value_nodes(w).filter("tag = 'waif'").select(F.col("holder_id").alias("o"), F.col("scalar").cast("bigint").alias("waif_index"))
+    direct = value_nodes(w).filter("tag = 'waif'").select(F.col("holder_id").alias("o"), F.col("scalar").try_cast("bigint").alias("waif_index"))
     rows = w.waifs.select(F.lit("waif").alias("holder_kind"), F.col("waif_index").alias("holder_id"), F.lit(None).cast("string").alias("member"), F.col("props").alias("text"))
-    deep = nested.flatten_values(rows, "slots", linked=True).filter("tag = 'waif'").select(F.col("holder_id").alias("src"), F.col("scalar").cast("bigint").alias("dst"))
-    top = slots(w).filter(tag() == "waif").select(F.col("waif_index").alias("src"), scalar().cast("bigint").alias("dst"))
+    deep = nested.flatten_values(rows, "slots", linked=True).filter("tag = 'waif'").select(F.col("holder_id").alias("src"), F.col("scalar").try_cast("bigint").alias("dst"))
+    top = slots(w).filter(tag() == "waif").select(F.col("waif_index").alias("src"), scalar().try_cast("bigint").alias("dst"))
     inner = deep.unionByName(top)
     return _closure(direct, inner.distinct())
 

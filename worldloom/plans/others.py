@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worldloom.functions import moo
 from worldloom.operators import compare as C
-from worldloom.operators import history, joins, mail, rewrite, waifs
+from worldloom.operators import history, joins, mail, mailtree, rewrite, waifs
 from worldloom.operators import inspect as I
 from worldloom.plans.problems import _CANON, _LIVE, _LIVE_ONLY, _latest_sql
 from worldloom.plans.relations import _EVENTS, O1
@@ -221,3 +221,26 @@ def _(spark, sf):
     """Census of a containment tree at every level (region, nation, all)."""
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return s.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+
+
+_TREE = """n AS (SELECT oid, name AS member, json_extract_string(value_json, '$.items[0].value')::INT AS level, json_extract(value_json, '$.items[1].items[*]') AS es FROM p
+    WHERE json_extract_string(value_json, '$.type') = 'list' AND json_extract_string(value_json, '$.items[0].type') = 'int' AND regexp_matches(json_extract_string(value_json, '$.items[0].value'), '^[0-9]{1,4}$') AND json_extract_string(value_json, '$.items[1].type') = 'list'),
+  f AS (SELECT oid, member, level, unnest(range(1, len(es) + 1)) AS entry, unnest(es) AS e FROM n)"""
+
+
+def _field(i: int, kind: str) -> str:
+    return f"CASE WHEN json_extract_string(e, '$.items[{i - 1}].type') = '{kind}' THEN json_extract_string(e, '$.items[{i - 1}].value') END"
+
+
+@query(
+    "stored_mail",
+    f"""WITH {P}, {_TREE} SELECT * FROM (SELECT oid, member, entry, {_field(2, "int")}::BIGINT AS number, {_field(3, "int")}::BIGINT AS date, {_field(4, "string")} AS sender, {_field(5, "string")} AS recipients, {_field(6, "string")} AS subject, {_field(1, "string")} AS body_property
+FROM f WHERE level = 0 AND json_extract_string(e, '$.type') = 'list') WHERE number IS NOT NULL AND date IS NOT NULL AND sender IS NOT NULL AND recipients IS NOT NULL AND subject IS NOT NULL""",
+)
+def _(spark, sf):
+    return mailtree.messages(I.open_world(spark, sf))
+
+
+@query("stored_mail_faults")
+def _(spark, sf):
+    return mailtree.broken(I.open_world(spark, sf))

@@ -282,7 +282,7 @@ def _(w):
     """References from outside to the objects wizards own, in values and in code outside strings."""
     members = w.objects.join(w.objects.filter(moo.has_flag("flags", "wizard")).select(F.col("id").alias("owner")), "owner", "left_semi").select("id")
     text = I.code_lines(w).select(F.col("oid").alias("src"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
-    both = I.references(w).select(F.col("holder_id").alias("src"), F.col("target").alias("dst")).unionByName(text.select("src", F.col("n").cast("bigint").alias("dst")))
+    both = I.references(w).select(F.col("holder_id").alias("src"), F.col("target").alias("dst")).unionByName(text.select("src", F.col("n").try_cast("bigint").alias("dst")))
     inward = both.join(members.withColumnRenamed("id", "dst"), "dst", "left_semi").join(members.withColumnRenamed("id", "src"), "src", "left_anti")
     return inward.groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n"))
 

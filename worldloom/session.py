@@ -24,6 +24,7 @@ DEFAULTS = {
 }
 
 _own_scratch: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def build(app: str = "worldloom", master: str = "local[*]", **extra: str) -> SparkSession:
@@ -46,7 +47,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/worldloom-{uuid.uuid4().hex[:12]}-{label}"
+    path = f"{scratch_root(spark)}/worldloom-{uuid.uuid4().hex[:12]}-{label}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; results that still read them must be written first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
