@@ -187,3 +187,13 @@ def test_scratch_is_cleared(spark):
     assert session.count_rows(df) == 5 and session.clear_scratch(spark) >= 1
     assert not os.path.exists(path.replace("file://", "").replace("file:", ""))
     assert session.clear_scratch(spark) == 0
+
+
+def test_list_edits(spark):
+    session.ship(spark)
+    li = lambda *x: {"type": "list", "items": list(x)}
+    n = lambda *x: li(*[json.loads(J("int", str(i))) for i in x])
+    old = world(spark, (), [(1, "p", json.dumps(n(1, 2, 3))), (1, "q", json.dumps(li(n(1), n(5, 6)))), (1, "r", json.dumps(n(1))), (1, "e", json.dumps(n()))])
+    new = world(spark, (), [(1, "p", json.dumps(n(1, 9, 2, 3))), (1, "q", json.dumps(li(n(1, 2), n(6)))), (1, "r", json.dumps(n(2))), (1, "e", json.dumps(n(4)))])
+    got = {tuple(r) for r in valuediff.list_edits(old, new).collect()}
+    assert got == {(1, "p", "", "insert", 1, 1, 1, 2), (1, "q", "list:1", "insert", 1, 1, 1, 2), (1, "q", "list:2", "delete", 0, 1, 0, 0), (1, "e", "", "insert", 0, 0, 0, 1)}

@@ -29,3 +29,39 @@ def node_diffs(old: World, new: World, tolerant: bool = False) -> DataFrame:
     near = F.coalesce(floats & close(double_of_bits("a.scalar"), double_of_bits("b.scalar")), F.lit(False)) if tolerant else F.lit(False)
     kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(~F.col("a.tag").eqNullSafe(F.col("b.tag")), "type_mismatch").when(~F.col("a.scalar").eqNullSafe(F.col("b.scalar")) & ~near, "changed")
     return j.select("oid", "name", "path", kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+def _opcodes(batches):
+    """Edit steps between two lists of spelled scalars: ``op``, half-open spans, from 0."""
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    for b in batches:
+        out = []
+        for oid, name, path, a, z in zip(b["oid"], b["name"], b["path"], b["a"], b["b"]):
+            steps = SequenceMatcher(None, list(a), list(z), autojunk=False).get_opcodes()
+            out += [(oid, name, path, op, i1, i2, j1, j2) for op, i1, i2, j1, j2 in steps if op != "equal"]
+        yield pd.DataFrame(out, columns=["oid", "name", "path", "op", "old_from", "old_to", "new_from", "new_to"])
+
+
+def list_edits(old: World, new: World) -> DataFrame:
+    """Edit steps of lists of scalars that stand at the same place in both dumps with different lengths.
+
+    ``oid, name, path, op, old_from, old_to, new_from, new_to``; ``op`` is insert, delete or replace, spans count
+    from 0 and leave out their end.  Lists with members that are lists, maps or waifs are not aligned.
+    """
+    a, b = changed_only(old, new)
+
+    def lists(w: World, side: str) -> DataFrame:
+        n = value_nodes(w).select(F.col("holder_id").alias("oid"), F.col("member").alias("name"), "path", "tag", "scalar", "parent_path")
+        places = n.filter("tag = 'list'").select("oid", "name", "path")
+        at = F.regexp_extract("path", r"(\d+)$", 1).try_cast("int")
+        inside = n.filter(F.col("path").rlike(r"(^|/)list:\d+$")).select("oid", "name", F.col("parent_path").alias("path"), at.alias("i"), F.col("tag").isin("list", "map", "waif").alias("deep"), F.concat_ws(":", "tag", "scalar").alias("x"))
+        # One list is one value of one property, so its members fit where the value fitted.
+        g = inside.groupBy("oid", "name", "path").agg(F.max("deep").alias("deep"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
+        every = places.join(g, ["oid", "name", "path"], "left").filter("NOT coalesce(deep, false)")
+        return every.select("oid", "name", "path", F.coalesce(F.col("m.x"), F.array().cast("array<string>")).alias(side))
+
+    j = lists(a, "a").join(lists(b, "b"), ["oid", "name", "path"]).filter(F.size("a") != F.size("b"))
+    return j.mapInPandas(_opcodes, "oid bigint, name string, path string, op string, old_from int, old_to int, new_from int, new_to int")

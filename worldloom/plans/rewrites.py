@@ -144,3 +144,8 @@ def _(w):
 @query("numbers_in_code")
 def _(w):
     return export.numbers_in_code(w, w.objects.select("id"))
+
+
+@query("list_edits", pair=True)
+def _(a, b):
+    return valuediff.list_edits(a, b)
