@@ -91,5 +91,11 @@ _SHINGLES = """d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')
 
 ORACLES: dict[str, str] = {
     "p8_found": f"WITH {_SHINGLES} SELECT doc_id, item_id FROM pairs",
+    "p8_report": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+  ds AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+  es AS (SELECT item_id, j, array_to_string(w[j : j + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM e)),
+  hits AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM ds JOIN es USING (s)),
+  runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM hits) GROUP BY doc_id, item_id, diagonal, run)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n)::INT AS longest_words FROM runs GROUP BY item_id""",
     "p8_clean": f"WITH {_SHINGLES} SELECT doc_id, source, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)",
 }
