@@ -239,3 +239,8 @@ def test_numbers_too_large_for_any_column(spark):
     assert {r.target for r in inspect.references(w).collect()} == {None, 1} and {r.target for r in inspect.code_mentions(w).collect()} == {1}
     for df in (graph.edges(w), inspect.slot_totals(w), inspect.dollar_names(w), inherit.resolve(w, spark.createDataFrame([(f"#{big}",)], "ref string")), rewrite.renumbered_code(w, rewrite.renumbering(w, w.objects.filter("id = 9").select("id")), -9)):
         df.collect()
+
+
+def test_largest_values_in_canonical_spelling(spark):
+    w = world(spark, tree((1, [])), [(1, "b", '{"value":  "xx",\n "type": "string"}'), (1, "a", J("string", "xx")), (1, "c", J("string", "x")), (1, "d", CLEAR), (1, "e", None)])
+    assert [(r.name, r.size) for r in inspect.largest_values(w, 2).collect()] == [("a", 30), ("b", 30)]
