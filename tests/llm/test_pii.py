@@ -82,3 +82,19 @@ def test_very_long_text(model):
     d = pii.read(None, None, ["word " * 9000 + "tamsin@oxbow.test"], model.lexicon)
     y = pii.decode([d], model)[0]
     assert len(y) > 9000 and (y > 0).sum() == 3 and pii.LABELS[y[-1]] == "email"
+
+
+def test_items_far_into_a_field_are_one_run(model):
+    """Items across token 2000, and any other, are labelled as in a short field."""
+    item = "Tamsin Larkhollow wrote, ring +1 418 555 0140 now"
+    short = pii.decode([pii.read(None, None, ["word " * 40 + item], model.lexicon)], model)[0][40:]
+    assert {pii.LABELS[y] for y in short} == {"other", "name", "phone"}
+    docs = [pii.read(None, None, ["word " * n + item], model.lexicon) for n in range(1985, 2002)]
+    for n, d, y in zip(range(1985, 2002), docs, pii.decode(docs, model)):
+        assert (y[n:] == short).all() and not y[:n].any(), n
+
+
+def test_redaction_across_token_2000(model):
+    body = ["word " * 1999 + "Tamsin Larkhollow"]
+    d = pii.read(None, None, body, model.lexicon)
+    assert pii.redact_doc(None, None, body, d, pii.decode([d], model)[0])[2] == ["word " * 1999 + "[NAME]"]

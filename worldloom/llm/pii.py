@@ -31,7 +31,6 @@ LABELS = ("other", *TYPES)
 N = len(LABELS)
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 FEATURES = 1 << 16
-CHAIN = 2000
 
 #: Titles, words ending street names, and German street openings.
 TITLES = frozenset("dr prof mr mrs ms mx miss frau herr sir lady señor señora mme madame".split())
@@ -134,10 +133,9 @@ def read(sender: str | None, recipients: str | None, body: list[str | None] | No
         toks = [text[b:e] for b, e in spans]
         bits = marks[a[:, 0]]
         _mark_names(toks, text, a, bits, lexicon)
-        n = np.arange(len(a))
         words += toks
-        cols.append((chain + n // CHAIN, np.full(len(a), where), line + (1 if where == 2 else 0), a[:, 0] + off, a[:, 1] + off, bits))
-        chain += len(a) // CHAIN + 1
+        cols.append((np.full(len(a), chain), np.full(len(a), where), line + (1 if where == 2 else 0), a[:, 0] + off, a[:, 1] + off, bits))
+        chain += 1
     if not cols:
         z = np.zeros(0, np.int64)
         return Doc([], z, z, z, z, z, z)
