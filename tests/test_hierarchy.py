@@ -79,3 +79,36 @@ def test_empty_nulls_and_lone_rows(spark, core):
 def test_clashing_column_names(spark):
     df = spark.createDataFrame([(1, [], 5, 6), (2, [1], 5, 6)], "id bigint, parents array<bigint>, p int, depth int")
     assert {tuple(r) for r in H.hierarchy(df).collect()} == {(1, 1, 0, 0), (2, 1, 1, 0)}
+
+
+def test_bounded_core_is_contracted_too():
+    up = {i: (i - 1 if i else None, 1) for i in range(5000)}
+    records, rounds = H._contract(up, lambda upper, _, lower: upper + lower)
+    assert rounds < 80 and len(records) == 4999 and up == {0: (None, 1)}
+    ring = {i: ((i + 1) % 50, 1) for i in range(50)} | {50: (7, 1)}
+    assert len(H._contract(ring, lambda upper, _, lower: upper + lower)[0]) == 50 and len(ring) == 1
+
+
+def test_components_are_searched_only_in_what_never_contracts():
+    tree = [(i, (i - 1) // 2) for i in range(1, 500)]
+    ring = [(1000 + i, 1000 + (i + 1) % 9) for i in range(9)]
+    core, closed, records = H._contract_edges(tree + ring)
+    assert not any(core.values()) and len(closed) == 1 and len(records) >= 8
+    knot = [(a, b) for a in range(2000, 2003) for b in range(2000, 2003) if a != b]
+    assert set(H._contract_edges(tree + ring + knot)[0]) == {2000, 2001, 2002}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bounded_cycles_against_reachability(seed):
+    import pandas as pd
+
+    r = random.Random(seed)
+    n = 40
+    e = {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(r.choice([35, 45, 60]))) if a != b}
+    reach = {x: set() for x in range(n)}
+    for _ in range(n):
+        for a, b in e:
+            reach[a] |= {b} | reach[b]
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in range(n) if x in reach[x]}
+    (got,) = H._finish_cycles(iter([pd.DataFrame(sorted(e), columns=["u", "v"])]))
+    assert dict(zip(got["id"], got["scc"])) == want

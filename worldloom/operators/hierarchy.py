@@ -11,7 +11,8 @@ task: the bound keeps that task small, and a larger core simply goes through fur
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -40,28 +41,49 @@ def _coin(c: Column, round_: int) -> Column:
     return (F.xxhash64(c, F.lit(round_)) % 2) == 0
 
 
+def _contract(up: dict[int, tuple], join) -> tuple[list[tuple], int]:
+    """Contract the forest ``up`` (node to parent and carry) down to its roots and self-loops.
+
+    Returns what was removed, in order, as node, surviving node and carry, and the number of rounds.  ``up`` keeps
+    what is left.  A round looks only at nodes with a parent, so its cost shrinks with them.
+    """
+    coin = random.Random(5)
+    records: list[tuple] = []
+    rounds = 0
+    inner = [x for x, (p, _) in up.items() if p is not None and p != x]
+    while inner:
+        rounds += 1
+        kids: dict[int, int] = {}
+        child: dict[int, int] = {}
+        for x in inner:
+            p = up[x][0]
+            kids[p] = kids.get(p, 0) + 1
+            child[p] = x
+        heads = {x: coin.random() < 0.5 for x in inner}
+        # Compress: no two neighbours go in the same round (roots count as tails).
+        gone = [x for x in inner if kids.get(x) == 1 and heads[x] and not heads.get(up[x][0], False)]
+        for x in gone:
+            p, carry = up.pop(x)
+            records.append((x, p, carry))
+            up[child[x]] = (p, join(carry, x, up[child[x]][1]))
+        # Rake: leaves hang on nodes that stay.
+        for x in inner:
+            if x not in kids:
+                records.append((x, *up.pop(x)))
+        inner = [x for x in inner if x in up and up[x][0] != x]
+    return records, rounds
+
+
 def _finish_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contract a bounded core in one task; rows id, p (null for roots), seg (nodes between p and id)."""
     parts = list(batches)
     core = pd.concat(parts) if parts else pd.DataFrame({"id": [], "p": [], "seg": []})
     up = {int(i): (None if pd.isna(p) else int(p), list(s)) for i, p, s in zip(core["id"], core["p"], core["seg"])}
-    done: dict[int, tuple[int, int, list | None]] = {}
-    for start in up:
-        chain, here = [], start
-        on_chain = set()
-        while here not in done and here not in on_chain and up[here][0] is not None:
-            chain.append(here)
-            on_chain.add(here)
-            here = up[here][0]
-        if here in on_chain:
-            done |= {x: (-1, -1, None) for x in chain}
-            continue
-        if here not in done:
-            done[here] = (here, 0, [here])
-        for x in reversed(chain):
-            p, seg = up[x]
-            root, depth, path = done[p]
-            done[x] = (-1, -1, None) if root == -1 and path is None else (root, depth + len(seg) + 1, path + seg + [x])
+    records, _ = _contract(up, lambda upper, x, lower: upper + [x] + lower)
+    done: dict[int, tuple[int, int, list | None]] = {x: (x, 0, [x]) if p is None else (-1, -1, None) for x, (p, _) in up.items()}
+    for x, p, seg in reversed(records):
+        root, depth, path = done[p]
+        done[x] = (-1, -1, None) if path is None else (root, depth + len(seg) + 1, path + seg + [x])
     rows = [(i, r, d, p) for i, (r, d, p) in done.items()]
     yield pd.DataFrame(rows, columns=["id", "root_id", "depth", "path"])
 
@@ -71,23 +93,12 @@ def _finish_forest_narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     parts = list(batches)
     core = pd.concat(parts) if parts else pd.DataFrame({"id": [], "p": [], "w": []})
     up = {int(i): (None if pd.isna(p) else int(p), int(w)) for i, p, w in zip(core["id"], core["p"], core["w"])}
-    done: dict[int, tuple[int, int, bool]] = {}  # root, depth, whether the walk ends
-    for start in up:
-        chain, here, on_chain = [], start, set()
-        while here not in done and here not in on_chain and up[here][0] is not None:
-            chain.append(here)
-            on_chain.add(here)
-            here = up[here][0]
-        if here in on_chain:
-            done |= {x: (-1, -1, False) for x in chain}
-            continue
-        if here not in done:
-            done[here] = (here, 0, True)
-        for x in reversed(chain):
-            p, w = up[x]
-            root, depth, ends = done[p]
-            done[x] = (root, depth + w, True) if ends else (-1, -1, False)
-    yield pd.DataFrame([(i, r, d) for i, (r, d, _) in done.items()], columns=["id", "root_id", "depth"])
+    records, _ = _contract(up, lambda upper, _, lower: upper + lower)
+    done: dict[int, tuple[int, int]] = {x: (x, 0) if p is None else (-1, -1) for x, (p, _) in up.items()}
+    for x, p, w in reversed(records):
+        root, depth = done[p]
+        done[x] = (root, depth + w) if depth >= 0 else (-1, -1)
+    yield pd.DataFrame([(i, r, d) for i, (r, d) in done.items()], columns=["id", "root_id", "depth"])
 
 
 def contract_forest(links: DataFrame, with_paths: bool = False, local_core: int = LOCAL_CORE, max_rounds: int = 200) -> DataFrame:
@@ -166,14 +177,64 @@ def contract_forest(links: DataFrame, with_paths: bool = False, local_core: int
     return reduce(DataFrame.unionByName, known)
 
 
-def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strongly connected components of a bounded core in one task: rows id, scc for nodes on a cycle."""
+def _contract_edges(edges: Iterable[tuple[int, int]]) -> tuple[dict[int, set[int]], set[int], list[tuple[int, int, int]]]:
+    """Rake and splice a bounded graph without self-loops until neither applies.
+
+    Returns the ways out of the nodes of the core that is left, nodes on a ring that closed on them, and the
+    spliced nodes in order with the ends of their chain.
+    """
+    out: dict[int, set[int]] = {}
+    into: dict[int, set[int]] = {}
+    for u, v in edges:
+        for x in (u, v):
+            out.setdefault(x, set())
+            into.setdefault(x, set())
+        out[u].add(v)
+        into[v].add(u)
+    closed: set[int] = set()
+    records: list[tuple[int, int, int]] = []
+    todo = list(out)
+    while todo:
+        x = todo.pop()
+        if x not in out:
+            continue
+        a, b = into[x], out[x]
+        if a and b and not len(a) == len(b) == 1:
+            continue
+        del into[x], out[x]
+        for i in a:
+            out[i].discard(x)
+        for o in b:
+            into[o].discard(x)
+        if a and b:
+            (i,), (o,) = a, b
+            records.append((x, i, o))
+            if i == o:
+                closed.add(i)
+            else:
+                out[i].add(o)
+                into[o].add(i)
+        todo += a | b
+    return out, closed, records
+
+
+def _finish_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contract a bounded core in one task; rows id, scc (the least id) for nodes on a cycle."""
     parts = list(batches)
     e = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": []})
-    out: dict[int, list[int]] = {}
-    for u, v in zip(e["u"].astype("int64"), e["v"].astype("int64")):
-        out.setdefault(int(u), []).append(int(v))
-        out.setdefault(int(v), [])
+    out, closed, records = _contract_edges(zip(e["u"].astype("int64").tolist(), e["v"].astype("int64").tolist()))
+    label = {x: x for x in closed} | dict(_tarjan(out))
+    for x, i, o in reversed(records):
+        if i in label and label[i] == label.get(o):
+            label[x] = label[i]
+    least: dict[int, int] = {}
+    for x, c in label.items():
+        least[c] = min(x, least.get(c, x))
+    yield pd.DataFrame([(x, least[c]) for x, c in label.items()], columns=["id", "scc"]).astype("int64")
+
+
+def _tarjan(out: dict[int, set[int]]) -> list[tuple[int, int]]:
+    """Strongly connected components of what never contracts: id and component of nodes in one of two or more."""
     index: dict[int, int] = {}
     low: dict[int, int] = {}
     on, stack, rows = set(), [], []
@@ -209,7 +270,7 @@ def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             break
                     if len(comp) > 1:
                         rows += [(x, min(comp)) for x in comp]
-    yield pd.DataFrame(rows, columns=["id", "scc"]).astype("int64")
+    return rows
 
 
 def _colour_core(edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -281,7 +342,7 @@ def cycle_members(edges: DataFrame, local_core: int = LOCAL_CORE, max_rounds: in
             break
         left = now
     core = state.filter("u <> v")
-    comp = core.repartition(1).mapInPandas(_tarjan, "id bigint, scc bigint") if left <= local_core else _colour_core(core, max_rounds)
+    comp = core.repartition(1).mapInPandas(_finish_cycles, "id bigint, scc bigint") if left <= local_core else _colour_core(core, max_rounds)
     alone = reduce(DataFrame.union, loops).distinct()
     known = comp.unionByName(alone.join(comp, "id", "left_anti").select("id", F.col("id").alias("scc"))) if not records else None
     if known is not None:
