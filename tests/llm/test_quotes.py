@@ -74,3 +74,15 @@ def test_automaton_against_brute_force(seed):
                 want[i : i + 4] = True
         assert a.inherited(q, 4).tolist() == want.tolist()
         a.add_text(q)
+
+
+def test_line_inherited_from_two_blocks(spark):
+    """A line that mixes the ends of two matches goes, whatever blocks their first occurrences lie in."""
+    rows = []
+    for k in range(6):
+        a, b = ([f"{c}{k}x{i}" for i in range(30)] for c in "ab")
+        third = [" ".join(a[:20]), " ".join(a[20:] + b[:10]), " ".join(b[10:]), f"new{k} words here"]
+        rows += [(3 * k, k, 1, "s", "", [" ".join(a)]), (3 * k + 1, k, 2, "s", "", [" ".join(b)]), (3 * k + 2, k, 3, "s", "", third)]
+    want = {i: [4] if i % 3 == 2 else [1] for i in range(18)}
+    assert new(spark, rows, block_mails=1000) == want
+    assert new(spark, rows, block_mails=1) == want

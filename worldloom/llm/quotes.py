@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from worldloom.session import materialize
 
 MIN_WORDS = 25
+#: A line is inherited where this share of its words is.
+SHARE = 0.8
 BLOCK_MAILS = 400
 
 #: Marks that clients put before quoted lines, nested in any order.
@@ -241,35 +243,41 @@ def _sender_key(sender: str | None) -> str:
     return (m.group(1) if m and m.re.groups else m.group(0)).lower() if m else s.strip().lower()
 
 
-RESULT = "message_id bigint, primary boolean, own array<int>, inherited array<int>, sender string, ending array<int>, ending_text string, ending_sure boolean"
+RESULT = "message_id bigint, primary boolean, own array<int>, inherited array<int>, sender string, ending array<int>, ending_text string, ending_sure boolean, old_words array<int>, word_lines array<int>"
 
 
 def _read_threads(min_words: int):
-    """Mails sorted by unit and order; one automaton at a time."""
+    """Mails sorted by unit and order; one automaton at a time.
+
+    A mail of a thread in one block gets its inherited lines.  Of a split thread a block knows only part of a mail's
+    inherited words, so it returns their positions, and the lines of all words once, for the test over all blocks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, auto, vocab = None, Automaton(), {}
         for b in batches:
             rows = []
-            for u, source, mid, sender, body in zip(b["unit"], b["source"], b["message_id"], b["sender"], b["body"]):
+            for u, source, split, mid, sender, body in zip(b["unit"], b["source"], b["split"], b["message_id"], b["sender"], b["body"]):
                 if u != unit:
                     unit, auto, vocab = u, Automaton(), {}
                 body = [] if body is None else list(body)
                 words, at = _line_words(body)
                 ids = [vocab.setdefault(w, len(vocab)) for w in words]
                 old = auto.inherited(ids, min_words) if ids else np.zeros(0, bool)
+                old_words = np.flatnonzero(old).tolist() if split else []
+                word_lines = [i + 1 for i in at] if split and source else []
                 total = np.bincount(at, minlength=len(body)) if at else np.zeros(len(body), int)
                 hit = np.bincount(np.asarray(at)[old], minlength=len(body)) if old.any() else np.zeros(len(body), int)
-                inherited = [i + 1 for i in range(len(body)) if hit[i] and hit[i] >= 0.8 * total[i]]
+                inherited = [] if split else [i + 1 for i in range(len(body)) if hit[i] and hit[i] >= SHARE * total[i]]
                 if not source:
-                    rows.append((mid, False, [], inherited, None, [], None, False))
+                    rows.append((mid, False, [], inherited, None, [], None, False, old_words, word_lines))
                     continue
                 role = roles(body)
                 own_words, _ = _line_words(body, [r == "own" for r in role])
                 auto.add_text([vocab[w] for w in own_words])
                 end, text, sure = _ending(body, role)
-                rows.append((mid, True, [i + 1 for i, r in enumerate(role) if r == "own"], inherited, _sender_key(sender), [i + 1 for i in end], text, sure))
-            yield pd.DataFrame(rows, columns=["message_id", "primary", "own", "inherited", "sender", "ending", "ending_text", "ending_sure"])
+                rows.append((mid, True, [i + 1 for i, r in enumerate(role) if r == "own"], inherited, _sender_key(sender), [i + 1 for i in end], text, sure, old_words, word_lines))
+            yield pd.DataFrame(rows, columns=["message_id", "primary", "own", "inherited", "sender", "ending", "ending_text", "ending_sure", "old_words", "word_lines"])
 
     return run
 
@@ -315,7 +323,7 @@ def newly_written(mails: DataFrame, min_words: int = MIN_WORDS, block_mails: int
     hot = table.groupBy("thread").agg(F.count("*").alias("n")).filter(F.col("n") > block_mails)
     hot = materialize(hot.select("thread", F.ceil(F.col("n") / block_mails).cast("int").alias("blocks")), "hot-threads")
     blocked = table.join(hot, "thread", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("message_id"), F.col("blocks")), F.lit(0)))
-    rows = blocked.select("thread", "block", F.lit(True).alias("source"), "at", "message_id", "sender", "body")
+    rows = blocked.select("thread", "block", F.lit(True).alias("source"), F.col("blocks").isNotNull().alias("split"), "at", "message_id", "sender", "body")
     if not hot.isEmpty():
         heat = blocked.filter("blocks IS NOT NULL")
         w = materialize(heat.select("thread", "message_id", "at", "body").mapInPandas(_windows(min_words), "thread bigint, h bigint, at struct<n:int,m:bigint>, message_id bigint, source boolean"), "windows")
@@ -324,16 +332,21 @@ def newly_written(mails: DataFrame, min_words: int = MIN_WORDS, block_mails: int
         first = first.join(home.withColumnRenamed("message_id", "home"), "home").select("thread", "h", "first_at", "block")
         sent = w.filter("NOT source").join(first, ["thread", "h"]).filter("first_at < at").select("message_id", "block").distinct()
         sent = sent.join(home, ["message_id", "block"], "left_anti")
-        guests = heat.drop("block").join(sent, "message_id").select("thread", "block", F.lit(False).alias("source"), "at", "message_id", "sender", "body")
+        guests = heat.drop("block").join(sent, "message_id").select("thread", "block", F.lit(False).alias("source"), F.lit(True).alias("split"), "at", "message_id", "sender", "body")
         rows = rows.unionByName(guests)
     units = rows.withColumn("unit", F.xxhash64("thread", "block")).repartition("unit").sortWithinPartitions("unit", "at", "source")
-    read = materialize(units.select("unit", "source", "message_id", "sender", "body").mapInPandas(_read_threads(min_words), RESULT), "mail-roles")
+    read = materialize(units.select("unit", "source", "split", "message_id", "sender", "body").mapInPandas(_read_threads(min_words), RESULT), "mail-roles")
     main = read.filter("primary")
     # Endings: of unsure form only where they recur among the sender's mails.
     ends = main.filter(F.size("ending") > 0)
     often = ends.filter("NOT ending_sure").groupBy("sender", "ending_text").agg(F.count("*").alias("n")).filter(F.col("n") >= recurring).select("sender", "ending_text")
     cut = ends.filter("ending_sure").select("message_id", "ending").unionByName(ends.filter("NOT ending_sure").join(often, ["sender", "ending_text"], "left_semi").select("message_id", "ending"))
     gone = cut.select("message_id", F.explode("ending").alias("line_no")).unionByName(read.select("message_id", F.explode("inherited").alias("line_no")))
+    # Split threads: the share of inherited words is taken over the words found in any block.
+    found = read.select("message_id", F.explode("old_words").alias("word")).distinct().withColumn("old", F.lit(1))
+    words = main.select("message_id", F.posexplode("word_lines").alias("word", "line_no")).join(found, ["message_id", "word"], "left")
+    share = words.groupBy("message_id", "line_no").agg(F.count("*").alias("total"), F.count("old").alias("hit"))
+    gone = gone.unionByName(share.filter((F.col("hit") > 0) & (F.col("hit") >= F.lit(SHARE) * F.col("total"))).select("message_id", "line_no"))
     return main.select("message_id", F.explode("own").alias("line_no")).join(gone.distinct(), ["message_id", "line_no"], "left_anti")
 
 
