@@ -63,3 +63,38 @@ def test_long_and_empty_batches(spark):
     assert nested.flatten_values(df, chunk_bytes=1000).count() == 20_000
     assert nested.flatten_values(df.limit(0)).columns == ["holder_kind", "holder_id", "member", "path", "tag"]
     assert nested.flatten_values(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["type", "\\u0074ype"])
+def test_values_deeper_than_the_decoder(name):
+    depth = 60_000
+    with pytest.raises(RecursionError):
+        json.loads("[" * depth + "]" * depth)
+    text = f'{{"{name}":"list","items":[' * 2 + '{"type":"int","value":"1"}' + "]}" * 2
+    deep = "[" * depth + text + "]" * depth
+    assert nested._plain(deep) == "[" * depth + nested._plain(text).replace(", ", ",").replace(": ", ":") + "]" * depth
+    assert nested._plain(deep[:-1]) is None and nested._plain(deep + "]") is None
+
+
+def test_deep_value_has_all_rows():
+    depth = 1500
+    text = '{"type":"list","items":[' * depth + "]}" * depth
+    whole = nested.flatten_batch(pa.array([text]), "value")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(nested.json, "loads", lambda _: (_ for _ in ()).throw(RecursionError))
+        got = nested.flatten_batch(pa.array([text, text + "]"]), "value")
+    assert got[0].tolist() == [0] * (depth - 1) and got[2] == whole[2] and got[3] == whole[3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stack_grammar_against_the_decoder(seed):
+    r = random.Random(seed)
+    texts = [spell(r, value(r, 4)) for _ in range(40)] + ["[]", "{}", "[1,]", "{,}", '{"a":1,}', "1 2", "", " ", "01", "-", "[1.5e-3,NaN,-Infinity]", '"\\x"', '"a\nb"', "nulll", "[null}", '{"a" "b"}', '{1:2}', "tru", "\u0661"]
+    for t in texts:
+        for cut in (t, t[: r.randrange(len(t) + 1)], t.replace(r.choice(t or "x"), r.choice(',:[]{}" '), 1)):
+            try:
+                json.loads(cut)
+                want = cut
+            except ValueError:
+                want = None
+            assert nested._plain_deep(cut, False) == want, cut

@@ -9,6 +9,7 @@ C decoder; nodes, links and spans come from the index.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,11 +140,59 @@ def _plain(text: str | None) -> str | None:
     """A text as it is, or respelled when a field name is written with escapes; None unless it is whole JSON."""
     if text is None:
         return None
+    respell = "\\u00" in text or "\\/" in text
     try:
         v = json.loads(text)
-    except (ValueError, RecursionError):
+        return json.dumps(v, ensure_ascii=False) if respell else text
+    except ValueError:
         return None
-    return json.dumps(v, ensure_ascii=False) if "\\u00" in text or "\\/" in text else text
+    except RecursionError:
+        return _plain_deep(text, respell)
+
+
+_LEXEME = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)|([\[\]{},:]))')
+
+
+def _plain_deep(text: str, respell: bool) -> str | None:
+    """``_plain`` for texts too deep for the C decoder: the same grammar with a stack of its own."""
+    stack: list[str] = []
+    out: list[str] = []
+    want = "value"  # or: first (a member or the end), key, colon, next (a comma or the end)
+    at, end = 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _LEXEME.match(text, at)
+        if m is None:
+            return None
+        at = m.end()
+        string, scalar, mark = m.groups()
+        if respell:
+            out.append(json.dumps(json.loads(string), ensure_ascii=False) if string else scalar or mark)
+        top = stack[-1] if stack else ""
+        if mark and mark in "]}":
+            if not top or mark != ("]" if top == "[" else "}") or want not in ("first", "next"):
+                return None
+            stack.pop()
+            want = "next"
+        elif mark == ",":
+            if want != "next" or not top:
+                return None
+            want = "value" if top == "[" else "key"
+        elif mark == ":":
+            if want != "colon":
+                return None
+            want = "value"
+        elif string and top == "{" and want in ("first", "key"):
+            want = "colon"
+        elif want == "value" or want == "first" and top == "[":
+            want = "next"
+            if mark:
+                stack.append(mark)
+                want = "first"
+        else:
+            return None
+    if stack or want != "next":
+        return None
+    return "".join(out) if respell else text
 
 
 def flatten_batch(texts: pa.Array, top: str, linked: bool = False) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, dict]:
