@@ -46,3 +46,11 @@ def test_empty_corpus(spark):
     seg = materialize(S.segments(spark.createDataFrame([], DOC)), "e")
     m = S.fit(seg, spark.createDataFrame([("law", None)], "subject string, about string"), spark.createDataFrame([], "doc_id bigint, subject string"), rank=2)
     assert S.assign(seg, m).collect() == []
+
+
+def test_message_counts_where_only_furniture_changed():
+    binary = "commit 1\n\n    Add recording of the second sonata\n\ndiff --git a/s.ogg b/s.ogg\nnew file mode 100644\nBinary files /dev/null and b/s.ogg differ\n"
+    rename = "commit 1\n\n    Move the choir\n\ndiff --git a/x b/y\nsimilarity index 100%\nrename from x\nrename to y"
+    assert S.cut(binary) == [(0, "Add recording of the second sonata")]
+    assert S.cut(rename) == [(0, "Move the choir")]
+    assert S.cut("commit 1\n\ndiff --git a/yarn.lock b/yarn.lock\n+sonata") == []

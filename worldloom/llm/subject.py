@@ -37,16 +37,14 @@ _FILE_FURNITURE = ("package.lock", "package-lock", "yarn.lock", "Cargo.lock", "g
 def cut(text: str) -> list[tuple[int, str]]:
     """Segments of one document: kind (0 message, 1 message line, 2 changed file) and text.
 
-    Lock files, vendored files, checksums and binary files are furniture; a document that changes nothing else
-    has no subject matter in its message either.
+    Lock files, vendored files, checksums and binary files are furniture and give no segment; the message always
+    counts, also where nothing else changed or files were only renamed.
     """
     message: list[str] = []
     files: list[list[str]] = []
-    changed = 0
     here: list[str] | None = message
     for line in text.replace("\r\n", "\n").split("\n"):
         if line.startswith("diff "):
-            changed += 1
             here = None if any(x in line + " " for x in _FILE_FURNITURE) else []
             if here is not None:
                 files.append(here)
@@ -64,8 +62,6 @@ def cut(text: str) -> list[tuple[int, str]]:
         else:
             here.append(line)
     files = [f for f in files if f]
-    if changed and not files:
-        return []
     out = [(0, "\n".join(message))] if message else []
     if len(message) > 1:
         out += [(1, m) for m in message]
