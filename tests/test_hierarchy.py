@@ -65,8 +65,29 @@ def test_paths_and_descendants(spark, core):
 
 def test_deep_chain_contracts_in_few_rounds(spark):
     df = spark.createDataFrame([(i, [i - 1] if i else [], None) for i in range(300)], SCHEMA)
-    got = {r.id: r.depth for r in H.contract_forest(H.first_existing_parent(df), local_core=0, max_rounds=40).collect()}
+    left = []
+    got = {r.id: r.depth for r in H.contract_forest(H.first_existing_parent(df), local_core=0, trace=left).collect()}
     assert got == {i: i for i in range(300)}
+    assert len(left) < 40 and left == sorted(left, reverse=True)
+
+
+def test_rounds_contract_the_test_world_before_anything_is_finished_in_one_task(spark):
+    from worldloom.plans.problems import newest_objects
+
+    objects = newest_objects(spark, "/root/testdata/sf0.01")
+    n = objects.count()
+    left = {}
+    assert H.hierarchy(objects, trace=left).count() == n
+    assert len(left["forest"]) >= 1 and left["forest"][0] < 0.6 * n
+    assert len(left["cycles"]) >= 1 and left["cycles"][0] < 0.6 * n
+    whole = {}
+    assert H.hierarchy(objects, local_core=0, trace=whole).count() == n
+    assert whole["forest"][-1] < 0.1 * n and len(whole["forest"]) > 3
+
+
+def test_a_ring_ends_as_a_self_loop_however_unlucky_the_coins(spark):
+    df = spark.createDataFrame([(i, [(i + 1) % 64], None) for i in range(64)], SCHEMA)
+    assert {(r.root_id, r.depth, r.on_cycle) for r in H.hierarchy(df, local_core=0).collect()} == {(-1, -1, 1)}
 
 
 @pytest.mark.parametrize("core", [0, 10])

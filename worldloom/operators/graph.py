@@ -77,7 +77,7 @@ def outermost(w: World) -> DataFrame:
     Containment is a forest like inheritance, so tree contraction answers it.
     """
     one = w.objects.select("id", F.array("location").alias("parents"))
-    tops = contract_forest(first_existing_parent(one))
+    tops = contract_forest(materialize(first_existing_parent(one), "places"))
     return tops.select("id", F.when(F.col("depth") >= 0, F.col("root_id")).alias("top"))
 
 

@@ -5,8 +5,9 @@ surviving node; replaying the records backwards gives every node its root, depth
 is a cycle.  A round costs a few shuffles of what is left, and what is left shrinks by a constant share, so the
 number of rounds grows with the logarithm of the node count, not with the depth.
 
-Once a core is at most ``local_core`` edges (counted, never assumed), the same contraction is finished inside one
-task: the bound keeps that task small, and a larger core simply goes through further rounds.
+Every input goes through distributed rounds, whatever its size.  They end when nothing is left to contract; once
+they have shrunk the core to ``local_core`` rows (counted, never assumed), its last rounds, the same rakes and
+compressions, are run inside one task instead of one job each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from worldloom.session import count_rows, materialize
 
-LOCAL_CORE = 100_000
+#: Rows of a contracted core whose last rounds fit one task (about 1 MB; paths add the nodes compressed into them).
+LOCAL_CORE = 20_000
 
 
 def first_existing_parent(objects: DataFrame, key: str = "id", parents: str = "parents") -> DataFrame:
@@ -101,33 +103,29 @@ def _finish_forest_narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     yield pd.DataFrame([(i, r, d) for i, (r, d) in done.items()], columns=["id", "root_id", "depth"])
 
 
-def contract_forest(links: DataFrame, with_paths: bool = False, local_core: int = LOCAL_CORE, max_rounds: int = 200) -> DataFrame:
+def contract_forest(links: DataFrame, with_paths: bool = False, local_core: int = LOCAL_CORE, trace: list[int] | None = None) -> DataFrame:
     """Root and depth of every node of ``links(id, p)`` (``p`` null for roots, else an id in the table).
 
     Columns ``id, root_id, depth`` and, with ``with_paths``, ``path`` (root to node).  Nodes whose walk never ends
-    get -1, -1 and a null path.  One row per id is expected; an empty table gives an empty result.
+    get -1, -1 and a null path.  One row per id is expected; an empty table gives an empty result.  ``trace``
+    receives the number of nodes left after each distributed round.
     """
     carry = F.array().cast("array<bigint>").alias("seg") if with_paths else F.lit(1).cast("bigint").alias("w")
     c = "seg" if with_paths else "w"
+    inner = F.col("p").isNotNull() & (F.col("p") != F.col("id"))
 
     def joined(upper: Column, node: Column, lower: Column) -> Column:
         return F.concat(upper, F.array(node), lower) if with_paths else upper + lower
 
-    state = materialize(links.select("id", "p", carry), "forest-0")
-    records: list[DataFrame] = []
-    terminal: list[DataFrame] = []
-    for r in range(max_rounds):
-        left = count_rows(state)
-        if left <= local_core:
-            break
+    state = links.select("id", "p", carry)
+    steps: list[DataFrame] = []
+    while True:
+        r = len(steps)
         # Children of each node, without the node itself where it is its own parent.
-        kids = state.filter(F.col("p").isNotNull() & (F.col("p") != F.col("id"))).groupBy("p").agg(F.count(F.lit(1)).alias("n_kids")).withColumnRenamed("p", "id")
-        here = state.join(kids, "id", "left")
-        loop = F.col("p") == F.col("id")
-        inner = F.col("p").isNotNull() & ~loop
+        kids = state.filter(inner).groupBy("p").agg(F.count(F.lit(1)).alias("n_kids")).withColumnRenamed("p", "id")
         # Compress: a node with one child hands that child its own parent; no two neighbours go in the same round.
         splice = inner & (F.col("n_kids") == 1) & _coin(F.col("id"), r) & ~_coin(F.col("p"), r)
-        marked = here.select("id", "p", c, F.coalesce(F.col("n_kids"), F.lit(0)).alias("n_kids"), F.coalesce(splice, F.lit(False)).alias("splice"))
+        marked = state.join(kids, "id", "left").select("id", "p", c, F.coalesce(F.col("n_kids"), F.lit(0)).alias("n_kids"), F.coalesce(splice, F.lit(False)).alias("splice"))
         gone = marked.filter("splice").select(F.col("id").alias("p"), F.col("p").alias("__pp"), F.col(c).alias("__pc"))
         moved = marked.join(gone, "p", "left").select(
             "id",
@@ -141,40 +139,42 @@ def contract_forest(links: DataFrame, with_paths: bool = False, local_core: int
             .alias("role"),
         )
         step = materialize(moved, f"forest-{r + 1}")
-        records.append(step.filter("role = 'record'").drop("role"))
-        terminal.append(step.filter("role = 'settled'").drop("role"))
+        steps.append(step)
         state = step.filter("role = 'keep'").drop("role")
-        if r > 2 and count_rows(state) == left:  # only self-loops and roots with settled children remain
-            remaining = state.filter(F.col("p").isNotNull() & (F.col("p") != F.col("id")))
-            if remaining.isEmpty():
-                break
-    core = reduce(DataFrame.unionByName, terminal, state)
-    if count_rows(state) <= local_core:
+        # A node with children is kept, so what is left is nothing, or a smaller forest, or rings that still shrink.
+        left = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(inner).alias("inner")).collect()[0]
+        if trace is not None:
+            trace.append(left.n)
+        if left.n <= local_core or left.inner == 0:
+            break
+    if left.n <= local_core:
         fn, schema = (_finish_forest, "id bigint, root_id bigint, depth int, path array<bigint>") if with_paths else (_finish_forest_narrow, "id bigint, root_id bigint, depth int")
         solved = state.repartition(1).mapInPandas(fn, schema)
-        core = reduce(DataFrame.unionByName, terminal) if terminal else None
     else:
-        solved = None
-    known = []
-    if core is not None:
-        is_root = F.col("p").isNull()
-        settled = core.select("id", F.when(is_root, F.col("id")).otherwise(-1).alias("root_id"), F.when(is_root, 0).otherwise(-1).cast("int").alias("depth"), *([F.when(is_root, F.array("id")).alias("path")] if with_paths else []))
-        known.append(settled)
-    if solved is not None:
-        known.append(solved)
-    if not records:
-        return reduce(DataFrame.unionByName, known)
-    known = [materialize(reduce(DataFrame.unionByName, known), "forest-core")]
-    # Replay: each record's node hangs on a node that was still there, so it is known by now.
-    for r in range(len(records) - 1, -1, -1):
-        upper = reduce(DataFrame.unionByName, known).withColumnRenamed("id", "p")
-        ends = F.col("depth") >= 0
-        steps = (F.size("seg") + 1) if with_paths else F.col("w")
-        got = records[r].join(upper, "p").select(
-            "id", "root_id", F.when(ends, F.col("depth") + steps).otherwise(-1).cast("int").alias("depth"), *([F.when(ends, F.concat("path", "seg", F.array("id"))).alias("path")] if with_paths else [])
-        )
-        known.append(materialize(got, f"forest-back-{r}") if r else got)
-    return reduce(DataFrame.unionByName, known)
+        solved = _ends(state, with_paths)
+    # Replay: each round's records hang on nodes that were still there after it, so they are known by now.
+    known = materialize(solved, "forest-core")
+    for r in range(len(steps) - 1, -1, -1):
+        got = _hung(steps[r].filter("role = 'record'"), known, with_paths)
+        known = known.unionByName(got).unionByName(_ends(steps[r].filter("role = 'settled'"), with_paths))
+        if r:
+            known = materialize(known, f"forest-back-{r}")
+    return known
+
+
+def _ends(rows: DataFrame, with_paths: bool) -> DataFrame:
+    """What is known of roots and of self-loops, where walks end or never do."""
+    is_root = F.col("p").isNull()
+    path = [F.when(is_root, F.array("id")).alias("path")] if with_paths else []
+    return rows.select("id", F.when(is_root, F.col("id")).otherwise(-1).alias("root_id"), F.when(is_root, 0).otherwise(-1).cast("int").alias("depth"), *path)
+
+
+def _hung(records: DataFrame, known: DataFrame, with_paths: bool) -> DataFrame:
+    """Records completed from the nodes they were hung on."""
+    ends = F.col("depth") >= 0
+    steps = (F.size("seg") + 1) if with_paths else F.col("w")
+    path = [F.when(ends, F.concat("path", "seg", F.array("id"))).alias("path")] if with_paths else []
+    return records.join(known.withColumnRenamed("id", "p"), "p").select("id", "root_id", F.when(ends, F.col("depth") + steps).otherwise(-1).cast("int").alias("depth"), *path)
 
 
 def _contract_edges(edges: Iterable[tuple[int, int]]) -> tuple[dict[int, set[int]], set[int], list[tuple[int, int, int]]]:
@@ -273,11 +273,12 @@ def _tarjan(out: dict[int, set[int]]) -> list[tuple[int, int]]:
     return rows
 
 
-def _colour_core(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _colour_core(edges: DataFrame) -> DataFrame:
     """Components of a core too large for one task: spread the largest id forward, then walk back within its colour."""
     found: list[DataFrame] = []
     core = edges
-    for r in range(max_rounds):
+    while True:
+        r = len(found)
         nodes = core.select(F.col("u").alias("id")).union(core.select(F.col("v").alias("id"))).distinct()
         colour = materialize(nodes.select("id", F.col("id").alias("c")), f"scc-colour-{r}")
         while True:
@@ -305,74 +306,71 @@ def _colour_core(edges: DataFrame, max_rounds: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cycle_members(edges: DataFrame, local_core: int = LOCAL_CORE, max_rounds: int = 200) -> DataFrame:
+def cycle_members(edges: DataFrame, local_core: int = LOCAL_CORE, trace: list[int] | None = None) -> DataFrame:
     """``id, scc``: the nodes of ``edges(u, v)`` that are their own ancestor, with one label per cycle component.
 
     Nodes without ways in or out are raked, unary chains are compressed (a chain's node lies on a cycle exactly
     when both ends carry the same component), and only a core that never contracts is searched for components.
-    Repeated edges are dropped, rows with nulls are ignored.
+    Repeated edges are dropped, rows with nulls are ignored.  ``trace`` receives the edges left after each round.
     """
     state = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v").distinct(), "cycle-0")
-    loops: list[DataFrame] = []
+    loops = [state.filter("u = v").select(F.col("u").alias("id"))]
     records: list[DataFrame] = []
-    left = count_rows(state)
-    for r in range(max_rounds):
-        loops.append(state.filter("u = v").select(F.col("u").alias("id")))
+    while True:
+        r = len(records)
         plain = state.filter("u <> v")
-        if left <= local_core:
-            break
-        ends = plain.select(F.col("u").alias("id"), F.col("v").alias("o"), F.lit(None).cast("bigint").alias("i")).unionByName(plain.select(F.col("v").alias("id"), F.lit(None).cast("bigint").alias("o"), F.col("u").alias("i")))
+        ends = plain.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("o"), F.lit(None).cast("bigint").alias("i")), F.struct(F.col("v").alias("id"), F.lit(None).cast("bigint").alias("o"), F.col("u").alias("i")))).alias("e")).select("e.*")
         deg = ends.groupBy("id").agg(F.count("o").alias("n_out"), F.count("i").alias("n_in"), F.max("o").alias("o"), F.max("i").alias("i"))
-        deg = deg.filter("n_out = 0 OR n_in = 0 OR (n_out = 1 AND n_in = 1)").select(
-            "id", "i", "o", ((F.col("n_out") == 0) | (F.col("n_in") == 0)).alias("rake"), _coin(F.col("id"), r).alias("heads"), _coin(F.col("o"), r).alias("next_heads")
-        )
-        marks = materialize(deg.withColumn("splice", F.coalesce(~F.col("rake") & F.col("heads") & ~F.col("next_heads"), F.lit(False))).filter("rake OR splice").select("id", "i", "o", "rake"), f"cycle-marks-{r}")
-        cut = marks.select("id")
+        deg = deg.filter("n_out = 0 OR n_in = 0 OR (n_out = 1 AND n_in = 1)").select("id", "i", "o", ((F.col("n_out") == 0) | (F.col("n_in") == 0)).alias("rake"))
+        go = F.col("rake") | (_coin(F.col("id"), r) & ~_coin(F.col("o"), r))
+        marks = materialize(deg.withColumn("go", go), f"cycle-marks-{r}")
+        cut = marks.filter("go").select("id")
         kept = plain.join(cut.withColumnRenamed("id", "u"), "u", "left_anti").join(cut.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v")
-        spliced = marks.filter("NOT rake").select("id", "i", "o")
-        # A chain between two raked or spliced nodes only survives where both its ends do.
+        spliced = marks.filter("go AND NOT rake").select("id", "i", "o")
+        # A chain's new edge only stands where both its ends do.
         raked = marks.filter("rake").select("id")
         bridge = spliced.join(raked.withColumnRenamed("id", "i"), "i", "left_anti").join(raked.withColumnRenamed("id", "o"), "o", "left_anti").select(F.col("i").alias("u"), F.col("o").alias("v"))
         records.append(spliced)
         state = materialize(kept.union(bridge).distinct(), f"cycle-{r + 1}")
-        now = count_rows(state)
-        if now == 0 or (now == left and marks.isEmpty()):
-            loops.append(state.filter("u = v").select(F.col("u").alias("id")))
-            left = now
+        loops.append(state.filter("u = v").select(F.col("u").alias("id")))
+        left = count_rows(state)
+        if trace is not None:
+            trace.append(left)
+        # Candidates that lost their coin try again in the next round; without candidates nothing contracts any more.
+        if left <= local_core or marks.isEmpty():
             break
-        left = now
     core = state.filter("u <> v")
-    comp = core.repartition(1).mapInPandas(_finish_cycles, "id bigint, scc bigint") if left <= local_core else _colour_core(core, max_rounds)
+    comp = materialize(core.repartition(1).mapInPandas(_finish_cycles, "id bigint, scc bigint") if left <= local_core else _colour_core(core), "cycle-comp")
     alone = reduce(DataFrame.union, loops).distinct()
-    known = comp.unionByName(alone.join(comp, "id", "left_anti").select("id", F.col("id").alias("scc"))) if not records else None
-    if known is not None:
-        return known
-    comp = materialize(comp, "cycle-comp")
-    known = materialize(comp.unionByName(alone.join(comp, "id", "left_anti").select("id", F.col("id").alias("scc"))), "cycle-known")
+    known = comp.unionByName(alone.join(comp, "id", "left_anti").select("id", F.col("id").alias("scc")))
     for r in range(len(records) - 1, -1, -1):
         a = known.select(F.col("id").alias("i"), F.col("scc").alias("si"))
         b = known.select(F.col("id").alias("o"), F.col("scc").alias("so"))
         got = records[r].join(a, "i").join(b, "o").filter("si = so").select("id", F.col("si").alias("scc"))
-        known = materialize(known.join(got, "id", "left_anti").unionByName(got), f"cycle-back-{r}")
+        known = known.join(got, "id", "left_anti").unionByName(got)
+        if r:
+            known = materialize(known, f"cycle-back-{r}")
     return known
 
 
-def hierarchy(objects: DataFrame, key: str = "id", parents: str = "parents", local_core: int = LOCAL_CORE) -> DataFrame:
+def hierarchy(objects: DataFrame, key: str = "id", parents: str = "parents", local_core: int = LOCAL_CORE, trace: dict[str, list[int]] | None = None) -> DataFrame:
     """``id, root_id, depth, on_cycle`` of every object; see ``contract_forest`` and ``cycle_members``.
 
-    The walk goes to the first parent that exists; ``on_cycle`` looks at all parents.
+    The walk goes to the first parent that exists; ``on_cycle`` looks at all parents.  ``trace`` receives what
+    each round of the two contractions left.
     """
+    trace = {} if trace is None else trace
     links = materialize(first_existing_parent(objects, key, parents), "links")
-    depth = contract_forest(links, local_core=local_core)
+    depth = contract_forest(links, local_core=local_core, trace=trace.setdefault("forest", []))
     ids = links.select("id")
     all_links = objects.filter(F.col(key).isNotNull()).select(F.col(key).alias("u"), F.explode(parents).alias("v")).filter("v IS NOT NULL").distinct()
-    cyc = cycle_members(all_links.join(ids.withColumnRenamed("id", "v"), "v", "left_semi"), local_core=local_core)
+    cyc = cycle_members(all_links.join(ids.withColumnRenamed("id", "v"), "v", "left_semi"), local_core=local_core, trace=trace.setdefault("cycles", []))
     return depth.join(cyc.select("id", F.lit(1).alias("c")), "id", "left").select("id", "root_id", "depth", F.coalesce("c", F.lit(0)).alias("on_cycle"))
 
 
 def paths(objects: DataFrame, key: str = "id", parents: str = "parents", local_core: int = LOCAL_CORE) -> DataFrame:
     """``id, root_id, depth, path``: the full path from the root; null where the walk never ends."""
-    return contract_forest(first_existing_parent(objects, key, parents), with_paths=True, local_core=local_core)
+    return contract_forest(materialize(first_existing_parent(objects, key, parents), "links"), with_paths=True, local_core=local_core)
 
 
 def descendants(path_rows: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def effective_values(w: World) -> DataFrame:
     that name.  Where there is none, or the parents go round in a circle, the property stays unresolved and has a
     null ``value_from``.  Each cleared property meets its own ancestors only, as many as its object is deep.
     """
-    lines = contract_forest(first_existing_parent(w.objects), with_paths=True).filter("depth > 0").select(F.col("id").alias("oid"), "depth", "path")
+    lines = contract_forest(materialize(first_existing_parent(w.objects), "links"), with_paths=True).filter("depth > 0").select(F.col("id").alias("oid"), "depth", "path")
     slots = w.properties.select("oid", "name", "value_json", F.coalesce(tag() == "clear", F.lit(False)).alias("clear"))
     cleared = slots.filter("clear").select("oid", "name")
     up = cleared.join(lines, "oid").select("oid", "name", "depth", F.posexplode("path").alias("pos", "at")).filter("pos < depth")
