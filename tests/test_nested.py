@@ -35,27 +35,37 @@ def spell(r, v):
     return json.dumps(v, indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5, separators=r.choice([(",", ":"), (" , ", " : ")]))
 
 
+def flat(texts, top="value", linked=False, **how):
+    """All pieces as lists: text numbers, slots, paths, tags, parent paths, scalars."""
+    out = [[], [], [], [], [], []]
+    for row, slot, path, tag, extra in nested.flatten_batch(pa.array(texts, pa.string()), top, linked, **how):
+        cols = [row.tolist(), slot.to_pylist(), path.to_pylist(), tag.to_pylist()] + ([extra["parent"].to_pylist(), extra["value"].to_pylist()] if linked else [[], []])
+        out = [a + b for a, b in zip(out, cols)]
+    return out
+
+
+@pytest.mark.parametrize("piece", [64_000_000, 50])
 @pytest.mark.parametrize("seed", range(4))
-def test_values_against_recursion(seed):
+def test_values_against_recursion(seed, piece):
     r = random.Random(seed)
     vs = [value(r, 5) for _ in range(60)]
     texts = [spell(r, v) for v in vs]
     bad = ['{"type":"list","items":[{"type":"int"', None, "", "[1,2", '{"a"}', "}", '"', '{"type":"list","items":[]}]', "\\", texts[0] + "x"]
     mixed = [t for pair in zip(texts, bad * 6) for t in pair]
-    row, _, path, tag, extra = nested.flatten_batch(pa.array(mixed, pa.string()), "value", True)
-    got = sorted(zip(row.tolist(), path.to_pylist(), tag.to_pylist(), extra["parent"].to_pylist()))
+    row, _, path, tag, parent, _ = flat(mixed, linked=True, piece_bytes=piece)
+    got = sorted(zip(row, path, tag, parent))
     assert got == sorted((2 * i, *n) for i, v in enumerate(vs) for n in walk(v))
 
 
 def test_slots_and_scalars():
     text = json.dumps([[4, {"type": "list", "items": [{"type": "string", "value": "a\"b"}, {"type": "float", "bits": "3ff0000000000000"}]}], [20, {"type": "int", "value": "1"}], ["x", {"type": "list", "items": [{"type": "clear"}]}]])
-    row, slot, path, tag, extra = nested.flatten_batch(pa.array([text, "[]", "[[1]]"]), "slots", True)
-    assert list(zip(slot.to_pylist(), path.to_pylist(), tag.to_pylist(), extra["value"].to_pylist())) == [("4", "list:1", "string", 'a"b'), ("4", "list:2", "float", "3ff0000000000000"), ("x", "list:1", "clear", None)]
+    _, slot, path, tag, _, content = flat([text, "[]", "[[1]]"], "slots", True)
+    assert list(zip(slot, path, tag, content)) == [("4", "list:1", "string", 'a"b'), ("4", "list:2", "float", "3ff0000000000000"), ("x", "list:1", "clear", None)]
 
 
 def test_escaped_field_names():
-    row, _, path, tag, _ = nested.flatten_batch(pa.array(['{"\\u0074ype":"list","it\\u0065ms":[{"type":"int","value":"1"}]}']), "value")
-    assert (path.to_pylist(), tag.to_pylist()) == (["list:1"], ["int"])
+    got = flat(['{"\\u0074ype":"list","it\\u0065ms":[{"type":"int","value":"1"}]}'])
+    assert got[2:4] == [["list:1"], ["int"]]
 
 
 def test_long_and_empty_batches(spark):
@@ -65,36 +75,63 @@ def test_long_and_empty_batches(spark):
     assert nested.flatten_values(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["type", "\\u0074ype"])
-def test_values_deeper_than_the_decoder(name):
+def whole(texts):
+    return (~nested.Index(*nested.one_buffer(pa.array(texts, pa.string()))).bad).tolist()
+
+
+def test_values_deeper_than_the_decoder():
     depth = 60_000
     with pytest.raises(RecursionError):
         json.loads("[" * depth + "]" * depth)
-    text = f'{{"{name}":"list","items":[' * 2 + '{"type":"int","value":"1"}' + "]}" * 2
-    deep = "[" * depth + text + "]" * depth
-    assert nested._plain(deep) == "[" * depth + nested._plain(text).replace(", ", ",").replace(": ", ":") + "]" * depth
-    assert nested._plain(deep[:-1]) is None and nested._plain(deep + "]") is None
+    deep = "[" * depth + '{"type":"int"}' + "]" * depth
+    assert whole([deep, deep[:-1], deep + "]", deep.replace("int", "\\x")]) == [True, False, False, False]
 
 
-def test_deep_value_has_all_rows():
-    depth = 1500
+def test_deep_values_have_all_rows():
+    depth = 12_000
     text = '{"type":"list","items":[' * depth + "]}" * depth
-    whole = nested.flatten_batch(pa.array([text]), "value")
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(nested.json, "loads", lambda _: (_ for _ in ()).throw(RecursionError))
-        got = nested.flatten_batch(pa.array([text, text + "]"]), "value")
-    assert got[0].tolist() == [0] * (depth - 1) and got[2] == whole[2] and got[3] == whole[3]
+    n = 0
+    for row, _, path, tag, _ in nested.flatten_batch(pa.array([text, text + "]"]), "value", piece_bytes=30_000_000):
+        assert set(row.tolist()) == {0} and set(tag.to_pylist()) == {"list"}
+        assert path[0].as_py() == "/".join(["list:1"] * (n + 1)) and path[len(row) - 1].as_py().count("/") == n + len(row) - 1
+        n += len(row)
+    assert n == depth - 1
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_stack_grammar_against_the_decoder(seed):
+def test_grammar_against_the_decoder(seed):
     r = random.Random(seed)
-    texts = [spell(r, value(r, 4)) for _ in range(40)] + ["[]", "{}", "[1,]", "{,}", '{"a":1,}', "1 2", "", " ", "01", "-", "[1.5e-3,NaN,-Infinity]", '"\\x"', '"a\nb"', "nulll", "[null}", '{"a" "b"}', '{1:2}', "tru", "\u0661"]
-    for t in texts:
-        for cut in (t, t[: r.randrange(len(t) + 1)], t.replace(r.choice(t or "x"), r.choice(',:[]{}" '), 1)):
-            try:
-                json.loads(cut)
-                want = cut
-            except ValueError:
-                want = None
-            assert nested._plain_deep(cut, False) == want, cut
+    texts = [spell(r, value(r, 4)) for _ in range(40)] + ["[]", "{}", "[1,]", "{,}", '{"a":1,}', "1 2", "", " ", "01", "-", "[1.5e-3,NaN,-Infinity]", '"\\x"', '"a\nb"', "nulll", "[null}", '{"a" "b"}', "{1:2}", "tru", "\u0661", '"\\u12"', '"\\ud8', "[:1]", '["a":1]', '{"a":}', "[,1]", '{"a":1 "b":2}', '[1"a"]', "1,2", '"a":1', "[]{}"]
+    cuts = [cut for t in texts for cut in (t, t[: r.randrange(len(t) + 1)], t.replace(r.choice(t or "x"), r.choice(',:[]{}" '), 1))]
+
+    def decodes(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    assert dict(zip(cuts, whole(cuts))) == {t: decodes(t) for t in cuts}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_spellings_agree_exactly_where_values_do(seed):
+    r = random.Random(seed)
+    vs = [value(r, 5) for _ in range(60)] + [{"type": "list", "items": x} for x in ([1, 2], [2, 1], [[1], 2], [[1, 2]], [], ["1", 2], [{"a": 1}], [{"a": 1, "b": 1}])]
+    one, two = (nested.spellings(pa.array([spell(r, v) for v in vs])).to_pylist() for _ in range(2))
+    assert one == two
+    key = [json.dumps(v, sort_keys=True) for v in vs]
+    assert len(set(one)) == len(set(key)) == len(set(zip(one, key)))
+    assert nested.spellings(pa.array([None, "{", "", "[1"], pa.string())).to_pylist() == [None, "!{", "!", "![1"]
+
+
+def test_deep_values_compare_by_content(spark):
+    from worldloom.functions.values import canonical, value_hash
+
+    def deep(n, x, space=""):
+        return f'{{{space}"type":{space}"list","items":[' * n + x + "]}" * n
+
+    rows = [(n, same, deep(n, '{"type":"int","value":1}'), deep(n, f'{{ "value":{1 if same else 2}, "type" : "int" }}', " ")) for n in (150, 260, 700, 20_000) for same in (True, False)]
+    df = spark.createDataFrame(rows, "n int, same boolean, a string, b string")
+    got = df.select("n", "same", (canonical("a") == canonical("b")).alias("text"), (value_hash("a") == value_hash("b")).alias("hash")).collect()
+    assert all(r.same == r.text == r.hash for r in got)

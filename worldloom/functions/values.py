@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Levels every VARIANT round trip masters.
+_LEVELS = 200
+
+
+def _spelled(texts: pa.Array) -> pa.Array:
+    from worldloom.operators.nested import spellings
+
+    return spellings(texts)
 
 
 def canonical(value_json: Column | str) -> Column:
     """One spelling per typed value: field order, white space and escapes are normalised by a VARIANT round trip.
 
+    The round trip gives up below some hundred levels, for every spelling of a value alike; those values are
+    spelled by a hash from their structural index.  Only texts with enough brackets to be so deep travel there.
     Text that is no JSON keeps its own spelling behind a ``!``; null stays null.  Arrays keep their order, so
     lists and map entries compare in order.
     """
     v = F.col(value_json) if isinstance(value_json, str) else value_json
-    return F.coalesce(F.to_json(F.try_parse_json(v)), F.concat(F.lit("!"), v))
+    deep = (F.length(v) >= 2 * _LEVELS) & (F.length(v) - F.length(F.translate(v, "[{", "")) >= _LEVELS)
+    return F.coalesce(F.to_json(F.try_parse_json(v)), F.arrow_udf(_spelled, StringType())(F.when(deep, v)), F.concat(F.lit("!"), v))
 
 
 def once(value: Column, then) -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -361,10 +362,13 @@ def hierarchy(objects: DataFrame, key: str = "id", parents: str = "parents", loc
     """
     trace = {} if trace is None else trace
     links = materialize(first_existing_parent(objects, key, parents), "links")
-    depth = contract_forest(links, local_core=local_core, trace=trace.setdefault("forest", []))
     ids = links.select("id")
     all_links = objects.filter(F.col(key).isNotNull()).select(F.col(key).alias("u"), F.explode(parents).alias("v")).filter("v IS NOT NULL").distinct()
-    cyc = cycle_members(all_links.join(ids.withColumnRenamed("id", "v"), "v", "left_semi"), local_core=local_core, trace=trace.setdefault("cycles", []))
+    real = all_links.join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    with ThreadPoolExecutor(1) as pool:  # the two contractions do not depend on each other
+        cycles = pool.submit(cycle_members, real, local_core, trace.setdefault("cycles", []))
+        depth = contract_forest(links, local_core=local_core, trace=trace.setdefault("forest", []))
+        cyc = cycles.result()
     return depth.join(cyc.select("id", F.lit(1).alias("c")), "id", "left").select("id", "root_id", "depth", F.coalesce("c", F.lit(0)).alias("on_cycle"))
 
 

@@ -2,15 +2,15 @@
 
 A whole Arrow batch of JSON texts is one byte buffer.  Bitmaps of quotes, brackets and delimiters are built with
 array operations, nesting depth is a prefix sum over them, every container finds its parent by one sorted search
-over (depth, position), and paths are joined level by level.  Whether a text is whole JSON at all is left to the
-C decoder; nodes, links and spans come from the index.
+over (depth, position), and paths are joined level by level.  Whether a text is whole JSON is read off the index too:
+which token may follow which, inside which bracket.  Nothing recurses, so values may be nested to any depth.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,32 @@ def _kind_table() -> np.ndarray:
 
 
 _KIND = _kind_table()
+_ESCAPE = np.zeros(256, bool)
+_ESCAPE[list(b'"\\/bfnrtu')] = True
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+#: The scalars of JSON, with the three numbers decoders commonly take besides.
+_SCALAR = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)$"
+
+
+def one_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one byte buffer, each followed by a line end, and their offsets (last: the buffer's length).
+
+    Null texts are empty.
+    """
+    joined = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
+    _, offsets, data = joined.buffers()
+    starts = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    if not len(joined):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
 class Index:
-    """Structural index of many JSON texts: tokens in order with depth, text number and span."""
+    """Structural index of many JSON texts: tokens in order with depth, text number and span.
+
+    ``bad`` tells the texts that are not whole JSON.
+    """
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray) -> None:
         """``starts`` holds the texts' byte offsets and, last, the buffer's length."""
@@ -49,8 +71,10 @@ class Index:
             escaped = np.zeros(n + 1, bool)
             escaped[at[odd] + 1] = True
             quote = (buf == 34) & ~escaped[:n]
+            starter = at[(at - run_start) % 2 == 0]
         else:
             quote = buf == 34
+            starter = np.zeros(0, np.int64)
         q = np.flatnonzero(quote)
         # Quote parity restarts with each text, so a cut-off text cannot spoil the next.
         q_text = np.searchsorted(starts, q, "right") - 1
@@ -67,12 +91,15 @@ class Index:
         unclosed = np.flatnonzero(self.bad)
         np.add.at(delta, starts[unclosed + 1], -1)
         inside = np.cumsum(delta[:n], dtype=np.int32) > 0
+        self._slashes = np.r_[0, np.cumsum(slash, dtype=np.int64)]
+        self._check_strings(starter[inside[starter]], inside)
         kind = _KIND[buf]
         kind[inside] = 9
         kind[q[opening]] = _QUOTE
         other = kind == _OTHER
         scalar_start = other & ~np.r_[False, other[:-1]]
         scalar_start[starts[:-1][starts[:-1] < n]] |= other[starts[:-1][starts[:-1] < n]]
+        self._check_scalars(other, scalar_start)
         tok = np.flatnonzero((kind < _OTHER) | scalar_start)
         self.pos, self.kind = tok, kind[tok]
         self.text = np.searchsorted(starts, tok, "right") - 1
@@ -101,6 +128,64 @@ class Index:
         self.parent[inner] = self._osort[np.maximum(up, 0)] if len(self._osort) else -1
         commas = np.flatnonzero(self.kind == _COMMA)
         self._ckeys = np.sort(self.depth[commas] * big + commas)
+        self._check_order()
+
+    def _check_strings(self, starter: np.ndarray, inside: np.ndarray) -> None:
+        """Mark texts with control characters or unknown escapes in strings."""
+        wrong = [np.flatnonzero(inside & (self.buf < 32))]
+        last = len(self.buf) - 1
+        code = self.buf[np.minimum(starter + 1, last)]
+        wrong.append(starter[~_ESCAPE[code]])
+        wide = starter[code == ord("u")]
+        for i in range(2, 6):
+            at = np.minimum(wide + i, last)
+            wrong.append(wide[~(_HEX[self.buf[at]] & inside[at])])
+        at = np.concatenate(wrong)
+        self.bad[np.searchsorted(self.starts, at, "right") - 1] = True
+
+    def _check_scalars(self, other: np.ndarray, scalar_start: np.ndarray) -> None:
+        """Mark texts with a bare word that is no number, ``true``, ``false`` or ``null``."""
+        at = np.flatnonzero(other)
+        if not len(at):
+            return
+        first = np.flatnonzero(scalar_start[at])
+        data = self.buf[at]
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[first, len(at)].astype(np.int64)), pa.py_buffer(data)])
+        high = np.add.reduceat((data > 127).astype(np.int64), first) > 0
+        fine = np.zeros(len(first), bool)
+        plain = np.flatnonzero(~high)
+        known = pc.dictionary_encode(words.take(pa.array(plain)))
+        if len(plain):
+            good = np.asarray(pc.match_substring_regex(known.dictionary.cast(pa.large_string()), _SCALAR))
+            fine[plain] = good[np.asarray(known.indices)]
+        self.bad[np.searchsorted(self.starts, at[first[~fine]], "right") - 1] = True
+
+    def _check_order(self) -> None:
+        """Mark texts in which a token may not follow the one before it, and texts that end too early."""
+        k, n = self.kind, len(self.kind)
+        if not n:
+            return
+        opens_text = np.r_[True, self.text[1:] != self.text[:-1]]
+        before = np.where(opens_text, -1, np.r_[0, k[:-1]])
+        curly_at = np.zeros(n + 1, bool)
+        curly_at[:n] = (k == _OPEN) & (self.buf[self.pos] == 123)
+        curly = curly_at[self.parent]  # -1 finds the spare place
+        key = (k == _QUOTE) & curly & ((before == _OPEN) | (before == _COMMA))
+        after_key = np.r_[False, key[:-1]] & ~opens_text
+        value = (k == _OPEN) | (k == _OTHER) | ((k == _QUOTE) & ~key)
+        ended = ~opens_text & ((before == _CLOSE) | (before == _OTHER) | ((before == _QUOTE) & ~after_key))
+        may = np.where(
+            after_key,
+            k == _COLON,
+            np.where(
+                ended,
+                (k == _CLOSE) | ((k == _COMMA) & (self.parent >= 0)),
+                np.where(before == _OPEN, (k == _CLOSE) | key | (value & ~curly), np.where(before == _COMMA, key | (value & ~curly), value)),
+            ),
+        )
+        self.bad[self.text[~may]] = True
+        closes_text = np.r_[opens_text[1:], True]
+        self.bad[self.text[closes_text & ((k == _COMMA) | (k == _COLON) | key)]] = True
 
     def _check(self, n_text: int, first_tok: np.ndarray, run: np.ndarray, base: np.ndarray) -> None:
         """Mark texts whose brackets do not balance; bracket kinds must match too."""
@@ -125,103 +210,95 @@ class Index:
         return np.searchsorted(self._ckeys, d * self._big + tok) - np.searchsorted(self._ckeys, d * self._big + self.parent[tok]) + 1
 
     def equals(self, tok: np.ndarray, word: bytes) -> np.ndarray:
-        """Which string tokens spell ``word`` (escaped spellings are handled by ``plain_keys``)."""
-        ok = (self.kind[tok] == _QUOTE) & (self.end_quote[tok] - self.pos[tok] - 1 == len(word))
+        """Which string tokens spell ``word``, with or without escapes."""
+        text = (self.kind[tok] == _QUOTE) & (self.end_quote[tok] >= 0)
         p = self.pos[tok]
+        ok = text & (self.end_quote[tok] - p - 1 == len(word))
         for i, b in enumerate(word):
             ok &= self.buf[np.minimum(p + 1 + i, len(self.buf) - 1)] == b
+        for i in np.flatnonzero(text & ~ok & (self._slashes[np.maximum(self.end_quote[tok], 0)] > self._slashes[p])):
+            ok[i] = not self.bad[self.text[tok[i]]] and self.string(tok[i]) == word.decode()
         return ok
 
     def string(self, tok: int) -> str:
         return json.loads(bytes(self.buf[self.pos[tok] : self.end_quote[tok] + 1]))
 
 
-def _plain(text: str | None) -> str | None:
-    """A text as it is, or respelled when a field name is written with escapes; None unless it is whole JSON."""
-    if text is None:
-        return None
-    respell = "\\u00" in text or "\\/" in text
-    try:
-        v = json.loads(text)
-        return json.dumps(v, ensure_ascii=False) if respell else text
-    except ValueError:
-        return None
-    except RecursionError:
-        return _plain_deep(text, respell)
-
-
-_LEXEME = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)|([\[\]{},:]))')
-
-
-def _plain_deep(text: str, respell: bool) -> str | None:
-    """``_plain`` for texts too deep for the C decoder: the same grammar with a stack of its own."""
-    stack: list[str] = []
-    out: list[str] = []
-    want = "value"  # or: first (a member or the end), key, colon, next (a comma or the end)
-    at, end = 0, len(text.rstrip(" \t\n\r"))
-    while at < end:
-        m = _LEXEME.match(text, at)
-        if m is None:
-            return None
-        at = m.end()
-        string, scalar, mark = m.groups()
-        if respell:
-            out.append(json.dumps(json.loads(string), ensure_ascii=False) if string else scalar or mark)
-        top = stack[-1] if stack else ""
-        if mark and mark in "]}":
-            if not top or mark != ("]" if top == "[" else "}") or want not in ("first", "next"):
-                return None
-            stack.pop()
-            want = "next"
-        elif mark == ",":
-            if want != "next" or not top:
-                return None
-            want = "value" if top == "[" else "key"
-        elif mark == ":":
-            if want != "colon":
-                return None
-            want = "value"
-        elif string and top == "{" and want in ("first", "key"):
-            want = "colon"
-        elif want == "value" or want == "first" and top == "[":
-            want = "next"
-            if mark:
-                stack.append(mark)
-                want = "first"
-        else:
-            return None
-    if stack or want != "next":
-        return None
-    return "".join(out) if respell else text
+def spellings(texts: pa.Array) -> pa.Array:
+    """One short spelling per JSON value, of whatever depth: a 128-bit hash built from the leaves upwards.
 
+    Field order, white space and escapes make no difference; the order of list items does.  Texts that are no
+    whole JSON keep their own spelling behind a ``!``; null stays null.
+    """
+    out: list[str | None] = [None if t is None else "!" + t for t in texts.to_pylist()]
+    if not len(out) or texts.null_count == len(out):
+        return pa.array(out, pa.string())
+    buf, starts = one_buffer(texts)
+    ix = Index(buf, starts)
+    n = len(ix.pos)
+    stop = np.r_[ix.pos[1:], len(buf)] if n else ix.pos
+    named = np.r_[ix.kind[1:] == _COLON, False] & (ix.kind == _QUOTE)
+
+    def leaf(t: int) -> tuple[int, int]:
+        word = b"s" + ix.string(t).encode("utf-8", "surrogatepass") if ix.kind[t] == _QUOTE else b"w" + bytes(buf[ix.pos[t] : stop[t]]).rstrip()
+        d = blake2b(word, digest_size=16).digest()
+        return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+
+    h = np.zeros((n, 2), np.uint64)
+    good = ~ix.bad[ix.text] if n else np.zeros(0, bool)
+    for t in np.flatnonzero(good & ((ix.kind == _QUOTE) | (ix.kind == _OTHER))):
+        h[t] = leaf(t)
+    member = np.flatnonzero(good & ~named & ((ix.kind == _QUOTE) | (ix.kind == _OTHER) | (ix.kind == _OPEN)))
+    # A member's own depth; a container's is that of the members inside it, less one.
+    level = ix.depth[member] - (ix.kind[member] == _OPEN)
+    order = member[np.argsort(-level, kind="stable")]
+    level = np.sort(level)[::-1]
+    cuts = np.r_[0, np.flatnonzero(np.diff(level)) + 1, len(level)]
+    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+    with np.errstate(over="ignore"):
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            now = order[a:z]
+            box = now[ix.kind[now] == _OPEN]
+            h[box] = _stir(h[box] + buf[ix.pos[box]].astype(np.uint64)[:, None] * salts)
+            inner = now[ix.parent[now] >= 0]
+            up = ix.parent[inner]
+            in_object = buf[ix.pos[up]] == 123
+            place = np.where(in_object[:, None], h[np.maximum(inner - 2, 0)], ix.ordinal(inner).astype(np.uint64)[:, None])
+            part = _stir(_stir(place + salts) ^ h[inner])
+            for k in (0, 1):
+                np.add.at(h[:, k], up, part[:, k])
+    tops = member[ix.parent[member] < 0]
+    for t in tops:
+        out[ix.text[t]] = f"#{int(h[t, 0]):016x}{int(h[t, 1]):016x}"
+    return pa.array(out, pa.string())
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def flatten_batch(texts: pa.Array, top: str, linked: bool = False) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, dict]:
-    """Rows of all nodes below the top of each value.
+
+def flatten_batch(texts: pa.Array, top: str, linked: bool = False, piece_bytes: int = 64_000_000) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, pa.Array, dict]]:
+    """Rows of all nodes below the top of each value, in pieces of at most about ``piece_bytes`` of paths.
 
     ``top`` is ``value`` (a text is one typed value) or ``slots`` (a text is a list of ``[slot, value]``).
-    Returns the text number, slot text (null for ``value``), path and tag of each node, and, with ``linked``,
+    A piece holds the text number, slot text (null for ``value``), path and tag of each node, and, with ``linked``,
     parent paths and scalar contents.  Null, cut-off or otherwise unwhole texts give nothing.
     """
-    whole = pa.array([_plain(t) for t in texts.to_pylist()], pa.string())
-    keep = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
-    none = (np.zeros(0, np.int64), pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.string()), {"parent": pa.array([], pa.string()), "value": pa.array([], pa.string())})
-    if not len(keep):
-        return none
-    whole = whole.take(pa.array(keep))
-    lengths = np.asarray(pc.binary_length(whole))
-    starts = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    buf = np.frombuffer("".join(whole.to_pylist()).encode(), np.uint8)
+    buf, starts = one_buffer(texts)
     ix = Index(buf, starts)
     good = ~ix.bad
     # Member values: the token after a colon; its name is the token before the colon.
-    after = np.flatnonzero(np.r_[False, ix.kind[:-1] == _COLON])
+    # Texts that are not whole take no further part: their brackets could reach into their neighbours.
+    after = np.flatnonzero(np.r_[False, ix.kind[:-1] == _COLON] & good[ix.text]) if len(ix.pos) else np.zeros(0, np.int64)
     name = after - 2
     is_ = {w: np.zeros(len(ix.pos), bool) for w in (b"type", b"items", b"entries", b"key", b"value")}
     for w, mask in is_.items():
         mask[after[ix.equals(name, w)]] = True
     curly = np.zeros(len(ix.pos), bool)
     curly[ix.opens] = buf[ix.pos[ix.opens]] == 123
-    objs = np.flatnonzero(curly)
+    objs = np.flatnonzero(curly & good[ix.text])
     par = ix.parent
     # Containers by role: items and entries lists hang on a value; entries on an entries list; values on the rest.
     gp = lambda t: np.where(t >= 0, par[np.maximum(t, 0)], -1)
@@ -247,7 +324,7 @@ def flatten_batch(texts: pa.Array, top: str, linked: bool = False) -> tuple[np.n
     m1, m2 = role == 1, role == 2
     holder[m1] = place[np.maximum(gp(up[m1]), 0)]
     holder[m2] = place[np.maximum(gp(gp(up[m2])), 0)]
-    good_node = good[ix.text[node_tok]]
+    good_node = np.ones(len(node_tok), bool)
     # Tags: the string member "type" of each value.
     t_val = np.flatnonzero(is_[b"type"] & (ix.kind == _QUOTE))
     tag_tok = np.full(len(node_tok), -1, np.int64)
@@ -269,25 +346,22 @@ def flatten_batch(texts: pa.Array, top: str, linked: bool = False) -> tuple[np.n
     word = pa.array(np.where(m1, "list:", "map:"))
     tail = pa.array(np.where(m1, "", np.where(is_[b"key"][node_tok], ":key", ":value")))
     seg = pc.binary_join_element_wise(word, as_text, tail, "")
-    level = np.zeros(len(node_tok), np.int64)
     todo = np.flatnonzero(role > 0)
     dead = holder[todo] < 0
     good_node[todo[dead]] = False
     todo = todo[~dead]
-    depth_tok = ix.depth[node_tok]
-    path = np.full(len(node_tok), "", object)
+    todo = todo[np.argsort(ix.depth[node_tok[todo]], kind="stable")]
+    cuts = np.r_[0, np.flatnonzero(np.diff(ix.depth[node_tok[todo]])) + 1, len(todo)] if len(todo) else np.zeros(1, np.int64)
+    levels = [todo[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
     seg_np = np.asarray(seg.to_numpy(zero_copy_only=False), object)
-    for d in np.unique(depth_tok[todo]):
-        now = todo[depth_tok[todo] == d]
-        above = path[holder[now]]
-        first = role[holder[now]] == 0
-        path[now] = np.where(first, seg_np[now], above + "/" + seg_np[now])
-        level[now] = level[holder[now]] + 1
-        good_node[now] &= good_node[holder[now]]
+    seg_len = np.asarray(pc.binary_length(seg), np.int64)
+    length = np.zeros(len(node_tok), np.int64)  # of the path
     top_of = np.arange(len(node_tok))
-    for d in np.unique(depth_tok[todo]):
-        now = todo[depth_tok[todo] == d]
+    for now in levels:
+        up_to = length[holder[now]]
+        length[now] = up_to + (up_to > 0) + seg_len[now]
         top_of[now] = top_of[holder[now]]
+        good_node[now] &= good_node[holder[now]]
     slot = None
     if top == "slots":
         tops = np.flatnonzero(role == 0)
@@ -301,19 +375,44 @@ def flatten_batch(texts: pa.Array, top: str, linked: bool = False) -> tuple[np.n
                 slot_text[i] = bytes(buf[ix.pos[t] : stop]).decode().strip()
         slot = slot_text[top_of]
     pick = np.flatnonzero(good_node & (role > 0) & ~np.equal(tag, None))
-    extra: dict = {}
+    value = np.full(len(node_tok), None, object)
     if linked:
-        above = np.where(role[holder[pick]] == 0, "", path[holder[pick]])
-        extra["parent"] = pa.array(above, pa.string())
-        value = np.full(len(node_tok), None, object)
         for key in (b"value", b"bits"):
             mask = is_[b"value"] if key == b"value" else np.isin(np.arange(len(ix.pos)), after[ix.equals(name, b"bits")])
-            at = np.flatnonzero(mask & ((ix.kind == _QUOTE) | (ix.kind == _OTHER)))
+            at = np.flatnonzero(mask & ((ix.kind == _QUOTE) | (ix.kind == _OTHER)) & good[ix.text])
             own = place[np.maximum(par[at], 0)]
             for t, o in zip(at[own >= 0], own[own >= 0]):
                 value[o] = ix.string(t) if ix.kind[t] == _QUOTE else bytes(buf[ix.pos[t] : ix.pos[t + 1]]).decode().strip()
-        extra["value"] = pa.array(value[pick], pa.string())
-    return keep[ix.text[node_tok[pick]]], (pa.array(slot[pick], pa.string()) if slot is not None else pa.nulls(len(pick), pa.string())), pa.array(path[pick], pa.string()), pa.array(tag[pick], pa.string()), extra
+
+    def piece(at: np.ndarray, paths, parents) -> tuple:
+        extra = {"parent": pa.array(parents, pa.string()), "value": pa.array(value[at], pa.string())} if linked else {}
+        slots = pa.array(slot[at], pa.string()) if slot is not None else pa.nulls(len(at), pa.string())
+        return ix.text[node_tok[at]], slots, pa.array(paths, pa.string()), pa.array(tag[at], pa.string()), extra
+
+    if int(length[pick].sum()) <= piece_bytes:
+        path = np.full(len(node_tok), "", object)
+        for now in levels:
+            above = path[holder[now]]
+            path[now] = np.where(length[holder[now]] == 0, seg_np[now], above + "/" + seg_np[now])
+        yield piece(pick, path[pick], path[holder[pick]])
+        return
+    # Long paths are spelled one after another: nodes stand in document order, so a path goes on from the one before.
+    here, paths, parents, rows, size = "", [], [], [], 0
+    wanted = np.zeros(len(node_tok), bool)
+    wanted[pick] = True
+    for i in np.flatnonzero((role > 0) & good_node):
+        parent = here[: length[holder[i]]]
+        here = parent + "/" + seg_np[i] if parent else seg_np[i]
+        if wanted[i]:
+            rows.append(i)
+            paths.append(here)
+            parents.append(parent if linked else "")
+            size += len(here)
+        if size > piece_bytes:
+            yield piece(np.asarray(rows), paths, parents)
+            paths, parents, rows, size = [], [], [], 0
+    if rows:
+        yield piece(np.asarray(rows), paths, parents)
 
 
 def _flatten(top: str, linked: bool, chunk_bytes: int):
@@ -323,15 +422,15 @@ def _flatten(top: str, linked: bool, chunk_bytes: int):
             cuts = np.unique(np.r_[0, np.searchsorted(size, np.arange(chunk_bytes, size[-1] if len(size) else 0, chunk_bytes)) + 1, whole.num_rows])
             for a, z in zip(cuts[:-1], cuts[1:]):
                 b = whole.slice(a, z - a)
-                text, slot, path, tag, extra = flatten_batch(b.column(3), top, linked)
-                take = pa.array(text)
-                member = slot if top == "slots" else b.column(2).take(take)
-                cols = [b.column(0).take(take), b.column(1).take(take), member, path, tag]
-                names = ["holder_kind", "holder_id", "member", "path", "tag"]
-                if linked:
-                    cols += [extra["parent"], extra["value"]]
-                    names += ["parent_path", "scalar"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                for text, slot, path, tag, extra in flatten_batch(b.column(3), top, linked):
+                    take = pa.array(text)
+                    member = slot if top == "slots" else b.column(2).take(take)
+                    cols = [b.column(0).take(take), b.column(1).take(take), member, path, tag]
+                    names = ["holder_kind", "holder_id", "member", "path", "tag"]
+                    if linked:
+                        cols += [extra["parent"], extra["value"]]
+                        names += ["parent_path", "scalar"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
