@@ -1,10 +1,17 @@
 """Newly written lines of mail: quoted history, signatures, footers and disclaimers removed.
 
 Mails of a thread (mailbox and subject without reply marks) are read in order.  A generalised suffix automaton over
-words holds what the thread's earlier mails newly wrote; every later mail is run through it, and words inside long
-matches are inherited, however the lines are wrapped or marked.  Lines that are quoted from mails outside the table
-are known by their marks, attributions and forwarded headers.  What is left loses explicit signatures, footers and
-the endings that recur among a sender's mails.
+words holds the whole texts of the thread's earlier mails, and every later mail is run through it:
+
+- Text that carries a quote mark or stands below a forwarded head is matched as one sequence, across the lines its
+  sender wrote in between.  Marks other than ``>`` (bars, colons, indents, initials) may as well be the sender's own
+  layout: in a thread that has earlier mails only inherited words make such lines history, and words below a
+  forwarded head that the automaton follows no longer are the sender's.
+- Text without marks is history where a match runs across the end of a sentence, or over twice the length: a single
+  stock sentence that happens to return is not.
+
+Line forms decide what the thread cannot hold: attributions, forwarded heads, footers, disclaimers, and quotes in a
+thread's first mail.  What is left loses the endings that recur among a sender's mails.
 
 Threads above ``block_mails`` are spread over blocks by hash; a mail is sent to every block that holds the first
 occurrence of one of its word windows, so no match is lost and no thread is gathered in one task.
@@ -14,18 +21,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worldloom.session import materialize
 
-MIN_WORDS = 25
+#: Words in a row that make a match.  Text without marks needs twice as many, or half as many more with a sentence
+#: end that lies ``MARGIN`` words inside.
+MIN_WORDS = 12
+MARGIN = 6
+#: Fewer words than this in a row prove nothing: they follow the form of their line.
+SHORT = 12
 #: A line is inherited where this share of its words is.
 SHARE = 0.8
 BLOCK_MAILS = 400
+#: Mails sent to a block from others before the block is doubled.
+GUESTS = 4 * BLOCK_MAILS
 
 #: Marks that clients put before quoted lines, nested in any order.
 QUOTE = re.compile(r"(?:>|\|(?= |$)|:(?= |$)|[A-Z]{2}>|[ \t]{6})")
@@ -44,17 +59,24 @@ _DISCLAIMER = re.compile(
     r"CONFIDENTIALITY NOTICE|This e-?mail (?:and any|may contain|is confidential|message)|The views in this note are those|The (?:views|opinions) expressed|Diese Nachricht ist vertraulich|Diese E-Mail (?:ist|enthält)|Please consider the (?:trees|environment)|This message (?:and any|is intended|may contain|is confidential)"
 )
 _CLOSING = re.compile(r"(?:Best|Cheers|Thanks|Thank you|Yours|Regards|Grüße|Gruß|Viele|Liebe|Mit|Many|Kind|Warm|Sincerely|Saludos|Un|Love|Bye|See you|Later|Ciao)\b.{0,25}$")
-_REPLY = re.compile(r"^(?:(?:re|fw|fwd|aw|sv|wg|antw|vs|tr)(?:\[\d+\]|\(\d+\))? ?: ?)+", re.I)
+#: Reply and forward marks of subjects.
+_REPLY = r"^(?:(?:re|fw|fwd|aw|sv|wg|antw|vs|tr)(?:\[\d+\]|\(\d+\))? ?: ?)+"
+_RULE = re.compile(r"_{10,}|-{10,}")
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_END = re.compile(r"[^\W_]+|[.?!]")
 
 
-def thread_subject(subject: str | None) -> str:
+def thread_subject(subject: Column) -> Column:
     """A subject without reply and forward marks, case and outer blanks; null counts as empty."""
-    return _REPLY.sub("", (subject or "").strip()).strip().lower()
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return bare(F.regexp_replace(F.lower(bare(F.coalesce(subject, F.lit("")))), _REPLY, ""))
 
 
 def roles(body: list[str | None]) -> list[str]:
-    """Role of each line by its form: ``own, blank, quote, attribution, forward, signature, footer``."""
+    """Role of each line by its form: ``own, blank, quote, weak, attribution, forward, forwarded, signature, footer``.
+
+    ``weak`` lines carry another quote mark than ``>``; ``forwarded`` ones stand below the head lines of a ``forward``.
+    """
     # White lines keep their first blanks: six of them are a quote mark.
     lines = [(x or "").rstrip() or (x or "")[:6] for x in body]
     n = len(lines)
@@ -68,16 +90,16 @@ def roles(body: list[str | None]) -> list[str]:
             i += 1
             continue
         if line.startswith(">>>>>") or not QUOTE.match(line):
-            run = 0
-            while i + run < n and _HEADER.match(lines[i + run]):
-                run += 1
-            follow = 0
-            if re.fullmatch(r"_{10,}|-{10,}", line):
-                j = i + 1
-                while j < n and _HEADER.match(lines[j]):
-                    follow, j = follow + 1, j + 1
-            if _FORWARD.fullmatch(line) or run >= 2 or follow >= 2:
-                out[i:] = ["blank" if not x.strip() else "forward" for x in lines[i:]]
+            rule = line[0] in "_-" and _RULE.fullmatch(line)
+            head = i + 1 if rule else i
+            heads = head + 1 < n and _HEADER.match(lines[head]) and _HEADER.match(lines[head + 1])
+            if heads or (line[0] == "-" and _FORWARD.fullmatch(line)):
+                # The head goes on to the first blank line; below it footers are still told by their form.
+                while i < n and lines[i].strip():
+                    out[i] = "forward"
+                    i += 1
+                below = roles(body[i:])
+                out[i:] = [r if r in ("blank", "footer", "forward") else "forwarded" for r in below]
                 break
             span = _attribution(lines, i)
             if span:
@@ -85,22 +107,22 @@ def roles(body: list[str | None]) -> list[str]:
                 i += span
                 continue
         if QUOTE.match(line):
-            out[i] = "quote"
+            out[i] = "quote" if line[0] == ">" else "weak"
             i += 1
             continue
         if line in ("--", "---"):
             i = _block(lines, out, i, "signature")
-        elif re.fullmatch(r"_{10,}", line):
+        elif line[0] == "_" and rule:
             i = _block(lines, out, i, "footer" if _FOOTER.match(nxt) else "signature")
-        elif re.fullmatch(r"={10,}", line):
-            end = next((j for j in range(i + 1, min(n, i + 12)) if lines[j] == line), None)
+        elif line[0] == "=" and re.fullmatch(r"={10,}", line):
+            end = _twin(lines, i)
             if end is None:
                 i = _block(lines, out, i, "signature")
             else:
                 out[i : end + 1] = ["signature"] * (end + 1 - i)
                 i = end + 1
-        elif line == "***" and any(lines[j] == "***" for j in range(i + 1, min(n, i + 12))):
-            end = next(j for j in range(i + 1, n) if lines[j] == "***")
+        elif line == "***" and _twin(lines, i):
+            end = _twin(lines, i)
             out[i : end + 1] = ["footer"] * (end + 1 - i)
             i = end + 1
         elif _DISCLAIMER.match(line):
@@ -127,15 +149,13 @@ def _block(lines: list[str], out: list[str], i: int, role: str) -> int:
 
 
 def _attribution(lines: list[str], i: int) -> int:
-    """How many lines, from ``i``, are one attribution; 0 if none."""
+    """How many lines, from ``i``, are one attribution (up to four, the last with a colon); 0 if none."""
     for span in (1, 2, 3, 4):
-        if i + span > len(lines) or not all(x.strip() for x in lines[i : i + span]):
+        if i + span > len(lines) or not lines[i + span - 1].strip():
             return 0
-        joined = " ".join(x.strip() for x in lines[i : i + span])
-        if len(joined) > 170:
-            return 0
-        if not joined.endswith(":"):
+        if not lines[i + span - 1].endswith(":"):
             continue
+        joined = " ".join(x.strip() for x in lines[i : i + span])
         after = lines[i + span] if i + span < len(lines) else ""
         quoted = bool(after) and bool(QUOTE.match(after))
         if _DATED.fullmatch(joined) and (span == 1 or _STARTS.match(lines[i]) or quoted):
@@ -144,6 +164,16 @@ def _attribution(lines: list[str], i: int) -> int:
     return 0
 
 
+def _twin(lines: list[str], i: int) -> int | None:
+    """The line that closes the ruled paragraph which ``lines[i]`` opens."""
+    for j in range(i + 1, len(lines)):
+        if not lines[j].strip():
+            return None
+        if lines[j] == lines[i]:
+            return j
+    return None
+
+
 class Automaton:
     """Generalised suffix automaton over integers; texts are added one after another."""
 
@@ -188,37 +218,122 @@ class Automaton:
         for w in words:
             last = self.add(w, last)
 
-    def inherited(self, words: list[int], least: int) -> np.ndarray:
-        """Which words lie inside a match of at least ``least`` words with an added text."""
-        mark = np.zeros(len(words) + 1, np.int64)
+    def lengths(self, words: list[int]) -> np.ndarray:
+        """Length of the longest match with an added text that ends at each word."""
+        out = np.zeros(len(words), np.int64)
         nxt, link, length = self.next, self.link, self.length
         s = k = 0
         for i, w in enumerate(words):
-            while s and w not in nxt[s]:
+            to = nxt[s].get(w)
+            while to is None and s:
                 s = link[s]
                 k = length[s]
-            if w in nxt[s]:
-                s, k = nxt[s][w], k + 1
-            if k >= least:
-                mark[i + 1 - k] += 1
-                mark[i + 1] -= 1
-        return np.cumsum(mark[:-1]) > 0
-
-
-def _line_words(body: list[str | None], keep: list[bool] | None = None) -> tuple[list[str], list[int]]:
-    """Words of the (kept) lines without quote marks, and the line each stands in."""
-    words: list[str] = []
-    at: list[int] = []
+                to = nxt[s].get(w)
+            if to is not None:
+                s = to
+                k += 1
+                out[i] = k
+        return out
+
+
+def _covered(ends: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window of ``width`` words that ends at one of ``ends``."""
+    if not len(ends):
+        return np.zeros(n, bool)
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, ends + 1 - width, 1)
+    np.add.at(mark, ends + 1, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+@dataclass
+class Mail:
+    """Words of a mail: all of them, those with marks or below forwarded heads, and those of lines without marks."""
+
+    role: list[str]
+    all: list[str]
+    marked: list[str]
+    marked_line: list[int]
+    plain: list[str]
+    plain_line: list[int]
+    ends: np.ndarray  # sentence ends up to and with each plain word
+
+
+def read_mail(body: list[str | None]) -> Mail:
+    role = roles(body)
+    every, marked, marked_line, plain, plain_line, end_at = [], [], [], [], [], []
     for i, line in enumerate(body):
-        if line and (keep is None or keep[i]):
-            found = _WORD.findall(_STRIP.sub("", line).lower())
-            words += found
-            at += [i] * len(found)
-    return words, at
+        if role[i] == "blank":
+            continue
+        text = _STRIP.sub("", line).lower()
+        if role[i] == "own":
+            for t in _WORD_OR_END.findall(text):
+                if t in ".?!":
+                    end_at.append(len(plain) - 1)
+                else:
+                    plain.append(t)
+                    plain_line.append(i)
+                    every.append(t)
+            continue
+        found = _WORD.findall(text)
+        every += found
+        if role[i] in ("quote", "weak", "forwarded"):
+            marked += found
+            marked_line += [i] * len(found)
+    ends = np.zeros(len(plain), np.int64)
+    ends[[e for e in end_at if e >= 0]] = 1
+    return Mail(role, every, marked, marked_line, plain, plain_line, np.cumsum(ends))
+
+
+def _over_end(m: Mail, ends: np.ndarray, width: int) -> np.ndarray:
+    """Those windows of plain words, by their last word, that reach ``MARGIN`` words over a sentence end on both sides."""
+    if width < 2 * MARGIN:
+        return ends[:0]
+    return ends[m.ends[ends - MARGIN] > m.ends[ends - width + MARGIN - 1]]
+
+
+def inherited(m: Mail, auto: Automaton, vocab: dict[str, int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which marked and which plain words the automaton's texts hold."""
+    ids = lambda words: [vocab.get(w, -1) for w in words]
+    old = _covered(np.flatnonzero(auto.lengths(ids(m.marked)) >= min_words), min_words, len(m.marked))
+    k = auto.lengths(ids(m.plain))
+    mid = min_words * 3 // 2
+    plain = _covered(_over_end(m, np.flatnonzero(k >= mid), mid), mid, len(m.plain))
+    return old, plain | _covered(np.flatnonzero(k >= 2 * min_words), 2 * min_words, len(m.plain))
+
+
+def decide(m: Mail, marked: np.ndarray, plain: np.ndarray, first: bool) -> list[str]:
+    """Roles after the automaton has spoken: ``inherited`` lines go, doubtful ones without history become ``own``."""
+    role = list(m.role)
+    if not plain.any() and (first or len(m.marked) < SHORT):
+        return role
+    n = len(role)
+    per = lambda lines, which: np.bincount(np.asarray(lines, np.int64)[which], minlength=n) if len(lines) else np.zeros(n, np.int64)
+    total, hit = per(m.plain_line, slice(None)), per(m.plain_line, plain)
+    for i in np.flatnonzero((hit > 0) & (hit >= SHARE * total)).tolist():
+        role[i] = "inherited"
+    if first or len(m.marked) < SHORT:
+        return role
+    # Words in a row that no match covers; too few of them prove nothing.
+    turn = np.flatnonzero(np.diff(np.r_[False, ~marked, False].astype(np.int8)))
+    runs = [(a, z) for a, z in zip(turn[::2], turn[1::2]) if z - a >= SHORT]
+    if not runs:
+        return role
+    line = np.asarray(m.marked_line)
+    below = np.asarray([role[i] == "forwarded" for i in range(n)])
+    known = bool(marked[below[line]].any())
+    total, hit = per(m.marked_line, slice(None)), per(m.marked_line, marked)
+    strange = np.zeros(n, bool)
+    for a, z in runs:
+        strange[line[a:z]] = True
+    for i in np.flatnonzero(strange & (hit < SHARE * total)):
+        if role[i] == "weak" or (role[i] == "forwarded" and known):
+            role[i] = "own"
+    return role
 
 
 def _ending(body: list[str | None], role: list[str]) -> tuple[list[int], str, bool]:
-    """Last own paragraph if it may be a signature: line numbers, its text, and whether its form alone says so."""
+    """Last own paragraph if it may be a signature: line numbers, its text, and whether its form says so too."""
     own = [i for i, r in enumerate(role) if r == "own"]
     if not own:
         return [], "", False
@@ -228,10 +343,10 @@ def _ending(body: list[str | None], role: list[str]) -> tuple[list[int], str, bo
     while first - 1 in own:
         first -= 1
     lines = [(body[i] or "").strip() for i in range(first, last + 1)]
-    named = bool(re.fullmatch(r"[^|]{3,60} \| [^|.?!]{3,60}", lines[0])) and len(lines) <= 6
+    named = bool(re.fullmatch(r"[^|]{3,} \| [^|.?!]{3,}", lines[0]))
     if named:
         return list(range(first, last + 1)), "\n".join(lines), True
-    plain = len(lines) <= 6 and not _CLOSING.match(lines[0]) and not any(x.endswith((".", "?", "!", ":", ",", ";")) for x in lines) and sum(len(x.split()) for x in lines) > 1
+    plain = not _CLOSING.match(lines[0]) and not any(x.endswith((".", "?", "!", ":", ",", ";")) for x in lines) and sum(len(x.split()) for x in lines) > 1
     if not plain or first == own[0] or first == 0 or role[first - 1] == "own":
         return [], "", False
     return list(range(first, last + 1)), "\n".join(lines), False
@@ -243,58 +358,79 @@ def _sender_key(sender: str | None) -> str:
     return (m.group(1) if m and m.re.groups else m.group(0)).lower() if m else s.strip().lower()
 
 
-RESULT = "message_id bigint, primary boolean, own array<int>, inherited array<int>, sender string, ending array<int>, ending_text string, ending_sure boolean, old_words array<int>, word_lines array<int>"
+RESULT = "message_id bigint, own array<int>, sender string, ending array<int>, ending_text string, ending_sure boolean, old_marked array<int>, old_plain array<int>"
+
+
+def _verdict(mid: int, sender: str | None, body: list[str | None], m: Mail, marked: np.ndarray, plain: np.ndarray, first: bool) -> tuple:
+    role = decide(m, marked, plain, first)
+    end, text, sure = _ending(body, role)
+    return (mid, [i + 1 for i, r in enumerate(role) if r == "own"], _sender_key(sender), [i + 1 for i in end], text, sure, None, None)
 
 
 def _read_threads(min_words: int):
     """Mails sorted by unit and order; one automaton at a time.
 
-    A mail of a thread in one block gets its inherited lines.  Of a split thread a block knows only part of a mail's
-    inherited words, so it returns their positions, and the lines of all words once, for the test over all blocks.
+    A mail of a thread in one block gets its lines.  Of a split thread a block knows only part of a mail's inherited
+    words, so it returns their positions.  ``part`` is source (read, then added), guest (read) or copy (added).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, auto, vocab = None, Automaton(), {}
+        unit, auto, vocab, waiting = None, Automaton(), {}, []
         for b in batches:
             rows = []
-            for u, source, split, mid, sender, body in zip(b["unit"], b["source"], b["split"], b["message_id"], b["sender"], b["body"]):
+            for u, part, split, first, mid, sender, body in zip(b["unit"], b["part"], b["split"], b["first"], b["message_id"], b["sender"], b["body"]):
                 if u != unit:
-                    unit, auto, vocab = u, Automaton(), {}
+                    unit, auto, vocab, waiting = u, Automaton(), {}, []
+                for words in waiting:  # a thread's last mail is never added
+                    auto.add_text([vocab.setdefault(w, len(vocab)) for w in words])
+                waiting = []
                 body = [] if body is None else list(body)
-                words, at = _line_words(body)
-                ids = [vocab.setdefault(w, len(vocab)) for w in words]
-                old = auto.inherited(ids, min_words) if ids else np.zeros(0, bool)
-                old_words = np.flatnonzero(old).tolist() if split else []
-                word_lines = [i + 1 for i in at] if split and source else []
-                total = np.bincount(at, minlength=len(body)) if at else np.zeros(len(body), int)
-                hit = np.bincount(np.asarray(at)[old], minlength=len(body)) if old.any() else np.zeros(len(body), int)
-                inherited = [] if split else [i + 1 for i in range(len(body)) if hit[i] and hit[i] >= SHARE * total[i]]
-                if not source:
-                    rows.append((mid, False, [], inherited, None, [], None, False, old_words, word_lines))
+                m = read_mail(body)
+                if part != "guest":
+                    waiting = [m.all]
+                if part == "copy":
                     continue
-                role = roles(body)
-                own_words, _ = _line_words(body, [r == "own" for r in role])
-                auto.add_text([vocab[w] for w in own_words])
-                end, text, sure = _ending(body, role)
-                rows.append((mid, True, [i + 1 for i, r in enumerate(role) if r == "own"], inherited, _sender_key(sender), [i + 1 for i in end], text, sure, old_words, word_lines))
-            yield pd.DataFrame(rows, columns=["message_id", "primary", "own", "inherited", "sender", "ending", "ending_text", "ending_sure", "old_words", "word_lines"])
+                if vocab:
+                    marked, plain = inherited(m, auto, vocab, min_words)
+                else:
+                    marked, plain = np.zeros(len(m.marked), bool), np.zeros(len(m.plain), bool)
+                if split:
+                    rows.append((mid, None, None, None, None, None, np.flatnonzero(marked).tolist(), np.flatnonzero(plain).tolist()))
+                else:
+                    rows.append(_verdict(mid, sender, body, m, marked, plain, first))
+            yield pd.DataFrame(rows, columns=["message_id", "own", "sender", "ending", "ending_text", "ending_sure", "old_marked", "old_plain"])
 
     return run
 
 
+def _decide_split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mails of split threads with the words inherited from any block."""
+    for b in batches:
+        rows = []
+        for first, mid, sender, body, a, p in zip(b["first"], b["message_id"], b["sender"], b["body"], b["old_marked"], b["old_plain"]):
+            body = [] if body is None else list(body)
+            m = read_mail(body)
+            marked, plain = np.zeros(len(m.marked), bool), np.zeros(len(m.plain), bool)
+            marked[np.asarray(a, np.int64)] = True
+            plain[np.asarray(p, np.int64)] = True
+            rows.append(_verdict(mid, sender, body, m, marked, plain, first))
+        yield pd.DataFrame(rows, columns=["message_id", "own", "sender", "ending", "ending_text", "ending_sure", "old_marked", "old_plain"])
+
+
 def _windows(min_words: int):
-    """Hashes of word windows of hot threads' mails: of what a mail newly wrote and of all its words."""
+    """Hashes of word windows of hot threads' mails: those a mail holds, and those that make words of it inherited."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, mid, at, body in zip(b["thread"], b["message_id"], b["at"], b["body"]):
-                body = [] if body is None else list(body)
-                own = [r == "own" for r in roles(body)]
-                for kind, keep in ((True, own), (False, None)):
-                    words, _ = _line_words(body, keep)
-                    hs = {hash_words(words[i : i + min_words]) for i in range(len(words) - min_words + 1)}
-                    out += [(t, h, at, mid, kind) for h in hs]
+            for t, number, at, body in zip(b["thread"], b["message_id"], b["at"], b["body"]):
+                m = read_mail([] if body is None else list(body))
+                mid, wide = min_words * 3 // 2, 2 * min_words
+                every = lambda words, n: {hash_words(words[i : i + n]) for i in range(len(words) - n + 1)}
+                over = _over_end(m, np.arange(mid - 1, len(m.plain)), mid)
+                asked = every(m.marked, min_words) | every(m.plain, wide) | {hash_words(m.plain[e + 1 - mid : e + 1]) for e in over.tolist()}
+                out += [(t, h, at, number, True) for h in every(m.all, min_words) | every(m.all, mid) | every(m.all, wide)]
+                out += [(t, h, at, number, False) for h in asked]
             yield pd.DataFrame(out, columns=["thread", "h", "at", "message_id", "source"])
 
     return run
@@ -311,43 +447,46 @@ def newly_written(mails: DataFrame, min_words: int = MIN_WORDS, block_mails: int
 
     ``mails(message_id, mailbox_oid, msg_number, sender, subject, body)``; repeated rows of a message count once.
     A null body has no lines, null lines are blank, null subjects are empty, null numbers come first.  Greetings,
-    closing words and the handle below them stay.  ``recurring`` is the number of a sender's mails in which an
-    unmarked ending must return to count as a signature.
+    closing words and the handle below them stay.  ``min_words`` in a row make a match with an earlier mail.
+    ``recurring`` is the number of a sender's mails in which an ending must return to count as a signature; an
+    ending that stands alone counts only if it has a signature's form.
     """
-    key = F.udf(thread_subject, "string", useArrow=True)(F.col("subject"))
     one = mails.select("message_id", "mailbox_oid", "msg_number", "sender", "subject", "body").dropDuplicates(["message_id"])
-    keyed = one.select(
-        "message_id", "sender", "body", F.xxhash64(F.coalesce("mailbox_oid", F.lit(-1)), key).alias("thread"), F.struct(F.coalesce("msg_number", F.lit(0)).alias("n"), F.col("message_id").alias("m")).alias("at")
-    )
+    thread = F.xxhash64(F.coalesce("mailbox_oid", F.lit(-1)), thread_subject(F.col("subject")))
+    keyed = one.select("message_id", "sender", "body", thread.alias("thread"), F.struct(F.coalesce("msg_number", F.lit(0)).alias("n"), F.col("message_id").alias("m")).alias("at"))
     table = materialize(keyed, "mail-threads")
-    hot = table.groupBy("thread").agg(F.count("*").alias("n")).filter(F.col("n") > block_mails)
-    hot = materialize(hot.select("thread", F.ceil(F.col("n") / block_mails).cast("int").alias("blocks")), "hot-threads")
-    blocked = table.join(hot, "thread", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("message_id"), F.col("blocks")), F.lit(0)))
-    rows = blocked.select("thread", "block", F.lit(True).alias("source"), F.col("blocks").isNotNull().alias("split"), "at", "message_id", "sender", "body")
-    if not hot.isEmpty():
-        heat = blocked.filter("blocks IS NOT NULL")
+    threads = materialize(table.groupBy("thread").agg(F.min("at").alias("first_at"), F.ceil(F.count("*") / block_mails).cast("int").alias("blocks")), "threads")
+    split = F.col("blocks") > 1
+    blocked = table.join(threads, "thread").select("thread", F.when(split, F.pmod(F.xxhash64("message_id"), F.col("blocks"))).otherwise(0).alias("block"), split.alias("split"), (F.col("at") == F.col("first_at")).alias("first"), "at", "message_id", "sender", "body")
+    rows = blocked.select("thread", "block", F.lit(0).alias("copy"), F.lit("source").alias("part"), "split", "first", "at", "message_id", "sender", "body")
+    heat = None
+    if not threads.filter(split).isEmpty():
+        heat = materialize(blocked.filter("split"), "hot-mails")
         w = materialize(heat.select("thread", "message_id", "at", "body").mapInPandas(_windows(min_words), "thread bigint, h bigint, at struct<n:int,m:bigint>, message_id bigint, source boolean"), "windows")
         home = heat.select("message_id", "block")
         first = w.filter("source").groupBy("thread", "h").agg(F.min("at").alias("first_at")).withColumn("home", F.col("first_at.m"))
         first = first.join(home.withColumnRenamed("message_id", "home"), "home").select("thread", "h", "first_at", "block")
-        sent = w.filter("NOT source").join(first, ["thread", "h"]).filter("first_at < at").select("message_id", "block").distinct()
-        sent = sent.join(home, ["message_id", "block"], "left_anti")
-        guests = heat.drop("block").join(sent, "message_id").select("thread", "block", F.lit(False).alias("source"), F.lit(True).alias("split"), "at", "message_id", "sender", "body")
-        rows = rows.unionByName(guests)
-    units = rows.withColumn("unit", F.xxhash64("thread", "block")).repartition("unit").sortWithinPartitions("unit", "at", "source")
-    read = materialize(units.select("unit", "source", "split", "message_id", "sender", "body").mapInPandas(_read_threads(min_words), RESULT), "mail-roles")
-    main = read.filter("primary")
-    # Endings: of unsure form only where they recur among the sender's mails.
+        sent = w.filter("NOT source").join(first, ["thread", "h"]).filter("first_at < at").select("thread", "message_id", "block").distinct()
+        sent = materialize(sent.join(home, ["message_id", "block"], "left_anti"), "guests")
+        # A block that many mails ask is read several times, each time for some of them.
+        copies = materialize(sent.groupBy("thread", "block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("copies")), "block-copies")
+        guests = heat.drop("block").join(sent.join(copies, ["thread", "block"]), ["thread", "message_id"])
+        guests = guests.select("thread", "block", F.pmod(F.xxhash64("message_id", F.lit(3)), F.col("copies")).cast("int").alias("copy"), F.lit("guest").alias("part"), "split", "first", "at", "message_id", "sender", "body")
+        again = heat.join(copies.filter("copies > 1"), ["thread", "block"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)))
+        again = again.select("thread", "block", "copy", F.lit("copy").alias("part"), "split", "first", "at", "message_id", "sender", "body")
+        rows = rows.unionByName(guests).unionByName(again)
+    units = rows.withColumn("unit", F.xxhash64("thread", "block", "copy")).repartition("unit").sortWithinPartitions("unit", "at")
+    read = materialize(units.select("unit", "part", "split", "first", "message_id", "sender", "body").mapInPandas(_read_threads(min_words), RESULT), "mail-roles")
+    main = read.filter("own IS NOT NULL")
+    if heat is not None:
+        found = read.filter("own IS NULL").groupBy("message_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("old_marked", "old_plain")])
+        later = heat.join(found, "message_id").select("first", "message_id", "sender", "body", "old_marked", "old_plain")
+        main = main.unionByName(materialize(later.mapInPandas(_decide_split, RESULT), "split-roles"))
+    # Endings that return in the sender's mails; an ending that stands alone goes by its form.
     ends = main.filter(F.size("ending") > 0)
-    often = ends.filter("NOT ending_sure").groupBy("sender", "ending_text").agg(F.count("*").alias("n")).filter(F.col("n") >= recurring).select("sender", "ending_text")
-    cut = ends.filter("ending_sure").select("message_id", "ending").unionByName(ends.filter("NOT ending_sure").join(often, ["sender", "ending_text"], "left_semi").select("message_id", "ending"))
-    gone = cut.select("message_id", F.explode("ending").alias("line_no")).unionByName(read.select("message_id", F.explode("inherited").alias("line_no")))
-    # Split threads: the share of inherited words is taken over the words found in any block.
-    found = read.select("message_id", F.explode("old_words").alias("word")).distinct().withColumn("old", F.lit(1))
-    words = main.select("message_id", F.posexplode("word_lines").alias("word", "line_no")).join(found, ["message_id", "word"], "left")
-    share = words.groupBy("message_id", "line_no").agg(F.count("*").alias("total"), F.count("old").alias("hit"))
-    gone = gone.unionByName(share.filter((F.col("hit") > 0) & (F.col("hit") >= F.lit(SHARE) * F.col("total"))).select("message_id", "line_no"))
-    return main.select("message_id", F.explode("own").alias("line_no")).join(gone.distinct(), ["message_id", "line_no"], "left_anti")
+    often = ends.groupBy("sender", "ending_text").agg(F.count("*").alias("n")).withColumn("often", F.col("n") >= recurring)
+    cut = ends.join(often, ["sender", "ending_text"]).filter("often OR (ending_sure AND n = 1)").select("message_id", F.explode("ending").alias("line_no"))
+    return main.select("message_id", F.explode("own").alias("line_no")).join(cut, ["message_id", "line_no"], "left_anti")
 
 
 def new_text(mails: DataFrame, **how: int) -> DataFrame:
