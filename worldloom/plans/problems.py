@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from worldloom.functions.values import canonical, code_text
 from worldloom.operators import hierarchy as H
 from worldloom.operators import nested, snapshots
-from worldloom.operators.reconcile import reconcile
+from worldloom.operators.reconcile import Copies, reconcile_all
 from worldloom.sources.tables import MEMBER_KEY, OBJECT_KEY, latest, live_dumps, mirror_dump, table
 
 
@@ -36,15 +37,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     dumps = table(spark, sf, "moo_dumps")
     live, mirror = live_dumps(dumps), mirror_dump(dumps)
     value = {"object": {f: F.col(f) for f in ("name", "flags", "owner")}, "property": {"value": canonical("value_json"), "perms": F.col("perms")}, "verb": {"code": code_text("code"), "perms": F.col("perms")}}
-    out = None
+    copies = []
     for kind, fields in value.items():
         t = table(spark, sf, {"object": "moo_objects", "property": "moo_properties", "verb": "moo_verbs"}[kind])
-        key = ["id"] if kind == "object" else ["oid", "name"]
         a, b = (t.filter(F.col("snapshot_id") == s) for s in (live[-1] if live else None, mirror))
-        d = reconcile(a, b, key, fields)
-        d = d.select(F.lit(kind).alias("kind"), F.col(key[0]).alias("oid"), F.lit("").alias("name") if kind == "object" else F.col("name"), "difference")
-        out = d if out is None else out.unionByName(d)
-    return out
+        copies.append(Copies(a, b, ["id"] if kind == "object" else ["oid", "name"], fields))
+    parts = [d.select(F.lit(kind).alias("kind"), F.col(c.key[0]).alias("oid"), F.lit("").alias("name") if kind == "object" else F.col("name"), "difference") for kind, c, d in zip(value, copies, reconcile_all(copies))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
