@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from worldloom.llm import pii
@@ -43,13 +46,15 @@ def test_redaction_keeps_the_rest(mails, model):
     assert r.body[5:9] == BODY[5:9] and r.body[11] is None and r.body[12] == ""
 
 
+def flat_of(model, *lines):
+    return pii.flatten([(None, None, list(lines))], pii.Vocabulary(model.lexicon))
+
+
 def test_marginals_equal_enumeration_on_a_tree(model):
     """Without skips the chains are exact: compare with summing over all labellings."""
-    lx = pii.Lexicon()
-    d = pii.read("ab Cd 12", None, None, lx)
-    flat = pii.flatten([d], lx)
+    flat = flat_of(model, "ab Cd 12")
     flat.skips = flat.skips[:0]
-    u = pii._scores(flat, model)
+    u = pii._scores(flat, model).astype(float)
     want = np.zeros((3, pii.N))
     for a in range(pii.N):
         for b in range(pii.N):
@@ -61,16 +66,76 @@ def test_marginals_equal_enumeration_on_a_tree(model):
     assert np.allclose(pii.marginals(flat, model), want / want.sum(1, keepdims=True), atol=1e-4)
 
 
+def test_chains_of_all_lengths_at_once():
+    r = np.random.default_rng(3)
+    first = r.random(200) < 0.2
+    first[0] = True
+    u, psi = r.random((200, pii.N)) + 0.1, r.random((pii.N, pii.N)) + 0.1
+    cuts = [*np.flatnonzero(first), 200]
+    alone = np.concatenate([pii._chains(u[a:z], np.r_[True, np.zeros(z - a - 1, bool)], psi) for a, z in zip(cuts, cuts[1:])])
+    assert np.allclose(pii._chains(u, first, psi), alone)
+
+
 def test_skips_pull_repeated_tokens_together():
-    lx = pii.Lexicon()
-    d = pii.read(None, None, ["Zoltan here", "there Zoltan"], lx)
-    m = pii.Field(lx, np.zeros((pii.FEATURES + 128, pii.N)), np.zeros((pii.N, pii.N)), 2 * np.eye(pii.N))
-    flat = pii.flatten([d], lx)
-    assert len(flat.skips) == 1
-    m.unary[pii._hash("w=here") * 31 % pii.FEATURES, 0] = 0
-    m.unary[(pii._hash("w=here") * 31 + 13) % pii.FEATURES, 5] = 4  # only the first occurrence has evidence
+    m = pii.Field(pii.Lexicon(), np.zeros((pii.FEATURES, pii.N)), np.zeros((pii.N, pii.N)), 2 * np.eye(pii.N))
+    flat = flat_of(m, "Zoltan here", "there Zoltan")
+    assert flat.skips.tolist() == [[0, 3]]
+    m.unary[pii.features(flat)[5][0], 5] = 4  # only the first mention has evidence: the word behind it
     p = pii.marginals(flat, m)
     assert p[0].argmax() == 5 and p[3].argmax() == 5 and p[1, 5] < 0.2
+    m.skip[:] = 0
+    assert pii.marginals(flat, m)[3].max() < 0.2
+
+
+def test_messages_settle_even_where_they_oscillate():
+    m = pii.Field(pii.Lexicon(), np.zeros((pii.FEATURES, pii.N)), -3 * np.eye(pii.N), 4 * (1 - np.eye(pii.N)))
+    r = random.Random(1)
+    flat = flat_of(m, *[" ".join(r.choice(["Aaaa", "Bbbb", "Cccc", "Dddd"]) for _ in range(12)) for _ in range(6)])
+    p = pii.marginals(flat, m)
+    assert np.isfinite(p).all() and np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def given_mails(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/mail_messages.parquet").select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"])
+    lx = pii.learn_lexicon(df)
+    rows = [(r.sender, r.recipients, r.body) for r in sorted(df.collect(), key=lambda r: r.message_id * 7919 % 1009)]
+    flat = pii.flatten(rows[:300], pii.Vocabulary(lx))
+    return lx, rows[300:], pii.train(flat, pii.distant_labels(flat, lx), lx)
+
+
+def lines(flat, y, kind=None):
+    hit = np.flatnonzero(y == 1 + pii.TYPES.index(kind) if kind else y)
+    return set(map(tuple, np.stack([flat.doc[hit], flat.where[hit], flat.line[hit], y[hit]], 1).tolist()))
+
+
+def test_held_out_mails(given_mails):
+    """The field, which sees no pattern, finds what the patterns mark in mails it was not trained on."""
+    lx, rows, m = given_mails
+    flat = pii.flatten(rows, pii.Vocabulary(lx))
+    want, got = lines(flat, pii.distant_labels(flat, lx)), lines(flat, pii.decode(flat, m))
+    assert len(want & got) > 0.99 * len(want) and len(want & got) > 0.99 * len(got)
+
+
+def test_ablation(given_mails):
+    """With most of the lexicon gone, the field finds names that patterns miss, and the skips find some of them."""
+    lx, rows, m = given_mails
+    r = random.Random(5)
+    thin = pii.Lexicon(*(frozenset(w for w in sorted(x) if r.random() < 0.2) for x in (lx.given, lx.family)))
+    whole, flat = (pii.flatten(rows, pii.Vocabulary(x)) for x in (lx, thin))
+    want = lines(whole, pii.distant_labels(whole, lx), "name")
+    marks = lines(flat, pii.distant_labels(flat, thin), "name")
+    field = lines(flat, pii.decode(flat, m), "name")
+    no_skips = lines(flat, pii.decode(flat, pii.Field(thin, m.unary, m.chain, 0 * m.skip)), "name")
+    assert len(want & marks) < 0.5 * len(want) and len(want & field) > 0.8 * len(want)
+    assert len(want & no_skips) < len(want & field) and len(want & field) > 0.98 * len(field)
+
+
+def test_a_lexicon_too_large_to_travel_is_joined(spark, mails):
+    small, joined = (pii.fit(mails, most=n) for n in (pii.LEXICON_WORDS, 0))
+    assert joined.lexicon.table is not None and small.lexicon.table is None
+    assert sorted(pii.find(mails, joined).collect()) == sorted(pii.find(mails, small).collect())
+    assert sorted(map(str, pii.redact(mails, joined).collect())) == sorted(map(str, pii.redact(mails, small).collect()))
 
 
 def test_empty_table_and_untrained_field(spark):
@@ -78,23 +143,32 @@ def test_empty_table_and_untrained_field(spark):
     assert pii.find(empty).collect() == [] and pii.redact(empty).collect() == []
 
 
-def test_very_long_text(model):
-    d = pii.read(None, None, ["word " * 9000 + "tamsin@oxbow.test"], model.lexicon)
-    y = pii.decode([d], model)[0]
+def test_very_long_text(given_mails):
+    model = given_mails[2]
+    y = pii.decode(flat_of(model, "word " * 9000 + "tamsin@oxbow.test"), model)
     assert len(y) > 9000 and (y > 0).sum() == 3 and pii.LABELS[y[-1]] == "email"
 
 
 def test_items_far_into_a_field_are_one_run(model):
     """Items across token 2000, and any other, are labelled as in a short field."""
     item = "Tamsin Larkhollow wrote, ring +1 418 555 0140 now"
-    short = pii.decode([pii.read(None, None, ["word " * 40 + item], model.lexicon)], model)[0][40:]
+    short = pii.decode(flat_of(model, "word " * 40 + item), model)[40:]
     assert {pii.LABELS[y] for y in short} == {"other", "name", "phone"}
-    docs = [pii.read(None, None, ["word " * n + item], model.lexicon) for n in range(1985, 2002)]
-    for n, d, y in zip(range(1985, 2002), docs, pii.decode(docs, model)):
+    for n in range(1985, 2002):
+        y = pii.decode(flat_of(model, "word " * n + item), model)
         assert (y[n:] == short).all() and not y[:n].any(), n
 
 
 def test_redaction_across_token_2000(model):
     body = ["word " * 1999 + "Tamsin Larkhollow"]
-    d = pii.read(None, None, body, model.lexicon)
-    assert pii.redact_doc(None, None, body, d, pii.decode([d], model)[0])[2] == ["word " * 1999 + "[NAME]"]
+    flat = flat_of(model, *body)
+    assert pii.redact_mail(None, None, body, flat, pii.decode(flat, model))[2] == ["word " * 1999 + "[NAME]"]
+
+
+def test_chunks_cut_nothing(mails, model, monkeypatch):
+    want = sorted(pii.find(mails, model).collect())
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    rows = mails.select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"]).toPandas()
+    rows["given"] = rows["family"] = None
+    got = pd.concat(pii._lines(model)(iter([rows])))
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want))
