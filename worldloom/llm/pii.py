@@ -588,10 +588,10 @@ def find(mails: DataFrame, m: Field | None = None) -> DataFrame:
     """``message_id, field, line_no, pii_type``: each line that carries part of an item, once per type.
 
     ``field`` is sender, recipients (line 0) or body (lines from 1).  Null fields, null lines and empty texts hold
-    nothing; repeated rows of a message are read once; names are found as far as the mails themselves teach them.
+    nothing; rows without a message_id are left out; repeated rows of a message are read once; names are found as far as the mails themselves teach them.
     """
     m = m or fit(mails)
-    one = mails.select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"])
+    one = mails.filter("message_id IS NOT NULL").select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"])
     return _with_lexicon(one, m.lexicon).mapInPandas(_lines(_bare(m)), "message_id bigint, field string, line_no int, pii_type string")
 
 
@@ -618,7 +618,10 @@ def redact_mail(sender: str | None, recipients: str | None, body: list[str | Non
 
 
 def redact(mails: DataFrame, m: Field | None = None) -> DataFrame:
-    """``message_id, sender, recipients, body`` with typed placeholders; all other text is kept as it is."""
+    """``message_id, sender, recipients, body`` with typed placeholders; all other text is kept as it is.
+
+    Rows without a message_id are left out, repeated rows of a message come out once.
+    """
     m = m or fit(mails)
     bare = _bare(m)
 
@@ -629,5 +632,5 @@ def redact(mails: DataFrame, m: Field | None = None) -> DataFrame:
             got = [redact_mail(*r, flat, y, a, z) for r, a, z in zip(rows, cuts, cuts[1:])]
             yield pd.DataFrame({"message_id": b["message_id"].tolist(), "sender": [g[0] for g in got], "recipients": [g[1] for g in got], "body": [g[2] for g in got]})
 
-    one = mails.select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"])
+    one = mails.filter("message_id IS NOT NULL").select("message_id", "sender", "recipients", "body").dropDuplicates(["message_id"])
     return _with_lexicon(one, m.lexicon).mapInPandas(run, "message_id bigint, sender string, recipients string, body array<string>")

@@ -175,33 +175,13 @@ def _twin(lines: list[str], i: int) -> int | None:
 
 
 class Automaton:
-    """Generalised suffix automaton over integers; texts are added one after another."""
+    """Generalised suffix automaton over words; texts are added one after another."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, word: int, last: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            q = nxt[last][word]
-            if length[q] == length[last] + 1:
-                return q
-            return self._clone(q, last, word)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and word not in nxt[p]:
-            nxt[p][word] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][word]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(q, p, word)
-        return cur
-
-    def _clone(self, q: int, p: int, word: int) -> int:
+    def _clone(self, q: int, p: int, word: str) -> int:
         nxt, link, length = self.next, self.link, self.length
         c = len(nxt)
         nxt.append(dict(nxt[q]))
@@ -213,14 +193,30 @@ class Automaton:
             p = link[p]
         return c
 
-    def add_text(self, words: list[int]) -> None:
+    def add_text(self, words: list[str]) -> None:
+        nxt, link, length = self.next, self.link, self.length
         last = 0
-        for w in words:
-            last = self.add(w, last)
-
-    def lengths(self, words: list[int]) -> np.ndarray:
-        """Length of the longest match with an added text that ends at each word."""
-        out = np.zeros(len(words), np.int64)
+        for word in words:
+            q = nxt[last].get(word)
+            if q is not None:
+                last = q if length[q] == length[last] + 1 else self._clone(q, last, word)
+                continue
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and q is None:
+                nxt[p][word] = cur
+                p = link[p]
+                q = nxt[p].get(word) if p != -1 else None
+            if p != -1:
+                link[cur] = q if length[q] == length[p] + 1 else self._clone(q, p, word)
+            last = cur
+
+    def matches(self, words: list[str], least: int) -> tuple[list[int], list[int]]:
+        """Words at which a match of ``least`` words or more with an added text ends, and the longest matches' lengths."""
+        ends, lengths = [], []
         nxt, link, length = self.next, self.link, self.length
         s = k = 0
         for i, w in enumerate(words):
@@ -232,8 +228,10 @@ class Automaton:
             if to is not None:
                 s = to
                 k += 1
-                out[i] = k
-        return out
+                if k >= least:
+                    ends.append(i)
+                    lengths.append(k)
+        return ends, lengths
 
 
 def _covered(ends: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -250,56 +248,67 @@ def _covered(ends: np.ndarray, width: int, n: int) -> np.ndarray:
 class Mail:
     """Words of a mail: all of them, those with marks or below forwarded heads, and those of lines without marks."""
 
+    body: list[str | None]
     role: list[str]
     all: list[str]
     marked: list[str]
     marked_line: list[int]
     plain: list[str]
     plain_line: list[int]
-    ends: np.ndarray  # sentence ends up to and with each plain word
+
+    def sentence_ends(self) -> np.ndarray:
+        """Sentence ends up to and with each plain word."""
+        out: list[int] = []
+        n = 0
+        for line, role in zip(self.body, self.role):
+            if role == "own":
+                for t in _WORD_OR_END.findall(line.lower()):
+                    if t not in ".?!":
+                        out.append(n)
+                    elif out and out[-1] == n:
+                        n += 1
+                        out[-1] = n
+        return np.asarray(out, np.int64)
 
 
 def read_mail(body: list[str | None]) -> Mail:
     role = roles(body)
-    every, marked, marked_line, plain, plain_line, end_at = [], [], [], [], [], []
-    for i, line in enumerate(body):
-        if role[i] == "blank":
-            continue
-        text = _STRIP.sub("", line).lower()
-        if role[i] == "own":
-            for t in _WORD_OR_END.findall(text):
-                if t in ".?!":
-                    end_at.append(len(plain) - 1)
-                else:
-                    plain.append(t)
-                    plain_line.append(i)
-                    every.append(t)
+    every, marked, marked_line, plain, plain_line = [], [], [], [], []
+    for i, r in enumerate(role):
+        if r == "blank":
             continue
-        found = _WORD.findall(text)
+        if r == "own":
+            found = _WORD.findall(body[i].lower())
+            plain += found
+            plain_line += [i] * len(found)
+        else:
+            found = _WORD.findall(_STRIP.sub("", body[i]).lower())
+            if r in ("quote", "weak", "forwarded"):
+                marked += found
+                marked_line += [i] * len(found)
         every += found
-        if role[i] in ("quote", "weak", "forwarded"):
-            marked += found
-            marked_line += [i] * len(found)
-    ends = np.zeros(len(plain), np.int64)
-    ends[[e for e in end_at if e >= 0]] = 1
-    return Mail(role, every, marked, marked_line, plain, plain_line, np.cumsum(ends))
+    return Mail(body, role, every, marked, marked_line, plain, plain_line)
 
 
 def _over_end(m: Mail, ends: np.ndarray, width: int) -> np.ndarray:
     """Those windows of plain words, by their last word, that reach ``MARGIN`` words over a sentence end on both sides."""
-    if width < 2 * MARGIN:
+    if width < 2 * MARGIN or not len(ends):
         return ends[:0]
-    return ends[m.ends[ends - MARGIN] > m.ends[ends - width + MARGIN - 1]]
+    stops = m.sentence_ends()
+    return ends[stops[ends - MARGIN] > stops[ends - width + MARGIN - 1]]
 
 
-def inherited(m: Mail, auto: Automaton, vocab: dict[str, int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def inherited(m: Mail, auto: Automaton, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Which marked and which plain words the automaton's texts hold."""
-    ids = lambda words: [vocab.get(w, -1) for w in words]
-    old = _covered(np.flatnonzero(auto.lengths(ids(m.marked)) >= min_words), min_words, len(m.marked))
-    k = auto.lengths(ids(m.plain))
-    mid = min_words * 3 // 2
-    plain = _covered(_over_end(m, np.flatnonzero(k >= mid), mid), mid, len(m.plain))
-    return old, plain | _covered(np.flatnonzero(k >= 2 * min_words), 2 * min_words, len(m.plain))
+    ends, _ = auto.matches(m.marked, min_words)
+    marked = _covered(np.asarray(ends, np.int64), min_words, len(m.marked))
+    mid, wide = min_words * 3 // 2, 2 * min_words
+    ends, k = auto.matches(m.plain, mid)
+    if not ends:
+        return marked, np.zeros(len(m.plain), bool)
+    ends, k = np.asarray(ends), np.asarray(k)
+    plain = _covered(_over_end(m, ends, mid), mid, len(m.plain))
+    return marked, plain | _covered(ends[k >= wide], wide, len(m.plain))
 
 
 def decide(m: Mail, marked: np.ndarray, plain: np.ndarray, first: bool) -> list[str]:
@@ -372,17 +381,21 @@ def _read_threads(min_words: int):
 
     A mail of a thread in one block gets its lines.  Of a split thread a block knows only part of a mail's inherited
     words, so it returns their positions.  ``part`` is source (read, then added), guest (read) or copy (added).
+    Repeated rows of a mail stand next to each other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, auto, vocab, waiting = None, Automaton(), {}, []
+        unit, auto, waiting, before = None, Automaton(), [], None
         for b in batches:
             rows = []
             for u, part, split, first, mid, sender, body in zip(b["unit"], b["part"], b["split"], b["first"], b["message_id"], b["sender"], b["body"]):
                 if u != unit:
-                    unit, auto, vocab, waiting = u, Automaton(), {}, []
+                    unit, auto, waiting, before = u, Automaton(), [], None
+                elif mid == before:
+                    continue
+                opens, before = before is None, mid
                 for words in waiting:  # a thread's last mail is never added
-                    auto.add_text([vocab.setdefault(w, len(vocab)) for w in words])
+                    auto.add_text(words)
                 waiting = []
                 body = [] if body is None else list(body)
                 m = read_mail(body)
@@ -390,14 +403,14 @@ def _read_threads(min_words: int):
                     waiting = [m.all]
                 if part == "copy":
                     continue
-                if vocab:
-                    marked, plain = inherited(m, auto, vocab, min_words)
+                if len(auto.next) > 1:
+                    marked, plain = inherited(m, auto, min_words)
                 else:
                     marked, plain = np.zeros(len(m.marked), bool), np.zeros(len(m.plain), bool)
                 if split:
                     rows.append((mid, None, None, None, None, None, np.flatnonzero(marked).tolist(), np.flatnonzero(plain).tolist()))
                 else:
-                    rows.append(_verdict(mid, sender, body, m, marked, plain, first))
+                    rows.append(_verdict(mid, sender, body, m, marked, plain, opens))
             yield pd.DataFrame(rows, columns=["message_id", "own", "sender", "ending", "ending_text", "ending_sure", "old_marked", "old_plain"])
 
     return run
@@ -445,23 +458,26 @@ def hash_words(words: list[str]) -> int:
 def newly_written(mails: DataFrame, min_words: int = MIN_WORDS, block_mails: int = BLOCK_MAILS, recurring: int = 2) -> DataFrame:
     """``message_id, line_no`` of every line its sender newly wrote and that is not blank.
 
-    ``mails(message_id, mailbox_oid, msg_number, sender, subject, body)``; repeated rows of a message count once.
-    A null body has no lines, null lines are blank, null subjects are empty, null numbers come first.  Greetings,
+    ``mails(message_id, mailbox_oid, msg_number, sender, subject, body)``; identical repeated rows count once.
+    Rows without a message_id are left out.  A null body has no lines, null lines are blank, null subjects are empty, null numbers come first.  Greetings,
     closing words and the handle below them stay.  ``min_words`` in a row make a match with an earlier mail.
     ``recurring`` is the number of a sender's mails in which an ending must return to count as a signature; an
     ending that stands alone counts only if it has a signature's form.
     """
-    one = mails.select("message_id", "mailbox_oid", "msg_number", "sender", "subject", "body").dropDuplicates(["message_id"])
-    thread = F.xxhash64(F.coalesce("mailbox_oid", F.lit(-1)), thread_subject(F.col("subject")))
-    keyed = one.select("message_id", "sender", "body", thread.alias("thread"), F.struct(F.coalesce("msg_number", F.lit(0)).alias("n"), F.col("message_id").alias("m")).alias("at"))
-    table = materialize(keyed, "mail-threads")
-    threads = materialize(table.groupBy("thread").agg(F.min("at").alias("first_at"), F.ceil(F.count("*") / block_mails).cast("int").alias("blocks")), "threads")
-    split = F.col("blocks") > 1
-    blocked = table.join(threads, "thread").select("thread", F.when(split, F.pmod(F.xxhash64("message_id"), F.col("blocks"))).otherwise(0).alias("block"), split.alias("split"), (F.col("at") == F.col("first_at")).alias("first"), "at", "message_id", "sender", "body")
+    mails = mails.filter("message_id IS NOT NULL")
+    thread = F.xxhash64(F.coalesce("mailbox_oid", F.lit(-1)), thread_subject(F.col("subject"))).alias("thread")
+    at = F.struct(F.coalesce("msg_number", F.lit(0)).alias("n"), F.col("message_id").alias("m")).alias("at")
+    # Repeated rows are counted here too; that can only split a thread a little earlier.
+    threads = mails.select(thread, at).groupBy("thread").agg(F.min("at").alias("first_at"), F.ceil(F.count("*") / block_mails).cast("int").alias("blocks"))
+    hot = materialize(threads.filter("blocks > 1"), "hot-threads")
+    table = mails.select(thread, at, "message_id", "sender", "body").join(hot, "thread", "left")
+    split = F.col("blocks").isNotNull()
+    block = F.coalesce(F.pmod(F.xxhash64("message_id"), F.col("blocks")), F.lit(0)).alias("block")
+    blocked = table.select("thread", block, split.alias("split"), (F.col("at") == F.col("first_at")).alias("first"), "at", "message_id", "sender", "body")
     rows = blocked.select("thread", "block", F.lit(0).alias("copy"), F.lit("source").alias("part"), "split", "first", "at", "message_id", "sender", "body")
     heat = None
-    if not threads.filter(split).isEmpty():
-        heat = materialize(blocked.filter("split"), "hot-mails")
+    if not hot.isEmpty():
+        heat = materialize(blocked.filter("split").dropDuplicates(["message_id"]), "hot-mails")
         w = materialize(heat.select("thread", "message_id", "at", "body").mapInPandas(_windows(min_words), "thread bigint, h bigint, at struct<n:int,m:bigint>, message_id bigint, source boolean"), "windows")
         home = heat.select("message_id", "block")
         first = w.filter("source").groupBy("thread", "h").agg(F.min("at").alias("first_at")).withColumn("home", F.col("first_at.m"))
@@ -491,6 +507,7 @@ def newly_written(mails: DataFrame, min_words: int = MIN_WORDS, block_mails: int
 
 def new_text(mails: DataFrame, **how: int) -> DataFrame:
     """``message_id, body``: each mail reduced to its newly written lines, in order; null where nothing is new."""
+    mails = mails.filter("message_id IS NOT NULL")
     lines = mails.dropDuplicates(["message_id"]).select("message_id", F.posexplode("body").alias("p", "line")).withColumn("line_no", F.col("p") + 1)
     kept = lines.join(newly_written(mails, **how), ["message_id", "line_no"], "left_semi")
     text = kept.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
