@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,15 @@ def encoder(path: str = TOKENIZER, pattern: str = PATTERN):
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id, source, n_tokens`` of every document's whole text; a null text has no tokens."""
+    """``doc_id, source, n_tokens`` of every document's whole text; a null text has no tokens.
+
+    The vocabulary file is the driver's; Spark hands it to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])

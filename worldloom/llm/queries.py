@@ -20,6 +20,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leak.leaked_pairs(_leaks(spark, sf))
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the passages stand: every longest verbatim match with its place in document and item, in words from 0."""
+    return _leaks(spark, sf).select("doc_id", "item_id", "n_words", "doc_word", "item_word").distinct()
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return leak.item_report(_leaks(spark, sf))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p8_found": p8_found,
+    "p8_spans": p8_spans,
     "p8_report": p8_report,
     "p8_clean": p8_clean,
     "p9_mixed": p9_mixed,
@@ -89,13 +95,16 @@ _SHINGLES = """d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')
   es AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
   pairs AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (s))"""
 
-ORACLES: dict[str, str] = {
-    "p8_found": f"WITH {_SHINGLES} SELECT doc_id, item_id FROM pairs",
-    "p8_report": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+#: Shared runs of twelve words and more: windows that follow each other on one diagonal are one run.
+_RUNS = """d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
   ds AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
   es AS (SELECT item_id, j, array_to_string(w[j : j + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM e)),
   hits AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM ds JOIN es USING (s)),
-  runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM hits) GROUP BY doc_id, item_id, diagonal, run)
-SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n)::INT AS longest_words FROM runs GROUP BY item_id""",
+  runs AS (SELECT doc_id, item_id, min(i) AS i, min(i) - diagonal AS j, count(*) + 11 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM hits) GROUP BY doc_id, item_id, diagonal, run)"""
+
+ORACLES: dict[str, str] = {
+    "p8_found": f"WITH {_SHINGLES} SELECT doc_id, item_id FROM pairs",
+    "p8_spans": f"WITH {_RUNS} SELECT doc_id, item_id, n::INT AS n_words, (i - 1)::INT AS doc_word, (j - 1)::INT AS item_word FROM runs",
+    "p8_report": f"WITH {_RUNS} SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n)::INT AS longest_words FROM runs GROUP BY item_id",
     "p8_clean": f"WITH {_SHINGLES} SELECT doc_id, source, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)",
 }
