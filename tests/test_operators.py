@@ -43,6 +43,86 @@ def test_clear_follows_first_parents(spark):
     assert got == {(2, "a"): (1, 1), (3, "a"): (1, 2), (3, "b"): (2, 1), (9, "a"): (None, None)}
 
 
+def test_clear_goes_to_the_parent_that_has_the_property(spark):
+    """Not to the first parent if only the second has it, by names in any case."""
+    w = world(spark, tree((1, []), (2, []), (3, [1, 2]), (4, [3]), (5, [1])), [(2, "Tint", J("string", "red")), (3, "tint", CLEAR), (4, "TINT", CLEAR), (5, "tint", CLEAR)])
+    got = {(r.oid, r.name): (r.value_from, r.steps) for r in inherit.effective_values(w).collect()}
+    assert got == {(3, "tint"): (2, 1), (4, "TINT"): (2, 2), (5, "tint"): (None, None)}
+
+
+def test_plain_names_come_before_waif_spellings(spark):
+    w = world(spark, tree((1, []), (2, [1]), (3, [])), (), [(1, "turn", 5, ["a"]), (2, ":turn", 5, ["b"]), (3, ":turn", 5, ["c"])])
+    assert {(r.id, r.oid, r.verb) for r in inherit.dispatch(w, "turn").collect()} == {(1, 1, "turn"), (2, 1, "turn"), (3, 3, ":turn")}
+
+
+@pytest.mark.parametrize("local", [0, 50_000])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_holder_against_the_walk(spark, seed, local):
+    r = random.Random(seed)
+    n = 60
+    parents = {i: [r.randrange(n if r.random() < 0.05 else max(1, i)) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] for i in range(n)}
+    holders = r.sample(range(n), 8)
+    want = {}
+    for i in range(n):
+        seen, todo = set(), [i]
+        while todo:
+            x = todo.pop()
+            if x in seen:
+                continue
+            seen.add(x)
+            if x in holders:
+                want[i] = x
+                break
+            todo += reversed(parents[x])
+    w = world(spark, tree(*parents.items()))
+    got = inherit.first_holder(w, spark.createDataFrame([(h,) for h in holders], "oid bigint"), local)
+    assert {x.id: x.oid for x in got.collect()} == want
+
+
+def test_removal_rules(spark):
+    """Descendants go, contents only if younger and no players; lists of the rewrite are told from references."""
+    objs = [(1, "root", 0, 5, -1, [], [2], [3, 4, 6]), (2, None, 0, 5, 5, [1], [], [7]), (3, None, 0, 5, 1, [], [], []), (4, None, 1, 5, 1, [], [], []), (5, None, 0, 1, 4, [], [], []), (6, None, 0, 5, 1, [], [], []), (7, None, 0, 5, 2, [], [], [])]
+    props = [(i, "creation_time", J("int", str(t))) for i, t in ((1, 10), (3, 10), (4, 99), (6, 9), (7, 20))] + [(5, "owned_objects", J("list", items=[json.loads(J("obj", "3"))])), (5, "friend", J("obj", "7"))]
+    w = world(spark, objs, props)
+    chosen = w.objects.filter("id = 1").select("id")
+    assert {r.id for r in graph.removed(w, chosen).collect()} == {1, 2}
+    assert {r.id for r in graph.removed(w, chosen, True).collect()} == {1, 2, 3, 7}
+    got = {tuple(r) for r in graph.removal(w, chosen, True).collect()}
+    assert got == {("inbound", 1, "owner", 1), ("inbound", 1, "location", 2), ("stranded", 1, "location", 2), ("dropped", 3, "property", 1), ("inbound", 7, "property", 1)}
+
+
+def test_waifs_by_slot_values(spark):
+    """Names count over the class's own slots, then its ancestors'; unset slots show the class's value."""
+    s = lambda *p: json.dumps([[i, json.loads(v)] for i, v in p])
+    props = [(1, ":mood", J("string", "calm")), (2, ":rank", J("int", "0")), (2, ":mood", CLEAR)]
+    ws = [(1, 2, 1, s((0, J("int", "7"))), 2), (2, 2, 1, s((1, J("string", "wild"))), 2), (3, 2, 1, None, 2), (4, 9, 1, s((0, J("int", "1"))), 2), (1, 2, 1, s((0, J("int", "7"))), 2)]
+    w = world(spark, tree((1, []), (2, [1]), (9, [])), props, (), ws)
+    assert {tuple(r) for r in waifs.slot_names(w).collect()} == {(2, 0, "rank"), (2, 1, "mood")}
+    root = w.objects.filter("id = 1").select("id")
+    assert {tuple(r) for r in waifs.grouped(w, root, [("Rank", True)]).collect()} == {(2, "true", 1), (2, "false", 2)}
+    calm = waifs.grouped(w, None, [("mood", False)], [("mood", "^c", False)])
+    assert [(r.waif_class, json.loads(r.by_0)["value"], r.n_waifs) for r in calm.collect()] == [(2, "calm", 2)]
+    assert {tuple(r) for r in waifs.grouped(w, None, [(1, True)], [("mood", "^c", True)]).collect()} == {(2, "true", 1), (9, "none", 1)}
+
+
+def test_grep_by_verb_and_owner(spark):
+    w = world(spark, tree((1, [])), (), [(1, "loo*k see", 5, ["Return 1;", "x"]), (1, "go", 5, ["return 2;"])])
+    assert [(r.verb, r.line) for r in inspect.grep(w, "return", verb="look", ignore_case=True).collect()] == [("loo*k see", "Return 1;")]
+    assert [tuple(r) for r in inspect.grep_summary(inspect.grep(w, "(?i)return"), "verb_owner").collect()] == [(1, 2, 2)]
+
+
+def test_renumbered_lists_values_and_owners(spark):
+    v = J("list", items=[json.loads(J("obj", "3")), json.loads(J("obj", "5")), json.loads(J("obj", "-1")), json.loads(J("string", "#5"))])
+    w = world(spark, [(0, None, 0, 3, -1, [3, 5], [3, 5, 3], [5, 9])] + [(i, None, 0, 0, 0, [], [], None) for i in (3, 5)], [(0, "p", v), (5, "q", ' { "value" : "0", "type":"obj" } '), (5, "r", "[1")], [(5, "v", 5, ["x"])])
+    gone = w.objects.filter("id = 3").select("id")
+    first = [r for r in rewrite.renumbered(w, gone).collect() if r.id == 0][0]
+    assert (first.parents, first.children, first.contents) == ([-1000003, 1], [1], [1, -1000009])
+    assert {r.id for r in rewrite.renumbered(w, gone, keep_numbers=True).collect()} == {0, 5}
+    assert [tuple(r) for r in rewrite.renumbered_members(w, gone, "verbs").collect()] == [(1, "v", -1000001)]
+    got = {r.name: r.value_json for r in rewrite.renumbered_values(w, rewrite.renumbering(w, gone), -9).collect()}
+    assert [x["value"] for x in json.loads(got["p"])["items"]] == ["-12", "1", "-1", "#5"] and got["q"] == ' { "value" : "0", "type":"obj" } ' and got["r"] == "[1"
+
+
 def test_dispatch_takes_the_nearest(spark):
     w = world(spark, tree((1, []), (2, [1]), (3, [1])), (), [(1, "l*ook x", 5, ["a"]), (3, "look", 5, []), (2, "other", 5, None)])
     assert {(r.id, r.oid) for r in inherit.dispatch(w, "lo").collect()} == {(1, 1), (2, 1), (3, 1)}
@@ -64,7 +144,9 @@ def test_edges_searches_and_cycles(spark):
 
 def test_tree_summary_counts_repeats_and_missing(spark):
     w = world(spark, [(1, None, 0, 0, -1, [], [2, 2, 3, 99, 1], None), (2, None, 0, 0, 3, [], [], None), (3, None, 0, 0, 2, [], None, None), (4, None, 0, 0, 1, [], None, None)])
-    assert tuple(graph.tree_summary(w).collect()[0]) == (1, 5, 3, 1)
+    got = {r.root: tuple(r)[1:] for r in graph.tree_summary(w).collect()}
+    assert got == {1: (2, 2, 2, 1, 1, 2), 2: (0,) * 6, 3: (0,) * 6, 4: (0,) * 6}
+    assert [r.root for r in graph.tree_summary(w, "children", w.objects.filter("id = 1").selectExpr("id AS root")).collect()] == [1]
     assert {r.id: r.top for r in graph.outermost(w).collect()} == {1: 1, 2: None, 3: None, 4: 1}
 
 
@@ -98,13 +180,39 @@ def test_program_changes(spark):
     assert d == {"fresh": (1, 0), "gone": (0, 1), "edit": (2, 2)}
     page = report.markdown(report.source_diffs(old, new)).collect()[0].page
     assert page.index("## edit") < page.index("## fresh") < page.index("## gone")
-    assert {(r.name_a, r.similarity) for r in compare.similar_programs(old, new, 0.3).collect()} == {("keep", 1.0), ("edit", 0.5), ("meta", 1.0)}
+    assert {(r.name, r.match, r.similarity) for r in compare.program_matches(old, new, 0.3).collect()} == {("keep", "exact", 1.0), ("edit", "similar", 0.5), ("meta", "exact", 1.0), ("gone", "new", None)}
+
+
+def test_programs_are_found_across_the_world(spark):
+    """Under other numbers, without footers, by aliases in any case, and as brute force finds them."""
+    r = random.Random(6)
+    code = lambda: [r.choice("abcdefgh") for _ in range(r.randrange(1, 7))]
+    old = world(spark, tree((1, []), (2, [])), (), [(r.randrange(1, 3), f"{r.choice(['go', 'Stop x', 'look'])} v{i}", 5, code()) for i in range(25)] + [(1, "foot", 5, ["only here;", '"Last modified Mon by A";'])])
+    new = world(spark, tree((8, [])), (), [(8, f"{r.choice(['GO', 'stop y', 'LOOK'])} w{i}", 5, code()) for i in range(25)] + [(8, "other", 5, ['  only here; ', '  "Last modified Tue by B";'])])
+    lines = lambda c: [x.strip() for x in c if x.strip() and not x.strip().startswith('"Last modified ')]
+    a, b = ([(v.name, lines(v.code)) for v in w.verbs.collect()] for w in (old, new))
+
+    def alike(x, y):
+        common = sum(min(x.count(t), y.count(t)) for t in set(x))
+        return common / (len(x) + len(y) - common)
+
+    want = {}
+    for name, x in a:
+        if any(x == y for _, y in b):
+            want[name] = ("exact", 1, 1.0)
+            continue
+        near = {tuple(y): alike(x, y) for other, y in b if set(name.lower().split()) & set(other.lower().split())}
+        near = {k: v for k, v in near.items() if v >= 0.5}
+        want[name] = ("similar", len(near), max(near.values())) if near else ("new", 0, None)
+    assert {m.name: (m.match, m.n_found, m.similarity) for m in compare.program_matches(old, new).collect()} == want
+    assert {"exact", "similar", "new"} == {v[0] for v in want.values()} and want["foot"][0] == "exact"
 
 
 def test_continuity(spark):
-    a = world(spark, [(1, "a", 0, 1, -1, [], [], []), (2, "b", 0, 1, -1, [], [], []), (3, "c", 0, 1, -1, [], [], []), (4, "d", 0, None, -1, [], [], [])])
-    b = world(spark, [(1, "a", 0, 1, -1, [], [], []), (2, "x", 0, 1, -1, [], [], []), (4, "d", 0, None, -1, [], [], [])])
-    assert {r.id: r.verdict for r in compare.continuity(a, b).collect()} == {1: "same", 2: "reused", 3: "absent", 4: "unproven"}
+    made = lambda *p: [(i, n, J("int", str(v)) if v is not None else CLEAR) for i, n, v in p]
+    a = world(spark, tree((1, []), (2, []), (4, []), (5, [1]), (6, []), (9, [])), made((1, "Born", 7), (2, "born", 8), (4, "born", None), (5, "born", None), (6, "other", 1)))
+    b = world(spark, tree((1, []), (2, []), (3, []), (4, []), (5, [1]), (6, [])), made((1, "born", 7), (2, "born", 9), (3, "born", 1), (4, "born", 3), (5, "born", 7), (6, "born", 1)))
+    assert {r.id: r.verdict for r in compare.continuity(a, b, "born").collect()} == {1: "same", 2: "reused", 3: "absent", 4: "unproven", 5: "same", 6: "unproven"}
 
 
 def test_renumbering(spark):
@@ -228,9 +336,9 @@ def test_bounds_tell_what_they_prove(spark):
 
 
 def test_verdicts(spark):
-    old = world(spark, (), (), [(1, "a", 5, ["x", "y"]), (1, "b", 5, ["z"]), (2, "a", 5, ["p", "q"]), (3, "a", 5, ["k"]), (3, "empty", 5, [])])
-    new = world(spark, (), (), [(1, "a", 5, ["x", " y "]), (1, "c", 5, ["z"]), (2, "a", 5, ["p", "q", "r"]), (3, "a", 5, ["m"])])
-    assert {tuple(r) for r in compare.verdicts(old, new).collect()} == {(1, 2, 2, 0, "same"), (2, 1, 0, 1, "likely"), (3, 1, 0, 0, "different")}
+    old = world(spark, tree((1, []), (2, []), (3, []), (4, [])), (), [(1, "a", 5, ["x", "y"]), (1, "b", 5, ["z"]), (2, "a", 5, ["p", "q"]), (3, "a", 5, ["k"]), (3, "empty", 5, [])])
+    new = world(spark, (), (), [(11, "a", 5, ["x", " y "]), (17, "c", 5, ["z"]), (2, "a", 5, ["p", "q", "r"]), (3, "a", 5, ["m"])])
+    assert {tuple(r) for r in compare.verdicts(old, new).collect()} == {(1, 2, 2, 0, "have it"), (2, 1, 0, 1, "have a different version"), (3, 1, 0, 0, "new"), (4, 0, 0, 0, "no code")}
 
 
 def test_numbers_too_large_for_any_column(spark):

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worldloom.functions.values import code_hash, value_hash
-from worldloom.operators.inspect import World, aliases
+from worldloom.operators.inspect import World
+from worldloom.session import materialize
 
 
 def object_events(old: World, new: World) -> DataFrame:
@@ -76,14 +77,64 @@ def added_lines(old: World, new: World) -> DataFrame:
     return pairs.mapInPandas(_added, "oid bigint, name string, line_no int, line string")
 
 
-def continuity(old: World, new: World) -> DataFrame:
-    """Whether a number means the same object in both dumps: ``same``, ``reused``, ``absent`` or ``unproven``.
+def continuity(old: World, new: World, identity: str = "creation_time") -> DataFrame:
+    """What each number of the newer dump means in the older one: ``id, verdict``.
 
-    Identity is name, owner and last move; where the newer dump has no name or owner nothing is proven.
+    ``absent``: the older dump has no such object.  ``same`` and ``reused``: the shown values of the identity
+    property are equal or differ.  ``unproven``: either side shows no value for it.
     """
-    j = old.objects.select("id", F.struct("name", "owner").alias("a")).join(new.objects.select("id", F.struct("name", "owner").alias("b")), "id", "left")
-    unproven = F.col("a.name").isNull() | F.col("b.name").isNull() | F.col("a.owner").isNull() | F.col("b.owner").isNull()
-    return j.select("id", F.when(F.col("b").isNull(), "absent").when(unproven, "unproven").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("reused").alias("verdict"))
+    from dataclasses import replace
+
+    from worldloom.operators.inherit import all_values
+
+    def shown(w: World) -> DataFrame:
+        only = replace(w, properties=w.properties.filter(F.lower("name") == identity.lower()))
+        v = all_values(only).filter(F.col("value_from").isNotNull() & F.col("value_json").isNotNull())
+        return v.groupBy("oid").agg(F.min_by(F.struct(value_hash("value_json").alias("h")), "name").alias("v")).select(F.col("oid").alias("id"), "v")
+
+    was, now = (shown(w).withColumnRenamed("v", n) for w, n in ((old, "was"), (new, "now")))
+    before = old.objects.select("id", F.lit(True).alias("there"))
+    j = new.objects.select("id").join(before, "id", "left").join(was, "id", "left").join(now, "id", "left")
+    verdict = F.when(F.col("there").isNull(), "absent").when(F.col("was").isNull() | F.col("now").isNull(), "unproven").when(F.col("was").eqNullSafe(F.col("now")), "same").otherwise("reused")
+    return j.select("id", verdict.alias("verdict"))
+
+
+def _states(w: World) -> DataFrame:
+    """``id, state``: ``present`` or, for numbers below the greatest in use that are no object, ``recycled``."""
+    real = w.objects.filter("id IS NOT NULL AND NOT coalesce(anon, false)").select("id")
+    top = real.agg(F.max("id").alias("m")).filter("m IS NOT NULL")
+    span = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("id"))
+    return span.join(w.objects.select("id"), "id", "left_anti").select("id", F.lit("recycled").alias("state")).unionByName(real.select("id", F.lit("present").alias("state")))
+
+
+def lifecycle(old: World, new: World) -> DataFrame:
+    """Numbers whose state differs: ``oid, old_state, new_state, change``; states are present, recycled or absent.
+
+    ``changed`` where a recycled number is involved, else ``added`` or ``removed``.  Anonymous objects are left out.
+    """
+    j = _states(old).withColumnRenamed("state", "a").join(_states(new).withColumnRenamed("state", "b"), "id", "full")
+    a, b = F.coalesce("a", F.lit("absent")), F.coalesce("b", F.lit("absent"))
+    change = F.when((a == "recycled") | (b == "recycled"), "changed").when(a == "absent", "added").otherwise("removed")
+    return j.filter(a != b).select(F.col("id").alias("oid"), a.alias("old_state"), b.alias("new_state"), change.alias("change"))
+
+
+def affected(old: World, new: World) -> DataFrame:
+    """``oid, name, change, n_affected``: properties added to or removed from objects in both dumps, and how many descendants inherit the change.
+
+    Descendants are counted in the dump that has the property.
+    """
+    from worldloom.operators.graph import below
+
+    both = old.objects.select("id").join(new.objects.select("id"), "id").withColumnRenamed("id", "oid")
+
+    def one(a: World, b: World, change: str) -> DataFrame:
+        key = lambda w: w.properties.select("oid", F.lower("name").alias("k"), "name")
+        fresh = materialize(key(b).join(key(a).select("oid", "k"), ["oid", "k"], "left_anti").join(both, "oid", "left_semi").select("oid", "name"), f"{change}-properties")
+        down = b.objects.select(F.explode("parents").alias("src"), F.col("id").alias("dst")).filter("src IS NOT NULL")
+        n = below(down, fresh.select(F.col("oid").alias("root")).distinct()).filter("depth > 0").groupBy(F.col("root").alias("oid")).agg(F.count("*").alias("n_affected"))
+        return fresh.join(n, "oid", "left").select("oid", "name", F.lit(change).alias("change"), F.coalesce("n_affected", F.lit(0)).alias("n_affected"))
+
+    return one(old, new, "added").unionByName(one(new, old, "removed"))
 
 
 def diff_footer(events: DataFrame) -> DataFrame:
@@ -99,33 +150,68 @@ def survivor_order(old: World, new: World, of: str = "contents") -> DataFrame:
     return j.filter(~keep(F.col("a"), F.col("b")).eqNullSafe(keep(F.col("b"), F.col("a")))).select("id")
 
 
+#: Fixed value: how the editor's footer line begins.
+_FOOTER = '"Last modified '
+
+
 def normalized(code: Column | str = "code") -> Column:
-    """A program's lines without outer blanks and empty lines."""
+    """A program's lines without outer blanks, empty lines and the editor's footers."""
     c = F.col(code) if isinstance(code, str) else code
-    return F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(c, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~F.startswith(x, F.lit(_FOOTER)))
+
+
+def _digest(lines: Column | str) -> Column:
+    return F.sha2(F.array_join(lines, "\n"), 256)
 
 
 def exact_matches(w: World) -> DataFrame:
     """Groups of verbs with the same normalised program: ``digest, n_verbs, n_objects``, groups of two or more."""
     v = w.verbs.select("oid", normalized().alias("n")).filter(F.size("n") > 0)
-    return v.select("oid", F.sha2(F.array_join("n", "\n"), 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_verbs"), F.count_distinct("oid").alias("n_objects")).filter("n_verbs > 1")
+    return v.select("oid", _digest("n").alias("digest")).groupBy("digest").agg(F.count("*").alias("n_verbs"), F.count_distinct("oid").alias("n_objects")).filter("n_verbs > 1")
 
 
-def similar_programs(old: World, new: World, least: float = 0.5) -> DataFrame:
-    """Verbs of both dumps on the same object sharing an alias, whose line multisets are alike: ``similarity`` >= ``least``.
+def _programs(w: World) -> DataFrame:
+    return w.verbs.select("oid", "name", normalized().alias("n")).filter("n IS NOT NULL").select("oid", "name", "n", _digest("n").alias("d"))
 
-    The multiset Jaccard is summed over shared lines; no pair of unrelated verbs is formed.
-    """
 
-    def lines(w: World, side: str) -> DataFrame:
-        v = w.verbs.select("oid", "name", normalized().alias("n")).filter(F.size("n") > 0)
-        return v.select("oid", "name", F.size("n").alias(f"size_{side}"), F.explode("n").alias("line")).groupBy("oid", "name", f"size_{side}", "line").agg(F.count("*").alias(f"c_{side}"))
+def program_matches(old: World, new: World, least: float = 0.5) -> DataFrame:
+    """Where the older dump's programs are found anywhere in the newer one: ``oid, name, match, n_found, similarity``.
 
-    first = lambda w, side: aliases(w).select("oid", F.col("verb").alias(f"name_{side}"), "alias").distinct()
-    cand = first(old, "a").join(first(new, "b"), ["oid", "alias"]).select("oid", "name_a", "name_b").distinct()
-    both = cand.join(lines(old, "a").withColumnRenamed("name", "name_a"), ["oid", "name_a"]).join(lines(new, "b").withColumnRenamed("name", "name_b"), ["oid", "name_b", "line"])
-    s = both.groupBy("oid", "name_a", "name_b", "size_a", "size_b").agg(F.sum(F.least("c_a", "c_b")).alias("same"))
-    return s.select("oid", "name_a", "name_b", (F.col("same") / (F.col("size_a") + F.col("size_b") - F.col("same"))).alias("similarity")).filter(F.col("similarity") >= least)
+    ``exact``: a verb of the newer dump has the same normalised program.  ``similar``: else, one that shares an alias
+    (in any case) has a multiset Jaccard of lines of at least ``least``.  ``new``: neither.  Verbs without lines are
+    left out; ``n_found`` counts distinct programs found, ``similarity`` is the greatest.
+
+    Equal programs are compared once.  Similar pairs meet by prefix filtering: of two programs that are alike enough,
+    one of the rarest lines must be shared, so a common alias or a common line alone joins nothing.
+    """
+    a, b = _programs(old).filter(F.size("n") > 0), _programs(new)
+    known = b.select("d").distinct()
+    kinds = a.join(known.withColumn("exact", F.lit(True)), "d", "left").select("oid", "name", "n", "d", F.coalesce("exact", F.lit(False)).alias("exact"))
+    kinds = materialize(kinds, "programs")
+    open_ = kinds.filter("NOT exact")
+
+    def alias_lines(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+        alias = p.select("d", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: x != ""))).alias("alias")).distinct()
+        lines = p.groupBy("d").agg(F.any_value("n").alias("n")).select("d", F.size("n").alias("size"), F.explode("n").alias("line"))
+        return alias, lines.groupBy("d", "size", "line").agg(F.count("*").alias("c"))
+
+    (alias_a, lines_a), (alias_b, lines_b) = alias_lines(open_), alias_lines(b.filter(F.size("n") > 0))
+    lines_a, lines_b = materialize(lines_a, "lines-old"), materialize(lines_b, "lines-new")
+    rare = lines_a.select("line").unionByName(lines_b.select("line")).groupBy("line").agg(F.count("*").alias("f"))
+
+    def prefix(lines: DataFrame) -> DataFrame:
+        # Rarest lines first; a line standing c times counts c times.  More than size - least * size of them cannot all be unshared.
+        before = F.coalesce(F.sum("c").over(W.partitionBy("d").orderBy("f", "line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return lines.join(rare, "line").withColumn("before", before).filter(F.col("before") <= F.col("size") - F.ceil(F.col("size") * F.lit(least))).select("d", "line")
+
+    tokens = lambda alias, lines: alias.join(prefix(lines), "d")
+    cand = tokens(alias_a, lines_a).withColumnRenamed("d", "da").join(tokens(alias_b, lines_b).withColumnRenamed("d", "db"), ["alias", "line"]).select("da", "db").distinct()
+    both = cand.join(lines_a.withColumnsRenamed({"d": "da", "size": "size_a", "c": "ca"}), "da").join(lines_b.withColumnsRenamed({"d": "db", "size": "size_b", "c": "cb"}), ["db", "line"])
+    same = both.groupBy("da", "db", "size_a", "size_b").agg(F.sum(F.least("ca", "cb")).alias("same"))
+    close = same.select("da", (F.col("same") / (F.col("size_a") + F.col("size_b") - F.col("same"))).alias("s")).filter(F.col("s") >= least).groupBy(F.col("da").alias("d")).agg(F.count("*").alias("n"), F.max("s").alias("s"))
+    return kinds.select("oid", "name", "d", "exact").join(close.withColumnRenamed("n", "n_close"), "d", "left").select(
+        "oid", "name", F.when(F.col("exact"), "exact").when(F.col("n_close").isNotNull(), "similar").otherwise("new").alias("match"), F.when(F.col("exact"), 1).otherwise(F.coalesce("n_close", F.lit(0))).cast("bigint").alias("n_found"), F.when(F.col("exact"), 1.0).otherwise(F.col("s")).alias("similarity")
+    )
 
 
 def value_events(old: World, new: World) -> DataFrame:
@@ -139,17 +225,13 @@ def value_events(old: World, new: World) -> DataFrame:
 
 
 def verdicts(old: World, new: World, least: float = 0.5) -> DataFrame:
-    """Whether an object's programs are those of before: ``oid, n_verbs, n_exact, n_similar, verdict``.
+    """Whether the newer dump has the older one's objects, by their programs: ``oid, n_verbs, n_exact, n_similar, verdict``.
 
-    Verbs without lines are left out.  ``same`` from 80 % exact matches, ``likely`` from 50 % exact or similar ones,
-    else ``different``; a verb that matches exactly does not count as similar.
+    Verbs without lines are left out.  ``have it`` from 80 % exact matches, ``have a different version`` from 50 %
+    exact or similar ones, else ``new``; objects without programs have ``no code``.
     """
-    digest = lambda w: w.verbs.select("oid", "name", normalized().alias("n")).filter(F.size("n") > 0).select("oid", "name", F.sha2(F.array_join("n", "\n"), 256).alias("d"))
-    old_d, new_d = digest(old), digest(new)
-    exact = old_d.join(new_d.select("oid", "d").distinct(), ["oid", "d"], "left_semi").select("oid", "name", F.lit(1).alias("exact"))
-    alike = similar_programs(old, new, least).select("oid", F.col("name_a").alias("name"), F.lit(1).alias("alike")).distinct()
-    j = old_d.select("oid", "name").join(exact, ["oid", "name"], "left").join(alike, ["oid", "name"], "left")
-    s = j.groupBy("oid").agg(F.count("*").alias("n_verbs"), F.count("exact").alias("n_exact"), F.count_if(F.col("exact").isNull() & (F.col("alike") == 1)).alias("n_similar"))
+    m = program_matches(old, new, least).groupBy("oid").agg(F.count("*").alias("n_verbs"), F.count_if(F.col("match") == "exact").alias("n_exact"), F.count_if(F.col("match") == "similar").alias("n_similar"))
+    s = old.objects.select(F.col("id").alias("oid")).join(m, "oid", "left").fillna(0, ["n_verbs", "n_exact", "n_similar"])
     share = lambda n: F.col("n_verbs") * F.lit(n)
-    verdict = F.when(F.col("n_exact") >= share(0.8), "same").when(F.col("n_exact") + F.col("n_similar") >= share(0.5), "likely").otherwise("different")
+    verdict = F.when(F.col("n_verbs") == 0, "no code").when(F.col("n_exact") >= share(0.8), "have it").when(F.col("n_exact") + F.col("n_similar") >= share(0.5), "have a different version").otherwise("new")
     return s.withColumn("verdict", verdict)

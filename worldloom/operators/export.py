@@ -64,6 +64,6 @@ def first_difference(a: DataFrame, b: DataFrame, key: list[str], text: str) -> D
 
 def numbers_in_code(w: World, ids: DataFrame) -> DataFrame:
     """``oid, verb, line_no, id``: plain numbers and object numbers in code outside strings that are in ``ids(id)``."""
-    n = code_lines(w).select("oid", "verb", "line_no", F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w.])#?(\d+)(?![\w.])"), F.lit(1))).alias("n"))
+    n = code_lines(w, True).select("oid", "verb", "line_no", F.explode(F.regexp_extract_all("seen", F.lit(r"(?<![\w.])#?(\d+)(?![\w.])"), F.lit(1))).alias("n"))
     hit = n.select("oid", "verb", "line_no", F.col("n").try_cast("bigint").alias("id")).join(ids.select("id"), "id", "left_semi")
     return hit.select("oid", "verb", "line_no", "id").distinct()

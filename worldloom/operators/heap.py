@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldloom.session import materialize
+from worldloom.session import count_rows, materialize
 
 
-def correspond(anchors_old: DataFrame, anchors_new: DataFrame, inner_old: DataFrame, inner_new: DataFrame, max_rounds: int = 100) -> DataFrame:
+def correspond(anchors_old: DataFrame, anchors_new: DataFrame, inner_old: DataFrame, inner_new: DataFrame) -> DataFrame:
     """``old_id, new_id`` of instances that correspond one to one.
 
     ``anchors(place, id)``: instances by the place that holds them, ``inner(src, place, dst)``: instances held by
@@ -23,15 +23,17 @@ def correspond(anchors_old: DataFrame, anchors_new: DataFrame, inner_old: DataFr
     first = anchors_old.select("place", F.col("id").alias("old_id")).join(anchors_new.select("place", F.col("id").alias("new_id")), "place").select("old_id", "new_id").distinct()
     proposed = materialize(first, "pairs-0")
     pairs = materialize(_bijective(proposed), "bijective-0")
-    for r in range(1, max_rounds):
+    r, known = 0, count_rows(proposed)
+    while True:
+        r += 1
         a = inner_old.select(F.col("src").alias("old_id"), "place", F.col("dst").alias("old_dst"))
         b = inner_new.select(F.col("src").alias("new_id"), "place", F.col("dst").alias("new_dst"))
         more = pairs.join(a, "old_id").join(b, ["new_id", "place"]).select(F.col("old_dst").alias("old_id"), F.col("new_dst").alias("new_id")).distinct()
         grown = materialize(proposed.union(more).distinct(), f"pairs-{r}")
-        if grown.count() == proposed.count():
-            break
-        proposed, pairs = grown, materialize(_bijective(grown), f"bijective-{r}")
-    return pairs
+        now = count_rows(grown)
+        if now == known:
+            return pairs
+        known, proposed, pairs = now, grown, materialize(_bijective(grown), f"bijective-{r}")
 
 
 def _bijective(p: DataFrame) -> DataFrame:

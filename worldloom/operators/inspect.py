@@ -71,45 +71,62 @@ def builtins(w: World) -> DataFrame:
     return o.select(F.col("id").alias("oid"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs])).alias("b")).select("oid", "b.name", "b.value")
 
 
-def code_lines(w: World) -> DataFrame:
-    """``oid, verb_index, verb, line_no, line``; an absent program has no lines."""
-    return w.verbs.select("oid", "verb_index", F.col("name").alias("verb"), F.col("owner").alias("verb_owner"), "perms", F.posexplode("code").alias("p", "line")).select("oid", "verb_index", "verb", "verb_owner", "perms", (F.col("p") + 1).alias("line_no"), "line")
+def code_lines(w: World, code_only: bool = False) -> DataFrame:
+    """``oid, verb_index, verb, line_no, line, seen``; an absent program has no lines.
+
+    ``seen`` is what a search looks at: the line, or with ``code_only`` the line with string literals blanked.
+    """
+    pairs = F.arrays_zip(F.col("code").alias("line"), (moo.masked("code") if code_only else F.col("code")).alias("seen"))
+    v = w.verbs.select("oid", "verb_index", F.col("name").alias("verb"), F.col("owner").alias("verb_owner"), "perms", F.posexplode(pairs).alias("p", "z"))
+    return v.select("oid", "verb_index", "verb", "verb_owner", "perms", (F.col("p") + 1).alias("line_no"), F.col("z.line").alias("line"), F.col("z.seen").alias("seen"))
 
 
-def grep(w: World, pattern: str, require: list[str] = (), exclude: list[str] = (), code_only: bool = False, wizard_owned: bool = False, executable: bool = False) -> DataFrame:
+def grep(w: World, pattern: str, require: list[str] = (), exclude: list[str] = (), code_only: bool = False, wizard_owned: bool = False, executable: bool = False, verb: str | None = None, ignore_case: bool = False) -> DataFrame:
     """Code lines that match ``pattern``.
 
     ``require`` must each hit some line of the verb, ``exclude`` none; with ``code_only`` string literals are
-    blanked before matching.  The original line is returned.
+    blanked before matching.  ``verb`` keeps the verbs that answer to a word.  The original line is returned.
     """
-    seen = (lambda x: moo.masked(x)) if code_only else (lambda x: x)
+    flags = "(?i)" if ignore_case else ""
+    code = moo.masked("code") if code_only else F.col("code")
     v = w.verbs
     if executable:
         v = v.filter(F.col("perms").bitwiseAND(4) != 0)
     for p in require:
-        v = v.filter(_any_line(seen, p))
+        v = v.filter(F.exists(code, lambda x: x.rlike(flags + p)))
     for p in exclude:
-        v = v.filter(~F.coalesce(_any_line(seen, p), F.lit(False)))
+        v = v.filter(~F.coalesce(F.exists(code, lambda x: x.rlike(flags + p)), F.lit(False)))
     if wizard_owned:
         wizards = w.objects.filter(moo.has_flag("flags", "wizard")).select(F.col("id").alias("owner"))
         v = v.join(wizards, "owner", "left_semi")
-    lines = code_lines(World(w.objects, w.properties, v, w.waifs))
-    return lines.filter(seen(F.col("line")).rlike(pattern))
+    if verb is not None:
+        names = F.filter(F.split("name", " +"), lambda x: x != "")
+        v = v.filter(F.exists(names, lambda a: moo.answers(a, F.lit(verb)) | moo.answers(a, F.lit(":" + verb))))
+    lines = code_lines(World(w.objects, w.properties, v, w.waifs), code_only)
+    return lines.filter(F.col("seen").rlike(flags + pattern)).drop("seen")
+
 
+def grep_summary(hits: DataFrame, by: str = "oid") -> DataFrame:
+    """Lines and distinct verbs per object, or by the verbs' owner with ``by="verb_owner"``."""
+    return hits.groupBy(by).agg(F.count("*").alias("n_lines"), F.count_distinct("oid", "verb_index", "verb").alias("n_verbs"))
 
-def _any_line(seen, pattern: str) -> Column:
-    return F.exists("code", lambda x: seen(x).rlike(pattern))
 
+def grep_page(hits: DataFrame, offset: int, size: int) -> DataFrame:
+    """One page of the verbs that have hits, by object and index, with the counts over all pages.
+
+    Columns ``oid, verb_index, verb, n_lines, total_lines, total, next_offset``.
+    """
+    from worldloom.operators.joins import page
 
-def grep_summary(hits: DataFrame) -> DataFrame:
-    """Lines and distinct verbs per object."""
-    return hits.groupBy("oid").agg(F.count("*").alias("n_lines"), F.count_distinct("verb_index", "verb").alias("n_verbs"))
+    per = hits.groupBy("oid", "verb_index", "verb").agg(F.count("*").alias("n_lines"))
+    lines = per.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("total_lines"))
+    return page(per.crossJoin(F.broadcast(lines)), ["oid", "verb_index", "verb"], offset, size)
 
 
 def grep_context(w: World, pattern: str, n: int) -> DataFrame:
     """Matching lines with ``n`` lines around, and whether a line opens a new block."""
     by = W.partitionBy("oid", "verb").orderBy("line_no")
-    near = code_lines(w).withColumn("hit", F.col("line").rlike(pattern)).withColumn("near", F.max(F.col("hit").cast("int")).over(by.rowsBetween(-n, n)))
+    near = code_lines(w).drop("seen").withColumn("hit", F.col("line").rlike(pattern)).withColumn("near", F.max(F.col("hit").cast("int")).over(by.rowsBetween(-n, n)))
     kept = near.filter("near = 1").withColumn("opens", F.coalesce(F.col("line_no") - F.lag("line_no").over(by) > 1, F.lit(True)))
     return kept.select("oid", "verb", "line_no", "line", F.col("hit").cast("int").alias("hit"), F.col("opens").cast("int").alias("opens"))
 
@@ -163,8 +180,7 @@ def references(w: World, targets: DataFrame | None = None) -> DataFrame:
 
 def code_mentions(w: World, code_only: bool = False) -> DataFrame:
     """``#N`` in code, existing objects only: ``target, oid, verb, line_no`` once per line."""
-    text = moo.masked("line") if code_only else F.col("line")
-    hit = code_lines(w).select("oid", "verb", "line_no", F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
+    hit = code_lines(w, code_only).select("oid", "verb", "line_no", F.explode(F.regexp_extract_all("seen", F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
     return hit.select(F.col("n").try_cast("bigint").alias("target"), "oid", "verb", "line_no").distinct().join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
 
 
@@ -219,9 +235,9 @@ def same_values(w: World) -> DataFrame:
     return v.groupBy("name", "h").agg(F.count("*").alias("n"), F.min("oid").alias("first_oid")).filter("n > 1").select("name", "n", "first_oid")
 
 
-def dollar_names(w: World) -> DataFrame:
-    """Objects named by #0: ``target, dollar_name``; the first such property wins."""
-    p = w.properties.filter((F.col("oid") == 0) & (tag() == "obj")).select(scalar().try_cast("bigint").alias("target"), "slot", "name")
+def dollar_names(w: World, of: int = 0) -> DataFrame:
+    """Objects named by the properties of #0, or of another object: ``target, dollar_name``; the first such property wins."""
+    p = w.properties.filter((F.col("oid") == of) & (tag() == "obj")).select(scalar().try_cast("bigint").alias("target"), "slot", "name")
     return p.groupBy("target").agg(F.min(F.struct("slot", "name")).alias("s")).select("target", F.col("s.name").alias("dollar_name"))
 
 
@@ -242,7 +258,7 @@ def players(w: World) -> DataFrame:
 
 def string_mentions(w: World) -> DataFrame:
     """``#N`` of existing objects in stored strings: ``target, holder_id, member, n``."""
-    s = value_nodes(w).filter("tag = 'string'").select("holder_id", "member", F.explode(F.regexp_extract_all("scalar", F.lit(r"#(\d{1,18})"), F.lit(1))).alias("n"))
+    s = value_nodes(w).filter("tag = 'string'").select("holder_id", "member", F.explode(F.regexp_extract_all("scalar", F.lit(r"#(\d+)"), F.lit(1))).alias("n"))
     hit = s.select(F.col("n").try_cast("bigint").alias("target"), "holder_id", "member").join(w.objects.select(F.col("id").alias("target")), "target", "left_semi")
     return hit.groupBy("target", "holder_id", "member").agg(F.count("*").alias("n"))
 

@@ -62,6 +62,7 @@ def dense_numbers(df: DataFrame, key: str, name: str = "number", start: int = 0)
 
 
 def page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
-    """One page of the ordered rows with the total number of rows."""
+    """One page of the ordered rows with the total number of rows and where the next page starts, null on the last."""
     total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(total))
+    rest = F.when(F.col("total") > offset + size, offset + size)
+    return df.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(total)).withColumn("next_offset", rest)

@@ -415,6 +415,33 @@ def flatten_batch(texts: pa.Array, top: str, linked: bool = False, piece_bytes:
         yield piece(np.asarray(rows), paths, parents)
 
 
+def scalar_spans(texts: pa.Array, tag: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the contents of all nodes of a kind stand: text number and byte span in that text, and the bytes of all texts.
+
+    Texts that are not whole JSON have none.  A quoted content's span includes its quotes.
+    """
+    buf, starts = one_buffer(texts)
+    ix = Index(buf, starts)
+    none = np.zeros(0, np.int64)
+    if not len(ix.pos):
+        return none, none, none, buf
+    after = np.flatnonzero(np.r_[False, ix.kind[:-1] == _COLON] & ~ix.bad[ix.text])
+    kinds = after[ix.equals(after - 2, b"type")]
+    nodes = ix.parent[kinds[ix.equals(kinds, tag.encode())]]
+    held = np.zeros(len(ix.pos), bool)
+    held[nodes] = True
+    values = after[ix.equals(after - 2, b"value")]
+    values = values[((ix.kind[values] == _QUOTE) | (ix.kind[values] == _OTHER)) & held[ix.parent[values]]]
+    begin = ix.pos[values]
+    # A bare content ends where white space or the next mark begins.
+    white = np.flatnonzero((buf == 32) | (buf == 9) | (buf == 10) | (buf == 13))
+    blank = np.r_[white, len(buf)][np.searchsorted(white, begin)]
+    follow = np.r_[ix.pos, len(buf)][values + 1]
+    stop = np.where(ix.kind[values] == _QUOTE, ix.end_quote[values] + 1, np.minimum(blank, follow))
+    text = ix.text[values]
+    return text, begin - starts[text], stop - starts[text], buf
+
+
 def _flatten(top: str, linked: bool, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

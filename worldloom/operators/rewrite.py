@@ -10,10 +10,10 @@ from worldloom.operators.joins import dense_numbers
 from worldloom.session import materialize
 
 
-def renumbering(w: World, gone: DataFrame) -> DataFrame:
-    """``id, new_id``: surviving objects numbered densely in order of their numbers."""
+def renumbering(w: World, gone: DataFrame, keep_numbers: bool = False) -> DataFrame:
+    """``id, new_id``: surviving objects numbered densely in order of their numbers, or as they were with ``keep_numbers``."""
     stay = w.objects.filter("id >= 0").select("id").join(gone.select("id"), "id", "left_anti")
-    return dense_numbers(stay, "id", "new_id")
+    return stay.withColumn("new_id", F.col("id")) if keep_numbers else dense_numbers(stay, "id", "new_id")
 
 
 def dead_base(w: World) -> DataFrame:
@@ -27,24 +27,80 @@ def _mapped(old: Column, new: Column, base: Column) -> Column:
     return F.when(old.isNull() | (old < 0), old).otherwise(F.coalesce(new, base - old))
 
 
-def renumbered(w: World, gone: DataFrame, owner_to: int | None = None) -> DataFrame:
-    """Objects that stay, with every number rewritten: ``id, name, owner, location, parents``.
+def _owner(d: DataFrame, gone: DataFrame, owner_to: int | None) -> DataFrame:
+    """What removed owners held goes to ``owner_to``, if given."""
+    if owner_to is None:
+        return d
+    lost = gone.select(F.col("id").alias("owner"), F.lit(1).alias("__lost")).distinct()
+    return d.join(lost, "owner", "left").withColumn("owner", F.when(F.col("__lost") == 1, F.lit(owner_to).cast("bigint")).otherwise(F.col("owner"))).drop("__lost")
 
-    ``owner_to`` takes over what removed owners held.  List order and repeats are kept.
+
+def _renamed(d: DataFrame, ids: DataFrame, base: DataFrame, column: str) -> DataFrame:
+    j = d.join(ids.withColumnsRenamed({"id": column, "new_id": "__new"}), column, "left").crossJoin(F.broadcast(base))
+    return j.withColumn(column, _mapped(F.col(column), F.col("__new"), F.col("base"))).drop("__new", "base")
+
+
+def renumbered(w: World, gone: DataFrame, owner_to: int | None = None, keep_numbers: bool = False) -> DataFrame:
+    """Objects that stay, with every number rewritten: ``id, name, owner, location, parents, children, contents``.
+
+    ``owner_to`` takes over what removed owners held.  List order and repeats are kept; removed objects leave the
+    children and contents, in parents they become dead references.
     """
-    ids = materialize(renumbering(w, gone), "renumbering")
+    ids = materialize(renumbering(w, gone, keep_numbers), "renumbering")
     base = dead_base(w)
-    lost = gone.select(F.col("id").alias("owner"), F.lit(1).alias("lost"))
-    o = w.objects.join(ids, "id").select("id", "new_id", "name", "owner", "location", "parents")
-    o = o.join(lost, "owner", "left").withColumn("owner", F.when(F.col("lost") == 1, F.lit(owner_to).cast("bigint") if owner_to is not None else F.col("owner")).otherwise(F.col("owner"))).drop("lost")
+    o = _owner(w.objects, gone, owner_to).join(ids, "id")
     for c in ("owner", "location"):
-        o = o.join(ids.withColumnsRenamed({"id": c, "new_id": f"{c}_new"}), c, "left")
-    o = o.crossJoin(F.broadcast(base))
-    links = o.select("id", "base", F.posexplode("parents").alias("i", "p")).join(ids.withColumnsRenamed({"id": "p", "new_id": "p_new"}), "p", "left")
-    lists = links.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", _mapped(F.col("p"), F.col("p_new"), F.col("base")).alias("n")))).alias("ps"))
-    out = o.join(lists.select("id", F.col("ps.n").alias("listed")), "id", "left")
-    parents = F.when(F.col("parents").isNull(), None).otherwise(F.coalesce("listed", F.array().cast("array<bigint>")))
-    return out.select(F.col("new_id").alias("id"), "name", *[_mapped(F.col(c), F.col(f"{c}_new"), F.col("base")).alias(c) for c in ("owner", "location")], parents.alias("parents"))
+        o = _renamed(o, ids, base, c)
+    lost = gone.select(F.col("id").alias("n"), F.lit(1).alias("lost")).distinct()
+    for c in ("parents", "children", "contents"):
+        links = w.objects.select("id", F.posexplode(c).alias("i", "n"))
+        if c != "parents":
+            links = links.join(lost, "n", "left").filter("lost IS NULL").drop("lost")
+        lists = _renamed(links, ids, base, "n").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("__l"))
+        o = o.join(lists, "id", "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.col("__l.n"), F.array().cast("array<bigint>")))).drop("__l")
+    return o.select(F.col("new_id").alias("id"), "name", "owner", "location", "parents", "children", "contents")
+
+
+def renumbered_members(w: World, gone: DataFrame, kind: str = "properties", owner_to: int | None = None, keep_numbers: bool = False) -> DataFrame:
+    """Properties or verbs of the objects that stay under their new numbers, owners rewritten: ``oid, name, owner``."""
+    ids = materialize(renumbering(w, gone, keep_numbers), "renumbering")
+    d = _owner(getattr(w, kind).select("oid", "name", "owner"), gone, owner_to)
+    d = d.join(ids.withColumnRenamed("id", "oid"), "oid").drop("oid").withColumnRenamed("new_id", "oid")
+    return _renamed(d, ids, dead_base(w), "owner").select("oid", "name", "owner")
+
+
+def renumbered_values(w: World, ids: DataFrame, base: int) -> DataFrame:
+    """``oid, name, value_json`` with every object number rewritten by ``ids(id, new_id)``; unknown ones become ``base - N``.
+
+    Negative numbers stay, and so does the spelling of all else.  A value gets only the map of the numbers it holds.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from worldloom.operators.inspect import references
+    from worldloom.operators.nested import scalar_spans
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2)
+            text, begin, stop, _ = scalar_spans(texts, "obj")
+            out = texts.to_pylist()
+            known = [dict(x) if x is not None else {} for x in b.column(3).to_pylist()]
+            for i in np.unique(text).tolist():
+                raw = out[i].encode()
+                for a, z in sorted(zip(begin[text == i].tolist(), stop[text == i].tolist()), reverse=True):
+                    n = int(raw[a:z].strip(b'"'))
+                    if n >= 0:
+                        new = str(known[i].get(n, base - n)).encode()
+                        raw = raw[:a] + (b'"' + new + b'"' if raw[a : a + 1] == b'"' else new) + raw[z:]
+                out[i] = raw.decode()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["oid", "name", "value_json"])
+
+    held = references(w).select(F.col("holder_id").alias("oid"), F.col("member").alias("name"), F.col("target").alias("id")).distinct()
+    maps = held.join(ids.select("id", "new_id"), "id").groupBy("oid", "name").agg(F.map_from_entries(F.collect_list(F.struct("id", "new_id"))).alias("known"))
+    return w.properties.select("oid", "name", "value_json").join(maps, ["oid", "name"], "left").mapInArrow(run, "oid bigint, name string, value_json string")
 
 
 def redacted(events: DataFrame, protected: DataFrame, key: str = "oid") -> DataFrame:
@@ -82,7 +138,7 @@ def renumbered_code(w: World, ids: DataFrame, base: int) -> DataFrame:
     from worldloom.functions import moo
     from worldloom.operators.inspect import code_lines
 
-    pattern = r'"(?:\\.|[^"\\])*(?:"|\\?$)|(?<![\w#$-])#(\d+)(?!\d)'
+    pattern = r'"(?:[^"\\]|\\[\s\S])*(?:"|\\?\Z)|(?<![\w#$-])#(\d+)(?!\d)'
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -96,10 +152,12 @@ def renumbered_code(w: World, ids: DataFrame, base: int) -> DataFrame:
                 def one(m: re.Match, known: dict = known) -> str:
                     return m.group() if m.group(1) is None else f"#{known.get(int(m.group(1)), base - int(m.group(1)))}"
 
-                codes.append([None if x is None else number.sub(one, x) for x in code])
+                # Strings may run over several lines, so the program is rewritten as one text.
+                lines = number.sub(one, "\n".join(x or "" for x in code)).split("\n") if len(code) else []
+                codes.append([None if was is None else x for was, x in zip(code, lines)])
             yield pd.DataFrame({"oid": b["oid"], "name": b["name"], "code": codes})
 
-    seen = code_lines(w).select("oid", F.col("verb").alias("name"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n")).select("oid", "name", F.col("n").try_cast("bigint").alias("id")).distinct()
+    seen = code_lines(w, True).select("oid", F.col("verb").alias("name"), F.explode(F.regexp_extract_all("seen", F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n")).select("oid", "name", F.col("n").try_cast("bigint").alias("id")).distinct()
     pairs = seen.join(ids.select("id", "new_id"), "id").groupBy("oid", "name").agg(F.collect_list(F.struct("id", "new_id")).alias("pairs"))
     v = w.verbs.filter("code IS NOT NULL").select("oid", "name", "code").join(pairs, ["oid", "name"], "left")
     return v.mapInPandas(run, "oid bigint, name string, code array<string>")

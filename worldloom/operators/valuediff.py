@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worldloom.functions.values import close, double_of_bits, value_hash
 from worldloom.operators.inspect import World, value_nodes
+from worldloom.session import materialize
 
 
 def changed_only(old: World, new: World) -> tuple[World, World]:
@@ -17,13 +18,40 @@ def changed_only(old: World, new: World) -> tuple[World, World]:
     return cut(old), cut(new)
 
 
+def _by_key(nodes: DataFrame) -> DataFrame:
+    """Nodes with their map steps named by key, ``map:tag:content:value``, in place of the entry's position.
+
+    Keys are told apart as the server does, strings in any case.  Entries whose key is no scalar keep their position.
+    """
+    key = F.concat_ws(":", "tag", F.lower("scalar"))
+    keys = nodes.filter(F.col("path").rlike(":key$") & F.col("scalar").isNotNull()).select("oid", "name", F.regexp_replace("path", ":key$", "").alias("entry"), key.alias("key"))
+    # One value's keys; a value fits where its own text fitted.
+    named = keys.groupBy("oid", "name").agg(F.map_from_entries(F.collect_list(F.struct("entry", "key"))).alias("keys"))
+    rest = nodes.filter(~F.col("path").rlike(r"(^|/)map:\d+:key(/|$)")).join(named, ["oid", "name"], "left")
+
+    def step(a: Column, s: Column) -> Column:
+        at = F.concat_ws("/", F.when(a["was"] != "", a["was"]), s)
+        entry = F.concat_ws("/", F.when(a["was"] != "", a["was"]), F.regexp_replace(s, ":value$", ""))
+        known = F.when(F.startswith(s, F.lit("map:")), F.try_element_at(F.col("keys"), entry))
+        word = F.when(known.isNotNull(), F.concat(F.lit("map:"), known, F.lit(":value"))).otherwise(s)
+        return F.struct(at.alias("was"), F.concat_ws("/", F.when(a["now"] != "", a["now"]), word).alias("now"))
+
+    walked = F.aggregate(F.split("path", "/"), F.struct(F.lit("").alias("was"), F.lit("").alias("now")), step)["now"]
+    return rest.withColumn("path", F.when(F.col("keys").isNull() | (F.col("path") == ""), F.col("path")).otherwise(walked)).drop("keys")
+
+
 def node_diffs(old: World, new: World, tolerant: bool = False) -> DataFrame:
     """``oid, name, path, kind``: changed, type_mismatch, missing or extra nodes of properties in both dumps.
 
-    Lists are compared by position.  Exactly by default; ``tolerant`` takes floats within 1e-9 (relative) as equal.
+    Lists are compared by position, maps by key, whatever the order of their entries.  Exactly by default;
+    ``tolerant`` takes floats within 1e-9 (relative) as equal.
     """
     a, b = changed_only(old, new)
-    cols = lambda w, s: value_nodes(w).select(F.col("holder_id").alias("oid"), F.col("member").alias("name"), "path", F.struct("tag", "scalar").alias(s))
+
+    def cols(w: World, side: str) -> DataFrame:
+        nodes = value_nodes(w).select(F.col("holder_id").alias("oid"), F.col("member").alias("name"), "path", "tag", "scalar")
+        return _by_key(materialize(nodes, "value-nodes")).select("oid", "name", "path", F.struct("tag", "scalar").alias(side))
+
     j = cols(a, "a").join(cols(b, "b"), ["oid", "name", "path"], "full")
     floats = (F.col("a.tag") == "float") & (F.col("b.tag") == "float")
     near = F.coalesce(floats & close(double_of_bits("a.scalar"), double_of_bits("b.scalar")), F.lit(False)) if tolerant else F.lit(False)
@@ -31,6 +59,14 @@ def node_diffs(old: World, new: World, tolerant: bool = False) -> DataFrame:
     return j.select("oid", "name", "path", kind.alias("kind")).filter("kind IS NOT NULL")
 
 
+def summary(diffs: DataFrame, kinds: list[str] | None = None, path_prefix: str = "") -> DataFrame:
+    """``kind, n_diffs, n_properties`` of node differences, of some kinds or below some path only."""
+    d = diffs.filter(F.startswith("path", F.lit(path_prefix)))
+    if kinds is not None:
+        d = d.filter(F.col("kind").isin(kinds))
+    return d.groupBy("kind").agg(F.count("*").alias("n_diffs"), F.count_distinct("oid", "name").alias("n_properties"))
+
+
 def _opcodes(batches):
     """Edit steps between two lists of spelled scalars: ``op``, half-open spans, from 0."""
     from difflib import SequenceMatcher

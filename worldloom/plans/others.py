@@ -11,7 +11,8 @@ from worldloom.operators import history, joins, mail, mailtree, rewrite, waifs
 from worldloom.operators import inspect as I
 from worldloom.plans.problems import _CANON, _LIVE, _LIVE_ONLY, _latest_sql
 from worldloom.plans.relations import _EVENTS, O1
-from worldloom.plans.world import O, P, V
+from worldloom.plans.rewrites import _nodes
+from worldloom.plans.world import NODES, O, P, V
 from worldloom.sources.tables import live_dumps, table
 
 QUERIES: dict = {}
@@ -72,11 +73,35 @@ def _(spark, sf):
     return waifs.sparse_share(I.open_world(spark, sf))
 
 
-@query("waif_holders")
+_IN_WAIFS = "sw AS (SELECT waif_index AS oid, slot::VARCHAR AS name, v::VARCHAR AS value_json FROM s)"
+
+
+@query(
+    "waif_holders",
+    f"""WITH RECURSIVE {P}, {NODES}, {WAIFS}, {_SLOTS}, {_IN_WAIFS}, {_nodes("sw", "nw", "tw")}, inside AS (SELECT DISTINCT holder_id AS src, scalar::BIGINT AS dst FROM tw WHERE tag = 'waif'),
+  c AS (SELECT DISTINCT holder_id, scalar::BIGINT AS waif_index FROM t WHERE tag = 'waif' UNION SELECT c.holder_id, i.dst FROM c JOIN inside i ON i.src = c.waif_index) SELECT holder_id, waif_index FROM c""",
+)
 def _(spark, sf):
     return waifs.holders(I.open_world(spark, sf))
 
 
+_VALUE_TRUE = "CASE json_extract_string({0}, '$.type') WHEN 'int' THEN NOT regexp_matches(json_extract_string({0}, '$.value'), '^[-+]?0+$') WHEN 'float' THEN NOT regexp_matches(json_extract_string({0}, '$.bits'), '^[08]0{{15}}$') WHEN 'string' THEN length(json_extract_string({0}, '$.value')) > 0 WHEN 'bool' THEN json_extract_string({0}, '$.value') = 'true' WHEN 'list' THEN json_array_length({0}, '$.items') > 0 WHEN 'map' THEN json_array_length({0}, '$.entries') > 0 ELSE false END"
+
+
+@query(
+    "waif_groups",
+    f"""WITH RECURSIVE {O}, {WAIFS}, {_SLOTS}, up AS (SELECT id, unnest(parents) AS p FROM o), k AS (SELECT id FROM o WHERE id = 1 UNION SELECT up.id FROM k JOIN up ON up.p = k.id), every AS (SELECT DISTINCT waif_index, waif_class FROM w),
+  zero AS (SELECT waif_index, waif_class, min(v::VARCHAR)::JSON AS v FROM s WHERE slot = 0 GROUP BY 1, 2), four AS (SELECT waif_index, waif_class, min(v::VARCHAR)::JSON AS v FROM s WHERE slot = 25 GROUP BY 1, 2),
+  hit AS (SELECT waif_index, waif_class FROM four WHERE CASE WHEN json_extract_string(v, '$.type') = 'string' THEN regexp_matches(json_extract_string(v, '$.value'), 'e') ELSE len(list_filter(json_extract(v, '$.items[*]'), lambda x: json_extract_string(x, '$.type') = 'string' AND regexp_matches(json_extract_string(x, '$.value'), 'e'))) > 0 END)
+SELECT waif_class, CASE WHEN z.v IS NULL THEN 'none' WHEN {_VALUE_TRUE.format("z.v")} THEN 'true' ELSE 'false' END AS by_0, count(*) AS n_waifs FROM every LEFT JOIN zero z USING (waif_index, waif_class)
+WHERE waif_class IN (SELECT id FROM k) AND (waif_index, waif_class) NOT IN (SELECT (waif_index, waif_class) FROM hit) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Waifs below the root class without an ``e`` in slot 25, by class and truth of slot 0."""
+    w = I.open_world(spark, sf)
+    return waifs.grouped(w, w.objects.filter("id = 1").select("id"), [(0, True)], [(25, "e", True)])
+
+
 @query("chain_pairs", "SELECT old_id, new_id, hours FROM (SELECT lag(snapshot_id) OVER w AS old_id, snapshot_id AS new_id, (epoch(taken_at - lag(taken_at) OVER w) / 3600)::BIGINT AS hours FROM moo_dumps WHERE world = 'live' WINDOW w AS (ORDER BY taken_at, snapshot_id)) WHERE old_id IS NOT NULL")
 def _(spark, sf):
     return history.chain_pairs(table(spark, sf, "moo_dumps"))
@@ -90,12 +115,12 @@ def _(spark, sf):
 
 @query(
     "presence_transitions",
-    f"""WITH live AS ({_LIVE}), h AS (SELECT p.oid, p.name, live.i FROM {_latest_sql("moo_properties", "snapshot_id, oid, name")} p JOIN live USING (snapshot_id) WHERE regexp_matches(regexp_replace(value_json, '\\s+', '', 'g'), '\\{{("type":"obj","value":"1"|"value":"1","type":"obj")\\}}'))
+    f"""WITH live AS ({_LIVE}), h AS (SELECT p.oid, p.name, live.i FROM {_latest_sql("moo_properties", "snapshot_id, oid, name")} p JOIN live USING (snapshot_id) WHERE regexp_matches(regexp_replace(value_json, '\\s+', '', 'g'), '\\{{("type":"obj","value":"-1"|"value":"-1","type":"obj")\\}}'))
 SELECT h.oid, h.name, live.snapshot_id, 'appeared' AS transition FROM h JOIN live USING (i) WHERE h.i > 1 AND NOT EXISTS (SELECT 1 FROM h g WHERE g.oid = h.oid AND g.name = h.name AND g.i = h.i - 1)
 UNION ALL SELECT h.oid, h.name, live.snapshot_id, 'disappeared' FROM h JOIN live ON live.i = h.i + 1 WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.oid = h.oid AND g.name = h.name AND g.i = h.i + 1)""",
 )
 def _(spark, sf):
-    return history.presence(table(spark, sf, "moo_properties"), live_dumps(table(spark, sf, "moo_dumps")), 1)
+    return history.presence(table(spark, sf, "moo_properties"), live_dumps(table(spark, sf, "moo_dumps")), -1)
 
 
 _GONE = "g AS (SELECT id FROM o WHERE contains(lower(name), 'velvet')), nn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM o WHERE id >= 0 AND id NOT IN (SELECT id FROM g)), b AS (SELECT least(-1000000, min(least(id, owner, location)) - 1) AS base FROM o)"
@@ -115,16 +140,40 @@ def _map_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NULL OR {x} < 0 THEN {x} ELSE coalesce((SELECT new_id FROM nn WHERE nn.id = {x}), (SELECT base FROM b) - {x}) END"
 
 
+def _list_sql(field: str) -> str:
+    keep = "" if field == "parents" else "WHERE p IS NULL OR p NOT IN (SELECT id FROM g)"
+    return f"""{field}_l AS (SELECT oid, list(CASE WHEN p IS NULL OR p < 0 THEN p ELSE coalesce(nn.new_id, (SELECT base FROM b) - p) END ORDER BY i) AS l FROM (SELECT * FROM (SELECT oid, unnest({field}) AS p, unnest(range(1, len({field}) + 1)) AS i FROM r) {keep}) x LEFT JOIN nn ON nn.id = x.p GROUP BY oid)"""
+
+
+_LISTS = ("parents", "children", "contents")
+
+
 @query(
     "renumbered_objects",
-    f"""WITH {O}, {_GONE}, r AS (SELECT nn.new_id AS id, name, CASE WHEN owner IN (SELECT id FROM g) THEN 2 ELSE owner END AS ow, location AS lo, parents, o.id AS oid FROM o JOIN nn ON nn.id = o.id),
-  ps AS (SELECT oid, list(CASE WHEN p IS NULL OR p < 0 THEN p ELSE coalesce(nn.new_id, (SELECT base FROM b) - p) END ORDER BY i) AS l FROM (SELECT oid, unnest(parents) AS p, unnest(range(1, len(parents) + 1)) AS i FROM r) x LEFT JOIN nn ON nn.id = x.p GROUP BY oid)
-SELECT id, name, {_map_sql("ow")} AS owner, {_map_sql("lo")} AS location, array_to_string(coalesce(ps.l, CASE WHEN parents IS NULL THEN NULL ELSE [] END), ',') AS parents FROM r LEFT JOIN ps ON ps.oid = r.oid""",
+    f"""WITH {O}, {_GONE}, r AS (SELECT nn.new_id AS id, name, CASE WHEN owner IN (SELECT id FROM g) THEN 2 ELSE owner END AS ow, location AS lo, parents, children, contents, o.id AS oid FROM o JOIN nn ON nn.id = o.id), {", ".join(map(_list_sql, _LISTS))}
+SELECT id, name, {_map_sql("ow")} AS owner, {_map_sql("lo")} AS location, {", ".join(f"array_to_string(coalesce({f}_l.l, CASE WHEN {f} IS NULL THEN NULL ELSE [] END), ',') AS {f}" for f in _LISTS)} FROM r {" ".join(f"LEFT JOIN {f}_l ON {f}_l.oid = r.oid" for f in _LISTS)}""",
 )
 def _(spark, sf):
     w = I.open_world(spark, sf)
     r = rewrite.renumbered(w, _velvet(w), owner_to=2)
-    return r.withColumn("parents", F.when(F.col("parents").isNotNull(), F.concat_ws(",", F.col("parents").cast("array<string>"))))
+    return r.withColumns({c: F.when(F.col(c).isNotNull(), F.concat_ws(",", F.col(c).cast("array<string>"))) for c in _LISTS})
+
+
+@query("renumbered_owners", f"""WITH {O}, {V}, {P}, {_GONE} SELECT 'verb' AS kind, nn.new_id AS oid, name, {_map_sql("v.owner")} AS owner FROM v JOIN nn ON nn.id = v.oid UNION ALL SELECT 'property', nn.new_id, name, {_map_sql("p.owner")} FROM p JOIN nn ON nn.id = p.oid""")
+def _(spark, sf):
+    w = I.open_world(spark, sf)
+    part = lambda kind, table_: rewrite.renumbered_members(w, _velvet(w), table_).select(F.lit(kind).alias("kind"), "oid", "name", "owner")
+    return part("verb", "verbs").unionByName(part("property", "properties"))
+
+
+@query("renumbered_values", f"""WITH RECURSIVE {O}, {P}, {_GONE}, {NODES} SELECT holder_id AS oid, member AS name, path, CASE WHEN x < 0 THEN x ELSE coalesce(nn.new_id, -1000000 - x) END AS number FROM (SELECT holder_id, member, path, scalar::BIGINT AS x FROM t WHERE tag = 'obj') LEFT JOIN nn ON nn.id = x""")
+def _(spark, sf):
+    """Object numbers in the rewritten values, read from the rewritten texts."""
+    from dataclasses import replace
+
+    w = I.open_world(spark, sf)
+    new = rewrite.renumbered_values(w, rewrite.renumbering(w, _velvet(w)), -1_000_000)
+    return I.references(replace(w, properties=new)).select(F.col("holder_id").alias("oid"), F.col("member").alias("name"), "path", F.col("target").alias("number"))
 
 
 @query(
@@ -151,15 +200,16 @@ def _(spark, sf):
     return joins.as_of(e, o, ["user_id"], "ts", "o_orderdate", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
-@query("page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+@query("grep_page", f"""WITH {V}, h AS (SELECT oid, verb_index, name AS verb, len(list_filter(code, lambda x: regexp_matches(x, 'this'))) AS n_lines FROM v WHERE len(list_filter(code, lambda x: regexp_matches(x, 'this'))) > 0), t AS (SELECT sum(n_lines)::BIGINT AS total_lines, count(*) AS total FROM h)
+SELECT oid, verb_index, verb, n_lines, total_lines, total, CASE WHEN total > 30 THEN 30 END AS next_offset FROM h, t ORDER BY oid, verb_index, verb LIMIT 20 OFFSET 10""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    return joins.page(o, [F.desc("o_totalprice"), "o_orderkey"], 40, 20)
+    """The second page of the verbs that mention ``this`` (a page is the feature)."""
+    return I.grep_page(I.grep(I.open_world(spark, sf), "this"), 10, 20)
 
 
-@query("set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def _(spark, sf):
-    big = table(spark, sf, "lineitem").filter("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    big = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").select("p_partkey").subtract(big)
 
 

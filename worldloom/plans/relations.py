@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from worldloom.functions import moo
@@ -10,7 +12,7 @@ from worldloom.operators import graph as G
 from worldloom.operators import inherit as H
 from worldloom.operators import inspect as I
 from worldloom.plans.problems import _CANON, _FIRST_PARENT, _latest_sql
-from worldloom.plans.world import ALIASES, LINES, NODES, O, P, V, _answers_sql
+from worldloom.plans.world import ALIASES, MASKED, NODES, O, P, V, _answers_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,22 +55,26 @@ def _(w):
     return H.ancestors(w)
 
 
-@query(
-    "verb_dispatch",
-    f"""WITH RECURSIVE {O}, {V}, {ALIASES}, {ANCESTORS}, m AS (SELECT oid, min_by(verb, (verb_index, verb)) AS verb FROM a WHERE {_answers_sql("alias", "give")} OR {_answers_sql("alias", ":give")} GROUP BY oid)
-SELECT id, min_by(oid, rank) AS oid, min_by(verb, rank) AS verb FROM ranked JOIN m ON ancestor_id = oid GROUP BY id""",
-)
+def _first_answer(word: str) -> str:
+    return f"""(SELECT id, min_by(oid, rank) AS oid, min_by(verb, rank) AS verb FROM ranked JOIN (SELECT oid, min_by(verb, (verb_index, verb)) AS verb FROM a WHERE {_answers_sql("alias", word)} GROUP BY oid) ON ancestor_id = oid GROUP BY id)"""
+
+
+@query("verb_dispatch", f"""WITH RECURSIVE {O}, {V}, {ALIASES}, {ANCESTORS}, x AS {_first_answer("give")}, y AS {_first_answer(":give")}
+SELECT * FROM x UNION ALL SELECT * FROM y WHERE id NOT IN (SELECT id FROM x)""")
 def _(w):
     return H.dispatch(w, "give")
 
 
-@query(
-    "effective_values",
-    f"""WITH RECURSIVE {_FIRST_PARENT}, {P}, s AS (SELECT oid, name, value_json, coalesce(json_extract_string(value_json, '$.type') = 'clear', false) AS clear FROM p),
-  h AS (SELECT c.oid, c.name, s.oid AS value_from, {_CANON.replace("value_json", "s.value_json")} AS canon, w.depth + 1 - w.pos AS steps FROM s c JOIN (SELECT id, depth, unnest(path) AS at, unnest(range(1, depth + 2)) AS pos FROM walk) w ON w.id = c.oid AND w.pos <= w.depth
-    JOIN s ON s.oid = w.at AND s.name = c.name WHERE c.clear AND NOT s.clear)
-SELECT c.oid, c.name, min_by(value_from, steps) AS value_from, min(steps)::INT AS steps FROM s c LEFT JOIN h ON h.oid = c.oid AND h.name = c.name WHERE c.clear GROUP BY c.oid, c.name""",
-)
+#: Cleared slots and the slot each takes its value from: the first parent's of that name, in any case.
+SHOWN = f"""s AS (SELECT oid, name, lower(name) AS key, slot, coalesce(json_extract_string(value_json, '$.type') = 'clear', false) AS clear, value_json FROM p),
+  links3 AS (SELECT c, pos, p FROM (SELECT id AS c, unnest(parents) AS p, unnest(range(0, len(parents))) AS pos FROM o) WHERE p IN (SELECT id FROM o)),
+  hold AS (SELECT oid, key, min_by(name, (slot, name)) AS name FROM s GROUP BY oid, key),
+  nxt AS (SELECT c.oid, c.name, min_by(h.oid, l.pos) AS to_oid, min_by(h.name, l.pos) AS to_name FROM s c JOIN links3 l ON l.c = c.oid JOIN hold h ON h.oid = l.p AND h.key = c.key WHERE c.clear GROUP BY c.oid, c.name),
+  look AS (SELECT oid, name, to_oid, to_name, 1 AS steps FROM nxt UNION ALL SELECT w.oid, w.name, n.to_oid, n.to_name, w.steps + 1 FROM look w JOIN nxt n ON n.oid = w.to_oid AND n.name = w.to_name WHERE w.steps < 500),
+  shown AS (SELECT c.oid, c.name, e.to_oid AS value_from, e.value_json, e.steps FROM s c LEFT JOIN (SELECT look.oid, look.name, to_oid, steps, d.value_json FROM look JOIN s d ON d.oid = to_oid AND d.name = to_name AND NOT d.clear) e ON e.oid = c.oid AND e.name = c.name WHERE c.clear)"""
+
+
+@query("effective_values", f"WITH RECURSIVE {O}, {P}, {SHOWN} SELECT oid, name, value_from, steps::INT AS steps FROM shown")
 def _(w):
     return H.effective_values(w).drop("value_json")
 
@@ -128,7 +134,14 @@ def _(w):
     return G.shortest_paths(e, w.objects.filter(moo.has_flag("flags", "wizard")).select("id"), 2)
 
 
-@query("tree_summary", f"WITH {O} SELECT id, count(*) AS n_links, count(DISTINCT d) FILTER (d IN (SELECT id FROM o)) AS n_direct, count(*) FILTER (d NOT IN (SELECT id FROM o)) AS n_missing FROM (SELECT id, unnest(children) AS d FROM o) WHERE d IS NOT NULL GROUP BY id")
+@query(
+    "tree_summary",
+    f"""WITH RECURSIVE {O}, k AS (SELECT src, dst, dst IN (SELECT id FROM o) AS there FROM (SELECT id AS src, unnest(children) AS dst FROM o) WHERE dst IS NOT NULL), kk AS (SELECT DISTINCT src, dst FROM k WHERE there),
+  b AS (SELECT id AS root, id, 0 AS depth, [id] AS seen FROM o UNION ALL SELECT b.root, kk.dst, b.depth + 1, list_append(b.seen, kk.dst) FROM b JOIN kk ON kk.src = b.id WHERE NOT list_contains(b.seen, kk.dst)),
+  m AS (SELECT root, id, min(depth) AS depth FROM b GROUP BY root, id), per AS (SELECT src, count(*) FILTER (there) AS r, count(*) FILTER (NOT there) AS x FROM k GROUP BY src)
+SELECT root, count(*) FILTER (depth = 1) AS n_direct, count(*) FILTER (depth > 0) AS n_descendants, count(*) FILTER (depth > 0 AND r IS NULL) AS n_leaves, max(depth)::INT AS max_depth, coalesce(sum(x), 0)::BIGINT AS n_missing, (coalesce(sum(r), 0) - count(*) FILTER (depth > 0))::BIGINT AS n_repeated
+FROM m LEFT JOIN per ON per.src = m.id GROUP BY root""",
+)
 def _(w):
     return G.tree_summary(w)
 
@@ -165,11 +178,17 @@ def _(w):
 
 @query(
     "removal_plan",
-    f"""WITH RECURSIVE {WORLD}, k AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('child', 'content')), b AS (SELECT id FROM o WHERE contains(lower(name), 'velvet') UNION SELECT k.dst FROM b JOIN k ON k.src = b.id)
-SELECT dst, kind, count(*) AS n FROM e WHERE dst IN (SELECT id FROM b) AND src NOT IN (SELECT id FROM b) GROUP BY dst, kind""",
+    f"""WITH RECURSIVE {WORLD}, made AS (SELECT id, last_move AS made FROM o WHERE last_move IS NOT NULL),
+  k AS (SELECT src, dst, NULL::BIGINT AS dm FROM e WHERE kind = 'child' AND dst IN (SELECT id FROM o) UNION SELECT src, dst, made FROM e JOIN made ON made.id = dst JOIN o ON o.id = dst WHERE e.kind = 'content' AND coalesce(o.flags & 1, 0) = 0),
+  b AS (SELECT o.id, made AS since FROM o LEFT JOIN made ON made.id = o.id WHERE contains(lower(name), 'velvet') UNION SELECT k.dst, b.since FROM b JOIN k ON k.src = b.id WHERE dm IS NULL OR dm >= b.since),
+  i AS (SELECT * FROM e WHERE dst IN (SELECT id FROM b) AND src NOT IN (SELECT id FROM b))
+SELECT CASE WHEN kind IN ('child', 'content') OR (kind = 'property' AND lower(split_part(evidence, ':', 1)) IN ('owned_objects', 'lost_souls')) THEN 'dropped' ELSE 'inbound' END AS effect, dst, kind, count(*) AS n FROM i GROUP BY 1, 2, 3
+UNION ALL SELECT 'stranded', dst, 'location', count(*) FROM i WHERE kind = 'location' GROUP BY dst""",
 )
 def _(w):
-    return G.removal(w, w.objects.filter(F.contains(F.lower("name"), F.lit("velvet"))).select("id"))
+    """The test world keeps no creation times; the last move stands for them."""
+    made = w.objects.filter("last_move IS NOT NULL").select("id", F.col("last_move").alias("made"))
+    return G.removal(w, w.objects.filter(F.contains(F.lower("name"), F.lit("velvet"))).select("id"), True, made)
 
 
 @query("audit_expectations", f"WITH RECURSIVE {WORLD} SELECT id AS source, owner AS target, 'location' AS kind, CASE WHEN (id, owner) IN (SELECT (src, dst) FROM e WHERE kind = 'location') THEN 'present' ELSE 'missing' END AS verdict FROM o WHERE owner IS NOT NULL")
@@ -178,6 +197,17 @@ def _(w):
     return G.audit(G.edges(w), want)
 
 
+@query(
+    "audit_paths",
+    f"""WITH RECURSIVE {O}, k AS (SELECT DISTINCT src, dst FROM (SELECT id AS src, unnest(parents) AS dst FROM o) WHERE dst IS NOT NULL), b AS (SELECT id AS root, id, 0 AS depth FROM o UNION SELECT b.root, k.dst, b.depth + 1 FROM b JOIN k ON k.src = b.id WHERE b.depth < 4), m AS (SELECT root, id, min(depth) AS depth FROM b GROUP BY root, id)
+SELECT o.id AS source, 1::BIGINT AS target, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.root = o.id AND m.id = 1 AND depth <= 3) THEN 'present' WHEN EXISTS (SELECT 1 FROM m WHERE m.root = o.id AND depth = 4) THEN 'unknown' ELSE 'missing' END AS verdict FROM o""",
+)
+def _(w):
+    """Whether each object inherits from #1 within three steps."""
+    up = w.objects.select(F.col("id").alias("src"), F.explode("parents").alias("dst")).filter("dst IS NOT NULL")
+    return G.audit_paths(up, w.objects.select(F.col("id").alias("source"), F.lit(1).cast("bigint").alias("target")), 3)
+
+
 def _field_sql(f: str) -> str:
     lists = f in ("parents", "children", "contents")
     change = f"CASE WHEN list_sort(a.{f}) IS NOT DISTINCT FROM list_sort(b.{f}) THEN 'order_changed' ELSE 'changed' END" if lists else "'changed'"
@@ -198,6 +228,34 @@ def _(a, b):
     return C.diff_footer(C.object_events(a, b))
 
 
+_STATE = "{0} AS (SELECT range AS id, CASE WHEN range IN (SELECT id FROM {1} WHERE NOT coalesce(anon, false)) THEN 'present' WHEN range NOT IN (SELECT id FROM {1}) THEN 'recycled' END AS state FROM range(0, (SELECT max(id) FILTER (NOT coalesce(anon, false)) FROM {1}) + 1))"
+
+
+@query(
+    "lifecycle",
+    f"""WITH {O}, {O1}, {_STATE.format("sa", "o1")}, {_STATE.format("sb", "o")}, j AS (SELECT id AS oid, coalesce(a.state, 'absent') AS old_state, coalesce(b.state, 'absent') AS new_state FROM (SELECT * FROM sa WHERE state IS NOT NULL) a FULL JOIN (SELECT * FROM sb WHERE state IS NOT NULL) b USING (id))
+SELECT *, CASE WHEN 'recycled' IN (old_state, new_state) THEN 'changed' WHEN old_state = 'absent' THEN 'added' ELSE 'removed' END AS change FROM j WHERE old_state <> new_state""",
+    pair=True,
+)
+def _(a, b):
+    return C.lifecycle(a, b)
+
+
+def _affected_sql(p: str, q: str, o: str, other: str, change: str) -> str:
+    return f"""SELECT oid, name, '{change}' AS change, (SELECT count(DISTINCT d) FROM down_{change} x WHERE x.id = f.oid AND d <> f.oid) AS n_affected FROM {p} f WHERE oid IN (SELECT id FROM {o}) AND oid IN (SELECT id FROM {other}) AND NOT EXISTS (SELECT 1 FROM {q} g WHERE g.oid = f.oid AND lower(g.name) = lower(f.name))"""
+
+
+@query(
+    "affected_descendants",
+    f"""WITH RECURSIVE {O}, {O1}, {P}, {P1}, up AS (SELECT id, unnest(parents) AS p FROM o), up1 AS (SELECT id, unnest(parents) AS p FROM o1),
+  down_added AS (SELECT p AS id, id AS d FROM up WHERE p IS NOT NULL UNION SELECT x.id, up.id FROM down_added x JOIN up ON up.p = x.d), down_removed AS (SELECT p AS id, id AS d FROM up1 WHERE p IS NOT NULL UNION SELECT x.id, up1.id FROM down_removed x JOIN up1 ON up1.p = x.d)
+{_affected_sql("p", "p1", "o", "o1", "added")} UNION ALL {_affected_sql("p1", "p", "o1", "o", "removed")}""",
+    pair=True,
+)
+def _(a, b):
+    return C.affected(a, b)
+
+
 @query(
     "verb_pairs",
     f"""WITH {V}, {V1}, k1 AS (SELECT *, row_number() OVER (PARTITION BY oid, name, (perms >> 4) & 15, preps ORDER BY verb_index) AS occ FROM v1), k2 AS (SELECT *, row_number() OVER (PARTITION BY oid, name, (perms >> 4) & 15, preps ORDER BY verb_index) AS occ FROM v)
@@ -220,33 +278,45 @@ def _(a, b):
     return C.added_lines(a, b)
 
 
+def _identity_sql(n: str, o: str, p: str, name: str) -> str:
+    """Shown values of one property, with tables of their own."""
+    text = SHOWN.replace("FROM p)", f"FROM (SELECT * FROM {p} WHERE lower(name) = '{name}'))").replace("FROM o)", f"FROM {o})")
+    for t in ("s", "links3", "hold", "nxt", "look", "shown"):
+        text = re.sub(rf"(?<![\w.]){t}(?= AS \(|\b(?=\s+(?:c|l|h|w|n|d|JOIN|GROUP|LEFT|WHERE|UNION)\b)|\b(?=\)))", f"{t}{n}", text)
+    canon = _CANON.replace("value_json", "u.value_json")
+    return f"""{text}, id{n} AS (SELECT oid, min_by(c, name) AS c FROM (SELECT oid, name, {canon} AS c FROM (SELECT oid, name, value_json FROM s{n} WHERE NOT clear AND value_json IS NOT NULL UNION ALL SELECT oid, name, value_json FROM shown{n} WHERE value_from IS NOT NULL AND value_json IS NOT NULL) u) GROUP BY oid)"""
+
+
 @query(
     "continuity",
-    f"WITH {O}, {O1} SELECT a.id, CASE WHEN b.id IS NULL THEN 'absent' WHEN a.name IS NULL OR b.name IS NULL OR a.owner IS NULL OR b.owner IS NULL THEN 'unproven' WHEN a.name = b.name AND a.owner = b.owner THEN 'same' ELSE 'reused' END AS verdict FROM o1 a LEFT JOIN o b ON a.id = b.id",
+    f"""WITH RECURSIVE {O}, {O1}, {P}, {P1}, {_identity_sql("x", "o1", "p1", "key")}, {_identity_sql("y", "o", "p", "key")}
+SELECT o.id, CASE WHEN o.id NOT IN (SELECT id FROM o1) THEN 'absent' WHEN x.c IS NULL OR y.c IS NULL THEN 'unproven' WHEN x.c = y.c THEN 'same' ELSE 'reused' END AS verdict FROM o LEFT JOIN idx x ON x.oid = o.id LEFT JOIN idy y ON y.oid = o.id""",
     pair=True,
 )
 def _(a, b):
-    return C.continuity(a, b)
+    """The test world has no creation times; another property that objects keep stands for them."""
+    return C.continuity(a, b, "key")
+
 
+_LINES = "list_filter(list_transform(code, lambda x: regexp_replace(x, '^\\\\s+|\\\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '\"Last modified '))"
+_MATCHES = f"""a1 AS (SELECT DISTINCT oid, name, lower(alias) AS alias FROM (SELECT oid, name, unnest(string_split_regex(name, '\\s+')) AS alias FROM v1) WHERE alias <> ''), a2 AS (SELECT DISTINCT oid, name, lower(alias) AS alias FROM (SELECT oid, name, unnest(string_split_regex(name, '\\s+')) AS alias FROM v) WHERE alias <> ''),
+  m1 AS (SELECT * FROM (SELECT oid, name, {_LINES} AS n FROM v1) WHERE len(n) > 0), m2 AS (SELECT oid, name, {_LINES} AS n FROM v WHERE code IS NOT NULL),
+  q1 AS (SELECT *, EXISTS (SELECT 1 FROM m2 WHERE m2.n = m1.n) AS exact FROM m1),
+  c1 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM q1 WHERE NOT exact) GROUP BY ALL), c2 AS (SELECT n, z, line, count(*) AS c FROM (SELECT n, len(n) AS z, unnest(n) AS line FROM (SELECT DISTINCT n FROM m2)) GROUP BY ALL),
+  cand AS (SELECT DISTINCT a1.oid, a1.name, m2.n FROM a1 JOIN a2 USING (alias) JOIN m2 ON m2.oid = a2.oid AND m2.name = a2.name JOIN q1 ON q1.oid = a1.oid AND q1.name = a1.name AND NOT q1.exact),
+  sim AS (SELECT oid, name, count(*) AS n, max(s) AS s FROM (SELECT cand.oid, cand.name, cand.n, sum(least(c1.c, c2.c))::DOUBLE / (c1.z + c2.z - sum(least(c1.c, c2.c))) AS s FROM cand JOIN c1 ON c1.oid = cand.oid AND c1.name = cand.name JOIN c2 ON c2.n = cand.n AND c2.line = c1.line GROUP BY cand.oid, cand.name, cand.n, c1.z, c2.z) WHERE s >= 0.5 GROUP BY oid, name),
+  found AS (SELECT q1.oid, q1.name, CASE WHEN exact THEN 'exact' WHEN sim.n IS NOT NULL THEN 'similar' ELSE 'new' END AS match, CASE WHEN exact THEN 1 ELSE coalesce(sim.n, 0) END::BIGINT AS n_found, CASE WHEN exact THEN 1.0 ELSE sim.s END::DOUBLE AS similarity FROM q1 LEFT JOIN sim ON sim.oid = q1.oid AND sim.name = q1.name)"""
 
-@query("exact_matches", f"""WITH {V}, m AS (SELECT oid, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v)
+
+@query("exact_matches", f"""WITH {V}, m AS (SELECT oid, {_LINES} AS n FROM v)
 SELECT sha256(array_to_string(n, chr(10))) AS digest, count(*) AS n_verbs, count(DISTINCT oid) AS n_objects FROM m WHERE len(n) > 0 GROUP BY 1 HAVING count(*) > 1""")
 def _(w):
     return C.exact_matches(w)
 
 
-@query(
-    "similar_programs",
-    f"""WITH {V}, {V1}, {ALIASES}, a1 AS (SELECT oid, verb, alias FROM (SELECT oid, name AS verb, unnest(string_split_regex(name, ' +')) AS alias FROM v1) WHERE alias <> ''),
-  m1 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v1), m2 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v),
-  c1 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m1) GROUP BY ALL), c2 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m2) GROUP BY ALL),
-  cand AS (SELECT DISTINCT a1.oid, a1.verb AS name_a, a.verb AS name_b FROM a1 JOIN a ON a1.oid = a.oid AND a1.alias = a.alias)
-SELECT * FROM (SELECT cand.oid, name_a, name_b, sum(least(c1.c, c2.c))::DOUBLE / (c1.z + c2.z - sum(least(c1.c, c2.c))) AS similarity FROM cand JOIN c1 ON c1.oid = cand.oid AND c1.name = name_a JOIN c2 ON c2.oid = cand.oid AND c2.name = name_b AND c1.line = c2.line
-  GROUP BY cand.oid, name_a, name_b, c1.z, c2.z) WHERE similarity >= 0.5""",
-    pair=True,
-)
+@query("similar_programs", f"WITH {V}, {V1}, {_MATCHES} SELECT * FROM found", pair=True)
 def _(a, b):
-    return C.similar_programs(a, b)
+    return C.program_matches(a, b)
 
 
 @query("value_events", f"""WITH {P}, {P1} SELECT oid, name, CASE WHEN ta = tb THEN 'changed' ELSE 'type_mismatch' END AS change, ta AS tag_before, tb AS tag_after FROM (SELECT a.oid, a.name, json_extract_string(a.value_json, '$.type') AS ta, json_extract_string(b.value_json, '$.type') AS tb,
@@ -275,13 +345,13 @@ def _(w):
     return w.properties.select("oid", "name", (F.row_number().over(by) - 1).alias("occurrence"))
 
 
-@query("inbound_outside", f"""WITH RECURSIVE {WORLD}, {V}, {LINES}, m AS (SELECT id FROM o WHERE owner IN (SELECT id FROM o WHERE flags & 4 <> 0))
-SELECT dst AS target, count(*) AS n FROM (SELECT src, dst FROM e WHERE kind = 'property' UNION ALL SELECT oid, n::BIGINT FROM (SELECT oid, unnest(regexp_extract_all(' ' || regexp_replace(line, '"(?:\\\\.|[^"\\\\])*(?:"|\\\\?$)', '""', 'g') || ' ', '[^A-Za-z0-9_#$-]#([0-9]+)', 1)) AS n FROM (SELECT DISTINCT oid, verb, line_no, line FROM l)))
+@query("inbound_outside", f"""WITH RECURSIVE {WORLD}, {V}, {MASKED}, m AS (SELECT id FROM o WHERE owner IN (SELECT id FROM o WHERE flags & 4 <> 0))
+SELECT dst AS target, count(*) AS n FROM (SELECT src, dst FROM e WHERE kind = 'property' UNION ALL SELECT oid, n::BIGINT FROM (SELECT oid, unnest(regexp_extract_all(' ' || seen || ' ', '[^A-Za-z0-9_#$-]#([0-9]+)', 1)) AS n FROM (SELECT DISTINCT oid, verb, line_no, seen FROM l)))
 WHERE dst IN (SELECT id FROM m) AND src NOT IN (SELECT id FROM m) GROUP BY dst""")
 def _(w):
     """References from outside to the objects wizards own, in values and in code outside strings."""
     members = w.objects.join(w.objects.filter(moo.has_flag("flags", "wizard")).select(F.col("id").alias("owner")), "owner", "left_semi").select("id")
-    text = I.code_lines(w).select(F.col("oid").alias("src"), F.explode(F.regexp_extract_all(moo.masked("line"), F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
+    text = I.code_lines(w, True).select(F.col("oid").alias("src"), F.explode(F.regexp_extract_all("seen", F.lit(r"(?<![\w#$-])#(\d+)(?!\d)"), F.lit(1))).alias("n"))
     both = I.references(w).select(F.col("holder_id").alias("src"), F.col("target").alias("dst")).unionByName(text.select("src", F.col("n").try_cast("bigint").alias("dst")))
     inward = both.join(members.withColumnRenamed("id", "dst"), "dst", "left_semi").join(members.withColumnRenamed("id", "src"), "src", "left_anti")
     return inward.groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n"))
@@ -289,14 +359,8 @@ def _(w):
 
 @query(
     "match_verdicts",
-    f"""WITH {V}, {V1}, {ALIASES}, a1 AS (SELECT oid, verb, alias FROM (SELECT oid, name AS verb, unnest(string_split_regex(name, ' +')) AS alias FROM v1) WHERE alias <> ''),
-  m1 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v1), m2 AS (SELECT oid, name, list_filter(list_transform(code, lambda x: trim(x, ' ')), lambda x: x <> '') AS n FROM v),
-  c1 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m1) GROUP BY ALL), c2 AS (SELECT oid, name, z, line, count(*) AS c FROM (SELECT oid, name, len(n) AS z, unnest(n) AS line FROM m2) GROUP BY ALL),
-  cand AS (SELECT DISTINCT a1.oid, a1.verb AS name_a, a.verb AS name_b FROM a1 JOIN a ON a1.oid = a.oid AND a1.alias = a.alias),
-  sim AS (SELECT DISTINCT oid, name_a FROM (SELECT cand.oid, name_a, name_b, sum(least(c1.c, c2.c))::DOUBLE / (c1.z + c2.z - sum(least(c1.c, c2.c))) AS s FROM cand JOIN c1 ON c1.oid = cand.oid AND c1.name = name_a JOIN c2 ON c2.oid = cand.oid AND c2.name = name_b AND c1.line = c2.line GROUP BY cand.oid, name_a, name_b, c1.z, c2.z) WHERE s >= 0.5),
-  j AS (SELECT oid, EXISTS (SELECT 1 FROM m2 WHERE m2.oid = m1.oid AND m2.n = m1.n) AS ex, EXISTS (SELECT 1 FROM sim WHERE sim.oid = m1.oid AND sim.name_a = m1.name) AS al FROM m1 WHERE len(n) > 0),
-  g AS (SELECT oid, count(*) AS n_verbs, count(*) FILTER (ex) AS n_exact, count(*) FILTER (al AND NOT ex) AS n_similar FROM j GROUP BY oid)
-SELECT *, CASE WHEN n_exact >= n_verbs * 0.8 THEN 'same' WHEN n_exact + n_similar >= n_verbs * 0.5 THEN 'likely' ELSE 'different' END AS verdict FROM g""",
+    f"""WITH {V}, {V1}, {O1}, {_MATCHES}, g AS (SELECT oid, count(*) AS n_verbs, count(*) FILTER (match = 'exact') AS n_exact, count(*) FILTER (match = 'similar') AS n_similar FROM found GROUP BY oid)
+SELECT id AS oid, coalesce(n_verbs, 0) AS n_verbs, coalesce(n_exact, 0) AS n_exact, coalesce(n_similar, 0) AS n_similar, CASE WHEN n_verbs IS NULL THEN 'no code' WHEN n_exact >= n_verbs * 0.8 THEN 'have it' WHEN n_exact + n_similar >= n_verbs * 0.5 THEN 'have a different version' ELSE 'new' END AS verdict FROM o1 LEFT JOIN g ON g.oid = id""",
     pair=True,
 )
 def _(a, b):

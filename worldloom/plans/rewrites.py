@@ -11,8 +11,8 @@ from worldloom.operators import export, policy, report, rewrite, valuediff
 from worldloom.operators import graph as G
 from worldloom.operators import inspect as I
 from worldloom.plans.problems import _CANON
-from worldloom.plans.relations import O1, P1, V1
-from worldloom.plans.world import NODES, O, P, V
+from worldloom.plans.relations import O1, P1, SHOWN, V1
+from worldloom.plans.world import MASKED, NODES, O, P, V
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,18 +43,42 @@ _CHANGED = f"""k AS (SELECT oid, name FROM (SELECT a.oid, a.name, {_CANON.replac
   pa AS (SELECT p1.* FROM p1 JOIN k USING (oid, name)), pb AS (SELECT p.* FROM p JOIN k USING (oid, name))"""
 
 
-@query(
-    "value_node_diffs",
-    f"""WITH RECURSIVE {P}, {P1}, {_CHANGED}, {_nodes("pa", "na", "ta")}, {_nodes("pb", "nb", "tb")}
-SELECT * FROM (SELECT coalesce(x.holder_id, y.holder_id) AS oid, coalesce(x.member, y.member) AS name, coalesce(x.path, y.path) AS path, CASE WHEN y.path IS NULL THEN 'missing' WHEN x.path IS NULL THEN 'extra' WHEN x.tag <> y.tag THEN 'type_mismatch' WHEN x.scalar IS DISTINCT FROM y.scalar THEN 'changed' END AS kind
-FROM ta x FULL JOIN tb y ON x.holder_id = y.holder_id AND x.member = y.member AND x.path = y.path) WHERE kind IS NOT NULL""",
-    pair=True,
-)
+def _nodes_by_key(src: str, n: str, t: str) -> str:
+    """Value nodes whose map steps are named by key; the keys themselves are left out."""
+    spelled = "coalesce(json_extract_string(e, '$.key.type') || ':' || lower(coalesce(json_extract_string(e, '$.key.value'), json_extract_string(e, '$.key.bits'))), i::VARCHAR)"
+    return f"""{n} AS (SELECT oid AS holder_id, name AS member, '' AS path, value_json::JSON AS v FROM {src} WHERE value_json IS NOT NULL
+    UNION ALL SELECT holder_id, member, CASE WHEN above = '' THEN seg ELSE above || '/' || seg END, v FROM (
+      SELECT holder_id, member, path AS above, 'list:' || unnest(range(1, json_array_length(v, '$.items')::BIGINT + 1)) AS seg, unnest(json_extract(v, '$.items[*]')) AS v FROM {n} WHERE json_extract_string(v, '$.type') = 'list'
+      UNION ALL SELECT holder_id, member, above, 'map:' || {spelled} || ':value', json_extract(e, '$.value') FROM (SELECT holder_id, member, path AS above, unnest(range(1, json_array_length(v, '$.entries')::BIGINT + 1)) AS i, unnest(json_extract(v, '$.entries[*]')) AS e FROM {n} WHERE json_extract_string(v, '$.type') = 'map'))),
+  {t} AS (SELECT holder_id, member, path, json_extract_string(v, '$.type') AS tag, coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.bits')) AS scalar FROM {n})"""
+
+
+def _number_sql(c: str) -> str:
+    hi, lo = f"('0x' || substr({c}, 1, 8))::BIGINT", f"('0x' || substr({c}, 9, 8))::BIGINT"
+    part = f"((({hi}) & 1048575)::DOUBLE * 4294967296.0 + {lo}) / 4503599627370496.0"
+    return f"(CASE WHEN ({hi} >> 31) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE ({hi} >> 20) & 2047 WHEN 2047 THEN NULL WHEN 0 THEN {part} * pow(2.0::DOUBLE, -1022) ELSE (1 + {part}) * pow(2.0::DOUBLE, (({hi} >> 20) & 2047) - 1023) END)"
+
+
+def _diffs_sql(same: str) -> str:
+    return f"""WITH RECURSIVE {P}, {P1}, {_CHANGED}, {_nodes_by_key("pa", "na", "ta")}, {_nodes_by_key("pb", "nb", "tb")}
+SELECT * FROM (SELECT coalesce(x.holder_id, y.holder_id) AS oid, coalesce(x.member, y.member) AS name, coalesce(x.path, y.path) AS path, CASE WHEN y.path IS NULL THEN 'missing' WHEN x.path IS NULL THEN 'extra' WHEN x.tag <> y.tag THEN 'type_mismatch' WHEN x.scalar IS DISTINCT FROM y.scalar AND NOT {same} THEN 'changed' END AS kind
+FROM ta x FULL JOIN tb y ON x.holder_id = y.holder_id AND x.member = y.member AND x.path = y.path) WHERE kind IS NOT NULL"""
+
+
+@query("value_node_diffs", _diffs_sql("false"), pair=True)
 def _(a, b):
     return valuediff.node_diffs(a, b)
 
 
-@query("value_node_diffs_tolerant", pair=True)
+@query("value_diff_summary", f"WITH d AS ({_diffs_sql('false')}) SELECT kind, count(*) AS n_diffs, count(DISTINCT (oid, name)) AS n_properties FROM d WHERE starts_with(path, 'map:') AND kind <> 'extra' GROUP BY kind", pair=True)
+def _(a, b):
+    return valuediff.summary(valuediff.node_diffs(a, b), ["missing", "changed", "type_mismatch"], "map:")
+
+
+_NEAR = f"coalesce(CASE WHEN x.tag = 'float' AND y.tag = 'float' THEN abs({_number_sql('x.scalar')} - {_number_sql('y.scalar')}) <= greatest(1e-9 * greatest(abs({_number_sql('x.scalar')}), abs({_number_sql('y.scalar')})), 1e-12) END, false)"
+
+
+@query("value_node_diffs_tolerant", _diffs_sql(_NEAR), pair=True)
 def _(a, b):
     return valuediff.node_diffs(a, b, tolerant=True)
 
@@ -84,8 +108,8 @@ def _(w):
 
 @query("value_literals")
 def _(w):
-    """Stored values as literals of at most 120 characters."""
-    return I.stored(w).select("oid", "name", literal_of("value_json", 120).alias("literal"))
+    """Stored values as literals."""
+    return I.stored(w).select("oid", "name", literal_of("value_json").alias("literal"))
 
 
 @query("source_diffs", pair=True)
@@ -136,12 +160,13 @@ def _(w):
     return rewrite.renumbered_code(w, rewrite.renumbering(w, gone), -1_000_000)
 
 
-@query("inherited_edges")
+@query("inherited_edges", f"""WITH RECURSIVE {O}, {P}, {SHOWN}, ip AS (SELECT oid, name, value_from, value_json FROM shown WHERE value_json IS NOT NULL), {_nodes("ip", "n2", "t2")}
+SELECT holder_id AS src, scalar::BIGINT AS dst, 'inherited' AS kind, member || ':' || path AS evidence, value_from FROM t2 JOIN ip ON ip.oid = holder_id AND ip.name = member WHERE tag = 'obj'""")
 def _(w):
     return G.effective_edges(w)
 
 
-@query("numbers_in_code")
+@query("numbers_in_code", f"""WITH {O}, {V}, {MASKED} SELECT DISTINCT oid, verb, line_no, id FROM (SELECT oid, verb, line_no, try_cast(unnest(regexp_extract_all(regexp_replace(' ' || seen || ' ', '([^A-Za-z0-9_.])', '\\1\\1', 'g'), '[^A-Za-z0-9_.]([0-9]+)[^A-Za-z0-9_.]', 1)) AS BIGINT) AS id FROM l) WHERE id IN (SELECT id FROM o)""")
 def _(w):
     return export.numbers_in_code(w, w.objects.select("id"))
 

