@@ -235,10 +235,15 @@ def same_values(w: World) -> DataFrame:
     return v.groupBy("name", "h").agg(F.count("*").alias("n"), F.min("oid").alias("first_oid")).filter("n > 1").select("name", "n", "first_oid")
 
 
-def dollar_names(w: World, of: int = 0) -> DataFrame:
-    """Objects named by the properties of #0, or of another object: ``target, dollar_name``; the first such property wins."""
-    p = w.properties.filter((F.col("oid") == of) & (tag() == "obj")).select(scalar().try_cast("bigint").alias("target"), "slot", "name")
-    return p.groupBy("target").agg(F.min(F.struct("slot", "name")).alias("s")).select("target", F.col("s.name").alias("dollar_name"))
+def dollar_names(w: World, of: int | None = 0) -> DataFrame:
+    """Objects named by #0's properties: ``oid, target, dollar_name``; the first such property wins.
+
+    ``of`` is another object whose properties name, or None for what each object's properties name.
+    """
+    p = w.properties.filter(tag() == "obj").select("oid", scalar().try_cast("bigint").alias("target"), "slot", "name")
+    if of is not None:
+        p = p.filter(F.col("oid") == of)
+    return p.groupBy("oid", "target").agg(F.min(F.struct("slot", "name")).alias("s")).select("oid", "target", F.col("s.name").alias("dollar_name"))
 
 
 def waif_counts(w: World) -> DataFrame:

@@ -90,16 +90,15 @@ _VALUE_TRUE = "CASE json_extract_string({0}, '$.type') WHEN 'int' THEN NOT regex
 
 @query(
     "waif_groups",
-    f"""WITH RECURSIVE {O}, {WAIFS}, {_SLOTS}, up AS (SELECT id, unnest(parents) AS p FROM o), k AS (SELECT id FROM o WHERE id = 1 UNION SELECT up.id FROM k JOIN up ON up.p = k.id), every AS (SELECT DISTINCT waif_index, waif_class FROM w),
+    f"""WITH {WAIFS}, {_SLOTS}, every AS (SELECT DISTINCT waif_index, waif_class FROM w),
   zero AS (SELECT waif_index, waif_class, min(v::VARCHAR)::JSON AS v FROM s WHERE slot = 0 GROUP BY 1, 2), four AS (SELECT waif_index, waif_class, min(v::VARCHAR)::JSON AS v FROM s WHERE slot = 25 GROUP BY 1, 2),
   hit AS (SELECT waif_index, waif_class FROM four WHERE CASE WHEN json_extract_string(v, '$.type') = 'string' THEN regexp_matches(json_extract_string(v, '$.value'), 'e') ELSE len(list_filter(json_extract(v, '$.items[*]'), lambda x: json_extract_string(x, '$.type') = 'string' AND regexp_matches(json_extract_string(x, '$.value'), 'e'))) > 0 END)
 SELECT waif_class, CASE WHEN z.v IS NULL THEN 'none' WHEN {_VALUE_TRUE.format("z.v")} THEN 'true' ELSE 'false' END AS by_0, count(*) AS n_waifs FROM every LEFT JOIN zero z USING (waif_index, waif_class)
-WHERE waif_class IN (SELECT id FROM k) AND (waif_index, waif_class) NOT IN (SELECT (waif_index, waif_class) FROM hit) GROUP BY 1, 2""",
+WHERE (waif_index, waif_class) NOT IN (SELECT (waif_index, waif_class) FROM hit) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    """Waifs below the root class without an ``e`` in slot 25, by class and truth of slot 0."""
-    w = I.open_world(spark, sf)
-    return waifs.grouped(w, w.objects.filter("id = 1").select("id"), [(0, True)], [(25, "e", True)])
+    """Waifs of all classes without an ``e`` in slot 25, by class and truth of slot 0."""
+    return waifs.grouped(I.open_world(spark, sf), None, [(0, True)], [(25, "e", True)])
 
 
 @query("chain_pairs", "SELECT old_id, new_id, hours FROM (SELECT lag(snapshot_id) OVER w AS old_id, snapshot_id AS new_id, (epoch(taken_at - lag(taken_at) OVER w) / 3600)::BIGINT AS hours FROM moo_dumps WHERE world = 'live' WINDOW w AS (ORDER BY taken_at, snapshot_id)) WHERE old_id IS NOT NULL")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from worldloom.functions import moo
@@ -65,13 +63,17 @@ def _(w):
     return H.dispatch(w, "give")
 
 
-#: Cleared slots and the slot each takes its value from: the first parent's of that name, in any case.
-SHOWN = f"""s AS (SELECT oid, name, lower(name) AS key, slot, coalesce(json_extract_string(value_json, '$.type') = 'clear', false) AS clear, value_json FROM p),
-  links3 AS (SELECT c, pos, p FROM (SELECT id AS c, unnest(parents) AS p, unnest(range(0, len(parents))) AS pos FROM o) WHERE p IN (SELECT id FROM o)),
-  hold AS (SELECT oid, key, min_by(name, (slot, name)) AS name FROM s GROUP BY oid, key),
-  nxt AS (SELECT c.oid, c.name, min_by(h.oid, l.pos) AS to_oid, min_by(h.name, l.pos) AS to_name FROM s c JOIN links3 l ON l.c = c.oid JOIN hold h ON h.oid = l.p AND h.key = c.key WHERE c.clear GROUP BY c.oid, c.name),
-  look AS (SELECT oid, name, to_oid, to_name, 1 AS steps FROM nxt UNION ALL SELECT w.oid, w.name, n.to_oid, n.to_name, w.steps + 1 FROM look w JOIN nxt n ON n.oid = w.to_oid AND n.name = w.to_name WHERE w.steps < 500),
-  shown AS (SELECT c.oid, c.name, e.to_oid AS value_from, e.value_json, e.steps FROM s c LEFT JOIN (SELECT look.oid, look.name, to_oid, steps, d.value_json FROM look JOIN s d ON d.oid = to_oid AND d.name = to_name AND NOT d.clear) e ON e.oid = c.oid AND e.name = c.name WHERE c.clear)"""
+def shown_sql(n: str = "", o: str = "o", p: str = "p", only: str = "") -> str:
+    """Cleared slots and the slot each takes its value from: the first parent's of that name, in any case."""
+    return f"""s{n} AS (SELECT oid, name, lower(name) AS key, slot, coalesce(json_extract_string(value_json, '$.type') = 'clear', false) AS clear, value_json FROM {p} {only}),
+  links{n} AS (SELECT c, pos, p FROM (SELECT id AS c, unnest(parents) AS p, unnest(range(0, len(parents))) AS pos FROM {o}) WHERE p IN (SELECT id FROM {o})),
+  hold{n} AS (SELECT oid, key, min_by(name, (slot, name)) AS name FROM s{n} GROUP BY oid, key),
+  next{n} AS (SELECT c.oid, c.name, min_by(h.oid, l.pos) AS to_oid, min_by(h.name, l.pos) AS to_name FROM s{n} c JOIN links{n} l ON l.c = c.oid JOIN hold{n} h ON h.oid = l.p AND h.key = c.key WHERE c.clear GROUP BY c.oid, c.name),
+  look{n} AS (SELECT oid, name, to_oid, to_name, 1 AS steps FROM next{n} UNION ALL SELECT w.oid, w.name, x.to_oid, x.to_name, w.steps + 1 FROM look{n} w JOIN next{n} x ON x.oid = w.to_oid AND x.name = w.to_name WHERE w.steps < 500),
+  shown{n} AS (SELECT c.oid, c.name, e.to_oid AS value_from, e.value_json, e.steps FROM s{n} c LEFT JOIN (SELECT k.oid, k.name, to_oid, steps, d.value_json FROM look{n} k JOIN s{n} d ON d.oid = to_oid AND d.name = to_name AND NOT d.clear) e ON e.oid = c.oid AND e.name = c.name WHERE c.clear)"""
+
+
+SHOWN = shown_sql()
 
 
 @query("effective_values", f"WITH RECURSIVE {O}, {P}, {SHOWN} SELECT oid, name, value_from, steps::INT AS steps FROM shown")
@@ -279,12 +281,9 @@ def _(a, b):
 
 
 def _identity_sql(n: str, o: str, p: str, name: str) -> str:
-    """Shown values of one property, with tables of their own."""
-    text = SHOWN.replace("FROM p)", f"FROM (SELECT * FROM {p} WHERE lower(name) = '{name}'))").replace("FROM o)", f"FROM {o})")
-    for t in ("s", "links3", "hold", "nxt", "look", "shown"):
-        text = re.sub(rf"(?<![\w.]){t}(?= AS \(|\b(?=\s+(?:c|l|h|w|n|d|JOIN|GROUP|LEFT|WHERE|UNION)\b)|\b(?=\)))", f"{t}{n}", text)
+    """Shown values of one property by object."""
     canon = _CANON.replace("value_json", "u.value_json")
-    return f"""{text}, id{n} AS (SELECT oid, min_by(c, name) AS c FROM (SELECT oid, name, {canon} AS c FROM (SELECT oid, name, value_json FROM s{n} WHERE NOT clear AND value_json IS NOT NULL UNION ALL SELECT oid, name, value_json FROM shown{n} WHERE value_from IS NOT NULL AND value_json IS NOT NULL) u) GROUP BY oid)"""
+    return f"""{shown_sql(n, o, p, f"WHERE lower(name) = '{name}'")}, id{n} AS (SELECT oid, min_by(c, name) AS c FROM (SELECT oid, name, {canon} AS c FROM (SELECT oid, name, value_json FROM s{n} WHERE NOT clear AND value_json IS NOT NULL UNION ALL SELECT oid, name, value_json FROM shown{n} WHERE value_from IS NOT NULL AND value_json IS NOT NULL) u) GROUP BY oid)"""
 
 
 @query(
@@ -298,7 +297,7 @@ def _(a, b):
     return C.continuity(a, b, "key")
 
 
-_LINES = "list_filter(list_transform(code, lambda x: regexp_replace(x, '^\\\\s+|\\\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '\"Last modified '))"
+_LINES = "list_filter(list_transform(code, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '\"Last modified '))"
 _MATCHES = f"""a1 AS (SELECT DISTINCT oid, name, lower(alias) AS alias FROM (SELECT oid, name, unnest(string_split_regex(name, '\\s+')) AS alias FROM v1) WHERE alias <> ''), a2 AS (SELECT DISTINCT oid, name, lower(alias) AS alias FROM (SELECT oid, name, unnest(string_split_regex(name, '\\s+')) AS alias FROM v) WHERE alias <> ''),
   m1 AS (SELECT * FROM (SELECT oid, name, {_LINES} AS n FROM v1) WHERE len(n) > 0), m2 AS (SELECT oid, name, {_LINES} AS n FROM v WHERE code IS NOT NULL),
   q1 AS (SELECT *, EXISTS (SELECT 1 FROM m2 WHERE m2.n = m1.n) AS exact FROM m1),
@@ -328,13 +327,13 @@ def _(a, b):
 @query(
     "survivor_order",
     f"""WITH {O}, {O1} SELECT a.id FROM o1 a JOIN o b ON a.id = b.id WHERE
-  list_filter(list_transform(list_filter(list_zip(a.contents, range(1, len(a.contents) + 1)), lambda z: list_position(a.contents, z[1]) = z[2]), lambda z: z[1]), lambda x: list_contains(b.contents, x)) IS DISTINCT FROM
-  list_filter(list_transform(list_filter(list_zip(b.contents, range(1, len(b.contents) + 1)), lambda z: list_position(b.contents, z[1]) = z[2]), lambda z: z[1]), lambda x: list_contains(a.contents, x))
-  AND a.contents IS NOT NULL AND b.contents IS NOT NULL""",
+  list_filter(list_transform(list_filter(list_zip(a.children, range(1, len(a.children) + 1)), lambda z: list_position(a.children, z[1]) = z[2]), lambda z: z[1]), lambda x: list_contains(b.children, x)) IS DISTINCT FROM
+  list_filter(list_transform(list_filter(list_zip(b.children, range(1, len(b.children) + 1)), lambda z: list_position(b.children, z[1]) = z[2]), lambda z: z[1]), lambda x: list_contains(a.children, x))
+  AND a.children IS NOT NULL AND b.children IS NOT NULL""",
     pair=True,
 )
 def _(a, b):
-    return C.survivor_order(a, b).join(a.objects.filter("contents IS NOT NULL").select("id"), "id", "left_semi").join(b.objects.filter("contents IS NOT NULL").select("id"), "id", "left_semi")
+    return C.survivor_order(a, b, "children").join(a.objects.filter("children IS NOT NULL").select("id"), "id", "left_semi").join(b.objects.filter("children IS NOT NULL").select("id"), "id", "left_semi")
 
 
 @query("holder_occurrence", f"WITH {P} SELECT oid, name, row_number() OVER (PARTITION BY oid, lower(name) ORDER BY slot, name) - 1 AS occurrence FROM p")

@@ -198,7 +198,7 @@ def _(w):
     return w.verbs.filter("code IS NOT NULL").select("oid", "name", moo.fingerprint("code").alias("digest"), F.size("code").alias("n_lines"), F.date_format(moo.modified("code"), "yyyy-MM-dd HH:mm:ss").alias("modified"))
 
 
-@query("clipped_lines", f"""WITH {V}, {LINES}, c AS (SELECT oid, verb, line_no, line, length(line) AS z, instr(line, regexp_extract(line, 'this|player')) - 1 AS at FROM l WHERE regexp_matches(line, 'this|player')), d AS (SELECT *, greatest(0, least(at - 15, z - 30)) AS s FROM c)
+@query("clipped_lines", f"""WITH {V}, {LINES}, c AS (SELECT oid, verb, line_no, line, length(line) AS z, instr(line, regexp_extract(line, 'this|player')) - 1 AS hit FROM l WHERE regexp_matches(line, 'this|player')), d AS (SELECT *, greatest(0, least(hit - 15, z - 30)) AS s FROM c)
 SELECT oid, verb, line_no, CASE WHEN z <= 30 THEN line ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || substr(line, s + 1, 30) || '... [' || z || ' chars]' END AS shown FROM d""")
 def _(w):
     return I.grep(w, "this|player").select("oid", "verb", "line_no", moo.clipped("line", 30, "this|player").alias("shown"))
@@ -265,10 +265,10 @@ def _(w):
     return I.key_kinds(w)
 
 
-@query("dollar_names", f"WITH {P} SELECT json_extract_string(value_json, '$.value')::BIGINT AS target, min_by(name, (slot, name)) AS dollar_name FROM p WHERE oid = 7 AND json_extract_string(value_json, '$.type') = 'obj' GROUP BY 1")
+@query("dollar_names", f"WITH {P} SELECT oid, json_extract_string(value_json, '$.value')::BIGINT AS target, min_by(name, (slot, name)) AS dollar_name FROM p WHERE json_extract_string(value_json, '$.type') = 'obj' GROUP BY 1, 2")
 def _(w):
-    """#0 of the test world names nothing; #7 is its largest holder."""
-    return I.dollar_names(w, 7)
+    """What each object's properties name: #0 of the test world names nothing."""
+    return I.dollar_names(w, None)
 
 
 @query("waif_counts", f"WITH {O} SELECT waif_class, o.name AS class_name, n_waifs, n_without_props FROM (SELECT waif_class, count(*) AS n_waifs, count(*) FILTER (props IS NULL) AS n_without_props FROM (SELECT DISTINCT * FROM moo_waifs) GROUP BY waif_class) g LEFT JOIN o ON o.id = g.waif_class")
