@@ -43,8 +43,7 @@ def world(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("core", [0, 40, 100_000])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(("core", "seed"), [(0, 1), (40, 2), (100_000, 1), (100_000, 2)])
 def test_against_brute_force(spark, core, seed):
     rows = world(120, seed)
     df = spark.createDataFrame(rows, SCHEMA)

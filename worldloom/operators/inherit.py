@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -48,13 +49,14 @@ def ancestors(w: World, of: DataFrame | None = None) -> DataFrame:
 LOCAL_EDGES = 50_000
 
 
-def first_holder(w: World, holders: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def first_holder(w: World, holders: DataFrame, local_edges: int = LOCAL_EDGES, links: DataFrame | None = None) -> DataFrame:
     """``id, oid``: for each object the first of ``holders(oid)`` among itself and its ancestors in depth-first order.
 
     Objects with one parent are contracted onto what they hang on: a holder, an object with several parents, or a
-    root.  Then only objects with several parents are left to choose, and they see each other directly.
+    root.  Then only objects with several parents are left to choose, and they see each other directly.  ``links``
+    are the world's ``parent_links``, if known.
     """
-    real = parent_links(w)
+    real = parent_links(w) if links is None else links
     held = materialize(holders.select(F.col("oid").alias("id")).distinct().join(w.objects.select("id"), "id", "left_semi"), "holders")
     one = real.select("c", "p").distinct().groupBy("c").agg(F.count("*").alias("n"), F.min("p").alias("p"))
     plain = one.filter("n = 1 AND p <> c").select(F.col("c").alias("id"), "p").join(held, "id", "left_anti")
@@ -138,15 +140,19 @@ def dispatch(w: World, word: str) -> DataFrame:
     The plain word is looked for on the object and all its ancestors, in depth-first order; only where none of them
     answers, ``:word``, the spelling of waif class verbs.  On one object the verb with the least index counts.
     """
-    out: list[DataFrame] = []
-    for spelled in (word, ":" + word):
+    real = parent_links(w)
+
+    def answering(spelled: str) -> DataFrame | None:
         v = aliases(w).filter(moo.answers("alias", F.lit(spelled)))
         v = materialize(v.groupBy("oid").agg(F.min(F.struct("verb_index", "verb")).alias("v")).select("oid", F.col("v.verb").alias("verb")), "answering")
-        if v.isEmpty():
-            continue
-        hit = first_holder(w, v).join(v, "oid").select("id", "oid", "verb")
-        out.append(hit if not out else hit.join(out[0].select("id"), "id", "left_anti"))
-    return reduce(DataFrame.unionByName, out) if out else w.objects.select("id", F.col("id").alias("oid"), F.lit("").alias("verb")).limit(0)
+        return None if v.isEmpty() else first_holder(w, v, links=real).join(v, "oid").select("id", "oid", "verb")
+
+    with ThreadPoolExecutor(2) as pool:  # the two spellings do not depend on each other
+        plain, waif = pool.map(answering, (word, ":" + word))
+    if plain is None or waif is None:
+        found = plain if waif is None else waif
+        return found if found is not None else w.objects.select("id", F.col("id").alias("oid"), F.lit("").alias("verb")).limit(0)
+    return plain.unionByName(waif.join(plain.select("id"), "id", "left_anti"))
 
 
 def effective_values(w: World) -> DataFrame:
