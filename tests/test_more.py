@@ -17,6 +17,7 @@ from worldloom import session
 from worldloom.functions.values import close, double_of_bits
 from worldloom.operators import export, graph, history, inspect, policy, rewrite, valuediff
 from worldloom.sources import commits, live, textdump
+from worldloom.sources.tables import live_dumps, table
 
 
 def test_floats_from_bits(spark):
@@ -92,11 +93,19 @@ def test_inherited_edges_and_overlays(spark):
 
 def test_history_build_resumes(spark, sf, tmp_path):
     path = str(tmp_path / "h")
+    dumps = live_dumps(table(spark, sf, "moo_dumps"))
     first = history.build(spark, sf, path)
-    assert len(first) == 5 and history.build(spark, sf, path) == [] and history.continuous(spark, path)
+    assert first == list(zip(dumps, dumps[1:])) and history.build(spark, sf, path) == [] and history.continuous(spark, path) and history.gaps(spark, dumps, path) == []
     subprocess.run(["rm", "-r", f"{path}/pair=3"], check=True)
+    assert history.gaps(spark, dumps, path) == [first[2]]
     assert history.build(spark, sf, path) == [first[2]]
-    assert history.events(spark, path, "object").count() + history.events(spark, path, "verb").count() == history.events(spark, path).count() > 0
+    every = history.events(spark, path)
+    assert sum(history.events(spark, path, k).count() for k in ("object", "property", "verb")) == every.count() > 0
+    verbs = history.events(spark, path, "verb", changes=["code", "added"])
+    page = history.event_page(verbs, 0, 2).collect()
+    assert len(page) == 2 and page[0].total == verbs.count() > 2 and page[0].next_offset == 2
+    text = {r.pair: r.text for r in history.rendered(every).collect()}
+    assert sum(t.count("\n") for t in text.values()) == every.count() and text[1].startswith(f"## {dumps[0]} to {dumps[1]}\n- ")
     subprocess.run(["mv", f"{path}/pair=2", f"{path}/pair=9"], check=True)
     assert not history.continuous(spark, path)
 
@@ -197,3 +206,12 @@ def test_list_edits(spark):
     new = world(spark, (), [(1, "p", json.dumps(n(1, 9, 2, 3))), (1, "q", json.dumps(li(n(1, 2), n(6)))), (1, "r", json.dumps(n(2))), (1, "e", json.dumps(n(4)))])
     got = {tuple(r) for r in valuediff.list_edits(old, new).collect()}
     assert got == {(1, "p", "", "insert", 1, 1, 1, 2), (1, "q", "list:1", "insert", 1, 1, 1, 2), (1, "q", "list:2", "delete", 0, 1, 0, 0), (1, "e", "", "insert", 0, 0, 0, 1)}
+
+
+def test_policies_are_read_strictly():
+    text = '{"rules": [{"name": "a", "kind": "verb"}, {"kind": "object", "name": "b", "oid": 3}]}'
+    other = '{"rules": [{"oid": 3, "name": "b", "kind": "object"}, {"name": "a", "kind": "verb"}]}'
+    assert policy.digest(policy.load(text)) == policy.digest(policy.load(other)) != policy.digest(policy.load(text)[:1])
+    for bad in ('{"rules": [], "rules": []}', '{"rules": [{"name": "a", "kind": "verb", "oid": NaN}]}', "[]", '{"rules": [{"name": "a", "name": "a", "kind": "verb"}]}'):
+        with pytest.raises(ValueError):
+            policy.load(bad)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worldloom.functions.values import canonical
+from worldloom.session import exists
 from worldloom.sources.tables import MEMBER_KEY, latest
 
 
@@ -49,14 +50,13 @@ def presence(properties: DataFrame, dumps: list[int], target: int) -> DataFrame:
     return s.select("oid", "name", F.explode(ev).alias("e")).select("oid", "name", F.element_at(ids, F.col("e.i") + 1).alias("snapshot_id"), F.col("e.t").alias("transition"))
 
 
-def build(spark, sf_dir: str, path: str) -> list[tuple[int, int]]:
-    """Write the object and verb events of every pair of consecutive live dumps below ``path``, one folder per pair.
+def build(spark, sf_dir: str, path: str, keep_going: bool = False) -> list[tuple[int, int]]:
+    """Write the object, property and verb events of every pair of consecutive live dumps below ``path``, one folder per pair.
 
-    Pairs already written are left as they are, so a stopped build goes on where it was.  Returns the pairs written.
+    Pairs already written are left as they are, so a stopped build goes on where it was.  With ``keep_going`` a pair
+    that fails is left out, a gap, and the others are built.  Returns the pairs written.
     """
-    import os
-
-    from worldloom.operators.compare import object_events, verb_pairs
+    from worldloom.operators.compare import object_events, value_events, verb_pairs
     from worldloom.operators.inspect import open_world
     from worldloom.sources.tables import live_dumps, table
 
@@ -64,24 +64,52 @@ def build(spark, sf_dir: str, path: str) -> list[tuple[int, int]]:
     wrote = []
     for i in range(1, len(dumps)):
         folder = f"{path}/pair={i}"
-        if os.path.exists(f"{folder}/_SUCCESS"):
+        if exists(spark, f"{folder}/_SUCCESS"):
+            continue
+        try:
+            a, b = open_world(spark, sf_dir, len(dumps) - i), open_world(spark, sf_dir, len(dumps) - 1 - i)
+            o = object_events(a, b).select(F.lit("object").alias("kind"), "oid", F.col("field").alias("name"), "change")
+            p = value_events(a, b).select(F.lit("property").alias("kind"), "oid", "name", "change")
+            v = verb_pairs(a, b).select(F.lit("verb").alias("kind"), "oid", "name", "change")
+            o.unionByName(p).unionByName(v).withColumns({"old_id": F.lit(dumps[i - 1]), "new_id": F.lit(dumps[i])}).write.mode("overwrite").parquet(folder)
+        except Exception:
+            if not keep_going:
+                raise
             continue
-        a, b = open_world(spark, sf_dir, len(dumps) - i), open_world(spark, sf_dir, len(dumps) - 1 - i)
-        o = object_events(a, b).select(F.lit("object").alias("kind"), "oid", F.col("field").alias("name"), "change")
-        v = verb_pairs(a, b).select(F.lit("verb").alias("kind"), "oid", "name", "change")
-        o.unionByName(v).withColumns({"old_id": F.lit(dumps[i - 1]), "new_id": F.lit(dumps[i])}).write.mode("overwrite").parquet(folder)
         wrote.append((dumps[i - 1], dumps[i]))
     return wrote
 
 
-def events(spark, path: str, kind: str | None = None, oid: int | None = None) -> DataFrame:
+def gaps(spark, dumps: list[int], path: str) -> list[tuple[int, int]]:
+    """Pairs of consecutive dumps that a history lacks: what happened between them is not known."""
+    return [(dumps[i - 1], dumps[i]) for i in range(1, len(dumps)) if not exists(spark, f"{path}/pair={i}/_SUCCESS")]
+
+
+def events(spark, path: str, kind: str | None = None, oid: int | None = None, changes: list[str] | None = None, name_prefix: str = "") -> DataFrame:
     """Events of a built history in order of pairs; filters reach the scan."""
-    e = spark.read.parquet(path)
+    e = spark.read.parquet(path).filter(F.startswith(F.coalesce("name", F.lit("")), F.lit(name_prefix)))
     if kind:
         e = e.filter(F.col("kind") == kind)
+    if changes is not None:
+        e = e.filter(F.col("change").isin(changes))
     return e.filter(F.col("oid") == oid) if oid is not None else e
 
 
+def event_page(found: DataFrame, offset: int, size: int) -> DataFrame:
+    """One page of events in order of pair, kind, object and name, with the total and where the next page starts."""
+    from worldloom.operators.joins import page
+
+    return page(found, ["pair", "kind", "oid", "name", "change"], offset, size)
+
+
+def rendered(found: DataFrame) -> DataFrame:
+    """``pair, text``: a pair's events as lines, one section a pair; a pair's text is as long as its events."""
+    line = F.format_string("- %s #%d%s: %s", "kind", "oid", F.when(F.coalesce("name", F.lit("")) == "", "").otherwise(F.concat(F.lit("."), F.col("name"))), "change")
+    per = found.select("pair", "old_id", "new_id", F.struct("kind", "oid", "name", "change").alias("k"), line.alias("line"))
+    by = per.groupBy("pair", "old_id", "new_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    return by.select("pair", F.array_join(F.concat(F.array(F.format_string("## %d to %d", "old_id", "new_id")), F.col("l.line")), "\n").alias("text"))
+
+
 def continuous(spark, path: str) -> bool:
     """Whether every pair's older dump is the pair's before it: one row per pair is compared."""
     p = spark.read.parquet(path).groupBy("pair").agg(F.min("old_id").alias("old_id"), F.max("new_id").alias("new_id"), (F.count_distinct("old_id", "new_id") == 1).alias("one"))

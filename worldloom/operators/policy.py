@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +28,29 @@ class Rule:
     pattern: str = "*"
 
 
+def load(text: str) -> list[Rule]:
+    """Rules of a policy's JSON text; repeated names and numbers JSON does not know are refused."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) != len(pairs):
+            raise ValueError("a name stands twice")
+        return dict(pairs)
+
+    def refuse(word: str) -> None:
+        raise ValueError(f"{word} is no JSON number")
+
+    data = json.loads(text, object_pairs_hook=once, parse_constant=refuse)
+    if not isinstance(data, dict):
+        raise ValueError("a policy is an object")
+    return parse(data)
+
+
+def digest(rules: list[Rule]) -> str:
+    """SHA-256 of a policy's rules, however its text was spelled and ordered."""
+    rows = sorted([r.name, r.kind, r.oid, r.subtree, r.pattern] for r in rules)
+    return hashlib.sha256(json.dumps(rows, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
 def parse(data: dict) -> list[Rule]:
     """Rules of a policy document ``{"rules": [{"name", "kind", "oid", "subtree", "pattern"}]}``; anything else is refused."""
     rules = data.get("rules")

@@ -68,6 +68,12 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
