@@ -214,6 +214,36 @@ def test_continuity(spark):
     assert {r.id: r.verdict for r in compare.continuity(a, b, "born").collect()} == {1: "same", 2: "reused", 3: "absent", 4: "unproven", 5: "same", 6: "unproven"}
 
 
+def _numbered(spark, rows):
+    o = spark.createDataFrame(list(rows), "id bigint, anon boolean")
+    return inspect.World(o, o, o, o)
+
+
+def test_lifecycle_of_far_apart_numbers(spark):
+    """The gaps of both dumps hold nothing to tell and are not spelled out, however wide."""
+    far = 1 << 62
+    old = _numbered(spark, [(0, False), (7, True), (far, None)])
+    new = _numbered(spark, [(1, False), (7, False), (far + 1, True), (far + 3, False)])
+    want = {(0, "present", "recycled", "changed"), (1, "recycled", "present", "changed"), (7, "absent", "present", "added")}
+    want |= {(far, "present", "recycled", "changed"), (far + 2, "absent", "recycled", "changed"), (far + 3, "absent", "present", "added")}
+    assert {tuple(r) for r in compare.lifecycle(old, new).collect()} == want
+
+
+@pytest.mark.parametrize(("n", "m"), [(30, 33), (30, 0), (0, 30), (100, 30_000), (30_000, 9_000)])
+def test_lifecycle_against_every_number(spark, n, m):
+    r = random.Random(n + m)
+    dumps = [{i: r.choice([True, False, None]) for i in range(k) if r.random() < 0.6} for k in (n, m)]
+
+    def state(d, i):
+        if i in d:
+            return "absent" if d[i] else "present"
+        return "recycled" if i <= max((j for j, anon in d.items() if not anon), default=-1) else "absent"
+
+    every = [(i, *(state(d, i) for d in dumps)) for i in range(max(n, m))]
+    want = [(i, a, b, "changed" if "recycled" in (a, b) else "added" if a == "absent" else "removed") for i, a, b in every if a != b]
+    assert sorted(tuple(x) for x in compare.lifecycle(*(_numbered(spark, d.items()) for d in dumps)).collect()) == want
+
+
 def test_renumbering(spark):
     w = world(spark, [(0, None, 0, 2, -1, [], [], []), (1, None, 0, 0, 3, [0, 3, 0, None], [], []), (3, None, 0, 3, 0, None, [], []), (5, None, 0, 3, 9, [], [], [])])
     got = {r.id: (r.owner, r.location, r.parents) for r in rewrite.renumbered(w, w.objects.filter("id = 3").select("id"), owner_to=0).collect()}

@@ -99,23 +99,50 @@ def continuity(old: World, new: World, identity: str = "creation_time") -> DataF
     return j.select("id", verdict.alias("verdict"))
 
 
-def _states(w: World) -> DataFrame:
-    """``id, state``: ``present`` or, for numbers below the greatest in use that are no object, ``recycled``."""
-    real = w.objects.filter("id IS NOT NULL AND NOT coalesce(anon, false)").select("id")
-    top = real.agg(F.max("id").alias("m")).filter("m IS NOT NULL")
-    span = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("id"))
-    return span.join(w.objects.select("id"), "id", "left_anti").select("id", F.lit("recycled").alias("state")).unionByName(real.select("id", F.lit("present").alias("state")))
+#: Bits of the numbers in one array where a span of numbers is spelled out, and of those in a row such arrays are cut from.
+_RUN, _SPAN = 13, 26
+
+
+def _free(bounds: DataFrame, taken: DataFrame) -> DataFrame:
+    """``id``: the numbers from ``lo`` to ``hi`` of the one row of ``bounds`` that ``taken`` does not have.
+
+    No array is longer than a run, however far apart the bounds, and the numbers spelled out are not shuffled.
+    """
+
+    def cut(df: DataFrame, lo: str, hi: str, bits: int, name: str) -> DataFrame:
+        step = F.lit(1 << bits).cast("bigint")
+        # The end is not name + step - 1, which could pass the greatest number there is.
+        return df.withColumn(name, F.explode(F.sequence(lo, hi, step))).withColumn(f"{name}_end", F.col(name) + F.least(step - 1, F.col(hi) - F.col(name)))
+
+    n = lambda c: F.shiftright(F.col(c) - F.col("lo"), _RUN).alias("n")
+    runs = cut(cut(bounds, "lo", "hi", _SPAN, "span"), "span", "span_end", _RUN, "run").select("run", "run_end", n("run"))
+    held = taken.crossJoin(F.broadcast(bounds)).filter("id BETWEEN lo AND hi").groupBy(n("id")).agg(F.collect_set("id").alias("held"))
+    # A run is a few bytes until it is spelled out: with a number given, and another key than the join's, Spark keeps the partitions apart.
+    parts = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.join(held, "n", "left").repartition(parts, "run").select(F.explode(F.array_except(F.sequence("run", "run_end"), F.coalesce("held", F.array().cast("array<bigint>")))).alias("id"))
 
 
 def lifecycle(old: World, new: World) -> DataFrame:
     """Numbers whose state differs: ``oid, old_state, new_state, change``; states are present, recycled or absent.
 
-    ``changed`` where a recycled number is involved, else ``added`` or ``removed``.  Anonymous objects are left out.
+    Recycled are the numbers from 0 to the greatest in use that are no object.  ``changed`` where a recycled number
+    is involved, else ``added`` or ``removed``.  Anonymous objects are left out.
+
+    Gaps that both dumps have are never spelled out: only numbers of objects, and those between the greatest
+    numbers of the two dumps, can differ.
     """
-    j = _states(old).withColumnRenamed("state", "a").join(_states(new).withColumnRenamed("state", "b"), "id", "full")
-    a, b = F.coalesce("a", F.lit("absent")), F.coalesce("b", F.lit("absent"))
+    real = lambda w, n: w.objects.filter("id >= 0").select("id", (~F.coalesce("anon", F.lit(False))).alias(n))
+    known = materialize(real(old, "a").join(real(new, "b"), "id", "full"), "numbers")
+    tops = known.agg(*[F.coalesce(F.max(F.when(F.col(n), F.col("id"))), F.lit(-1)).alias(f"top_{n}") for n in ("a", "b")])
+    bounds = tops.select((F.least("top_a", "top_b") + 1).alias("lo"), F.greatest("top_a", "top_b").alias("hi")).filter("lo <= hi")
+    numbers = known.unionByName(_free(bounds, known.select("id")), allowMissingColumns=True).crossJoin(F.broadcast(tops))
+
+    def state(n: str) -> Column:
+        return F.when(F.col(n), "present").when(F.col(n).isNull() & (F.col("id") <= F.col(f"top_{n}")), "recycled").otherwise("absent")
+
+    a, b = state("a"), state("b")
     change = F.when((a == "recycled") | (b == "recycled"), "changed").when(a == "absent", "added").otherwise("removed")
-    return j.filter(a != b).select(F.col("id").alias("oid"), a.alias("old_state"), b.alias("new_state"), change.alias("change"))
+    return numbers.filter(a != b).select(F.col("id").alias("oid"), a.alias("old_state"), b.alias("new_state"), change.alias("change"))
 
 
 def affected(old: World, new: World) -> DataFrame:
